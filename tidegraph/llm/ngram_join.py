@@ -309,8 +309,8 @@ def _salted_pivots(state: DataFrame, big: DataFrame, pivots: int, part: int) ->
     """A block's rows dealt over salts, and its pivots copied to each salt: about ``pivots`` of them, chosen by their random ids."""
     rows = state.join(big, "block").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")))
     chosen = rows.filter((F.pmod(F.xxhash64("node", F.lit(1)), F.greatest(F.lit(1), F.floor(F.col("rows") / pivots))) == 0) | (F.col("node") == F.col("first")))
-    copies = chosen.select("block", F.col("node").alias("pivot"), F.col("set").alias("pset"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    return rows.select("block", "node", "set", "salt"), copies.select("block", "pivot", "pset", F.col("salt").cast("long"))
+    copies = chosen.select(F.col("block").alias("of"), F.col("node").alias("pivot"), F.col("set").alias("pset"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return rows.select("block", "node", "set", "salt"), copies.select("of", "pivot", "pset", F.col("salt").cast("long").alias("at"))
 
 
 def join_blocks(sets: DataFrame, percent: int = 85, max_rows: int = 128, pivots: int = 8, rounds: int = 3) -> DataFrame:
@@ -336,7 +336,7 @@ def join_blocks(sets: DataFrame, percent: int = 85, max_rows: int = 128, pivots:
             links.append(written(_by_chunks(state.join(big, "block"), percent, max_rows)))
             break
         parts, chosen = _salted_pivots(state, big, pivots, max_rows)
-        near = written(parts.groupBy("block", "salt").cogroup(chosen.groupBy("block", "salt")).applyInArrow(_pivot_distances(percent), "block long, node long, pivot long, linked boolean, d double"))
+        near = written(parts.groupBy("block", "salt").cogroup(chosen.groupBy("of", "at")).applyInArrow(_pivot_distances(percent), "block long, node long, pivot long, linked boolean, d double"))
         edge = near.filter("linked and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
         links.append(edge)
         whole = components(edge)
