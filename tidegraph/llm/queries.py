@@ -8,16 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ngram_join import ngram_components
 from .shared import table
+from .span_dedup import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents"), window=50, digest=True)
+    return out.withColumnRenamed("kept", "kept_sha256")
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op7_ngram_jaccard_join,)}
+    return {f.__name__: f for f in (op3_substring_dedup, op7_ngram_jaccard_join,)}
 
 
 def oracle_sql() -> dict[str, str]:
