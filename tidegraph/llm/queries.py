@@ -6,24 +6,48 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embedding_join import near_vectors
+from .line_crf import fit, judge
 from .ngram_join import ngram_components
+from .packing import pack_documents
 from .shared import table
 from .span_dedup import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_path() -> str:
+    """The public vocabulary of the packing query."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"), window=50, digest=True)
     return out.withColumnRenamed("kept", "kept_sha256")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    return judge(docs, model).drop("text", "content_share")
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_substring_dedup, op7_ngram_jaccard_join,)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op3_substring_dedup, op5_quality_rules, op7_ngram_jaccard_join, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
