@@ -5,13 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import language_id
 from .embedding_join import near_vectors
 from .line_crf import fit, judge
+from .mixing import mix
 from .ngram_join import ngram_components
 from .packing import pack_documents
+from .secrets import digest_spans, find_secrets
 from .shared import table
 from .span_dedup import remove_repeats
+from .url_filter import judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,11 +32,20 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"), window=50, digest=True)
     return out.withColumnRenamed("kept", "kept_sha256")
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels"))
@@ -42,12 +56,34 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True)))
+    model = language_id.fit(docs.filter("not held_out"))
+    return language_id.predict(docs.select("doc_id", "text", "held_out"), model).drop("text")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_spans(find_secrets(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op3_substring_dedup, op5_quality_rules, op7_ngram_jaccard_join, op9_packing)}
+    found = (
+        op1_embedding_near_dedup,
+        op2_mixing,
+        op3_substring_dedup,
+        op4_url_filter,
+        op5_quality_rules,
+        op7_ngram_jaccard_join,
+        op8_language_id,
+        op9_packing,
+        op10_secret_scan,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
