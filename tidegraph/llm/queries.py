@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id
+from . import language_id, license_scan
 from .embedding_join import near_vectors
 from .line_crf import fit, judge
 from .mixing import mix
@@ -52,6 +52,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, model).drop("text", "content_share")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: source, language, thousand, document."""
+    docs = table(spark, sf_dir, "documents").filter("doc_id is not null")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.floor(F.col("doc_id") / 1000).cast("string"), F.col("doc_id").cast("string"))
+    found = license_scan.scan(docs.select(path.alias("path"), "text"))
+    return found.select(F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), "path", "own_licence", F.round("score", 6).alias("score"), "is_licence_file", "licence", "inherited_from")
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), n=4, percent=85)
 
@@ -78,6 +86,7 @@ def queries() -> dict[str, Query]:
         op3_substring_dedup,
         op4_url_filter,
         op5_quality_rules,
+        op6_license_scan,
         op7_ngram_jaccard_join,
         op8_language_id,
         op9_packing,
