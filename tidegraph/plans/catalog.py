@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+from .oracles import SQL
+from .queries import FOUND, Query
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(FOUND)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
