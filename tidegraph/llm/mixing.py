@@ -47,10 +47,10 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
-    take = counts * budget // max(total, 1)
-    gap = budget - int((take * lengths).sum())
     order = np.argsort(-lengths, kind="stable")
     table = max(TABLE, 2 * int(lengths.max(initial=0)))
+    take = counts * max(0, budget - table) // max(total, 1)  # what is left is for the program
+    gap = budget - int((take * lengths).sum())
     for i in order:  # long ones first, down to what the table covers
         k = min(int(counts[i] - take[i]), max(0, gap - table // 2) // max(int(lengths[i]), 1))
         take[i] += k
