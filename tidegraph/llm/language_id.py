@@ -24,6 +24,8 @@ from . import words as W
 
 BUCKETS, DIM, ORDERS = 1 << 15, 16, (2, 3, 4)
 SAMPLE, MAX_CHARS, EPOCHS = 3000, 4000, 6
+#: A small sample is gone through more often, up to so many steps.
+STEPS = 12_000
 UNKNOWN = "und"
 
 
@@ -79,6 +81,7 @@ def train(texts: pa.Array, labels: list[str], epochs: int = EPOCHS, seed: int =
     held = rows[W.mix(rows.astype(W.U)) % W.U(5) == 0]
     rows = np.setdiff1d(rows, held) if len(rows) > 50 else rows
     held = held if len(held) else rows
+    epochs = max(epochs, -(-STEPS // max(len(rows), 1)))
     for epoch in range(epochs):
         step = 0.5 * (1 - epoch / epochs)
         for d in rng.permutation(rows):
