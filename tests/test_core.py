@@ -1,0 +1,159 @@
+"""Hand fixtures of the time-shape operators."""
+
+import datetime as dt
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidegraph.functions import arrays as A
+from tidegraph.operators import cluster, distance, embed, features, graph, prepare, spatial, spectral
+from tidegraph.sources import seasons
+
+
+def rows(df, *names):
+    return sorted(tuple(r[n] for n in names) for r in df.collect())
+
+
+def line(spark, xs):
+    return spark.createDataFrame([(i, [float(x)]) for i, x in enumerate(xs)], "id long, v array<double>")
+
+
+def test_season_days_are_positional(spark):
+    days = ["1996-07-30", "1996-07-31", "1996-08-01", "1996-12-30", "1996-12-31", "1997-01-01", "1997-07-31", "1997-08-01"]
+    df = spark.createDataFrame([(i, dt.date.fromisoformat(x)) for i, x in enumerate(days)], "i int, d date")
+    y, t = seasons.season_of(F.col("d"))
+    assert rows(df.select("i", y.alias("y"), t.alias("t")), "i", "y", "t") == [(0, 1995, 364), (1, 1996, 0), (2, 1996, 1), (3, 1996, 152), (4, None, None), (5, 1996, 153), (6, 1996, 364), (7, 1997, 0)]
+
+
+def test_lag_rate_is_cut_at_the_ends(spark):
+    df = spark.createDataFrame([([0.0, 0.0, 1.0, 3.0, 6.0, 6.0],)], "s array<double>")
+    one, three = df.select(A.lag_rate(F.col("s"), 1).alias("a"), A.lag_rate(F.col("s"), 3).alias("b")).first()
+    assert one == [0, 1, 2, 3, 0, 0]
+    assert three == pytest.approx([1 / 3, 1, 2, 5 / 3, 1, 0])
+
+
+def test_soft_bins(spark):
+    df = spark.createDataFrame([(0, [0.3]), (1, [1.0]), (2, [-5.0]), (3, [-0.1])], "pixel long, rate array<double>")
+    h = {(r.pixel, r.bin): r.h for r in features.soft_histogram(df, ["pixel"], 1).collect() if r.h > 1e-12}
+    assert h == pytest.approx({(0, 4): 0.3, (1, 4): 0.056641, (1, 5): 0.943359, (2, 0): 5.0, (3, 1): 0.01145, (3, 2): 0.08855}, abs=1e-5)
+
+
+def test_blocks_wrap(spark):
+    df = spark.createDataFrame([(0, 0, 0, 3.0), (0, 1, 0, 0.0)], "pixel long, cell int, bin int, h double")
+    v = [r.v for r in features.block_normalize(df, ["pixel"], 2, 1).orderBy("f").collect()]
+    assert v == pytest.approx([0.196116, 0, 0, 0.196116], abs=1e-6)
+
+
+def test_cells_of_a_season(spark):
+    n = lambda k: [r["count"] for r in spark.range(365).groupBy(A.cell_of(F.col("id"), k, 365).alias("c")).count().orderBy("c").collect()]
+    assert n(24)[:5] == [16, 15, 15, 15, 16]
+    assert n(12) == [31, 30, 31, 30, 31, 30, 30, 31, 30, 31, 30, 30]
+
+
+def test_features_are_distributions_and_snow_free_years_count_for_nothing(spark):
+    rng = np.random.default_rng(1)
+    data = [(p, y, (rng.integers(0, 5, 365) * (p != 2 or y)).astype(float).tolist()) for p in range(3) for y in range(2)]
+    c = spark.createDataFrame(data, "pixel long, year int, s array<double>")
+    for f in (features.lag_hog, features.raw_curve, features.haar_scalogram, features.count_histogram, features.temporal_hog):
+        assert all(abs(r.t - 1) < 1e-9 for r in f(c).groupBy("pixel").agg(F.sum("v").alias("t")).collect()), f
+    s = np.array(data[5][2])
+    want = np.fft.rfft(s)[1:7] / s.sum()
+    got = [r.v for r in features.fourier(c).filter("pixel = 2").orderBy("f").collect()]
+    assert got == pytest.approx([*want.real, *want.imag], abs=1e-9)
+    assert features.seasons(c).filter("pixel = 2").count() == 1
+
+
+def test_missing_values_are_no_snow(spark):
+    df = spark.createDataFrame([(1, 0, 0, None), (1, 0, 1, 0.6), (2, 0, 0, None)], "pixel long, year int, day int, v double")
+    assert rows(prepare.active_days(df, 1), "pixel", "active_days") == [(1, 1.0), (2, 0.0)]
+
+
+def test_contract_numbers_vertices_in_pixel_order(spark):
+    c = spark.createDataFrame([(5, 0, [1.0, 2.0]), (7, 0, [1.0, 2.0]), (9, 0, [2.0, 1.0])], "pixel long, year int, s array<double>")
+    assert rows(prepare.contract(c), "pixel", "vertex") == [(5, 0), (7, 0), (9, 1)]
+
+
+def test_distances(spark):
+    p = spark.createDataFrame([(0, [0.5, 0.5]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, v array<double>")
+    assert [r.d for r in distance.pairs(p, "hellinger").orderBy("i", "j").collect()] == pytest.approx([0.541196, 0.541196, 1], abs=1e-6)
+    assert [r.d for r in distance.pairs(p, "js").orderBy("i", "j").collect()] == pytest.approx([0.557923, 0.557923, 1], abs=1e-6)
+
+
+def test_blocks_of_points_agree(spark, monkeypatch):
+    p = spark.createDataFrame([(i, np.random.default_rng(i).random(3).tolist()) for i in range(40)], "id long, v array<double>")
+    whole = rows(distance.top_k(p, 3), "i", "j", "rank"), rows(distance.pairs(p), "i", "j")
+    monkeypatch.setattr(distance, "BLOCK", 9)
+    assert (rows(distance.top_k(p, 3), "i", "j", "rank"), rows(distance.pairs(p), "i", "j")) == whole
+    assert len(whole[1]) == 780
+
+
+@pytest.mark.parametrize(("k", "edges", "degree", "cc", "mutual"), [(1, 4, [1, 2, 2, 2, 1], [0] * 5, 0.4), (2, 7, [2, 3, 4, 3, 2], [1, 2 / 3, 1 / 2, 2 / 3, 1], 0.6)])
+def test_neighbour_graph(spark, k, edges, degree, cc, mutual):
+    n = distance.top_k(line(spark, [0, 1, 3, 7, 15]), 2)
+    e = graph.knn_edges(n, k)
+    d = graph.degree_clustering(spark.range(5), e).orderBy("id").collect()
+    assert e.filter("src < dst").count() == edges
+    assert [r.degree for r in d] == degree
+    assert [r.cc for r in d] == pytest.approx(cc)
+    assert graph.mutual_share(n, k).first()[0] == pytest.approx(mutual)
+
+
+def test_components_are_numbered_by_their_smallest_vertex(spark):
+    e = spark.createDataFrame([(0, 3), (3, 0), (1, 2), (2, 1)], "src long, dst long")
+    assert rows(graph.component_numbers(graph.components(spark.range(5), e)), "id", "label") == [(0, 0), (1, 1), (2, 1), (3, 0), (4, 2)]
+
+
+def test_zero_scale_raises_or_falls_back(spark):
+    n = distance.top_k(line(spark, [0] * 9 + [5, 6, 8, 11, 15, 20, 26, 33]), 7)
+    e = graph.knn_edges(n, 7)
+    with pytest.raises(Exception, match="equal points"):
+        spectral.gaussian_weights(e, n).collect()
+    assert spectral.gaussian_weights(e, n, fallback=True).filter("w > 1 or w < 0").count() == 0
+
+
+def test_spectrum_counts_components(spark):
+    w = spark.createDataFrame([(0, 1, 1.0), (1, 0, 1.0), (2, 3, 1.0), (3, 2, 1.0)], "src long, dst long, w double")
+    lam = [r["lambda"] for r in spectral.eigenvalues(spectral.laplacian(w).withColumn("run", F.lit(0).cast("long"))).orderBy("idx").collect()]
+    assert lam == pytest.approx([0, 0, 2, 2], abs=1e-9)
+
+
+def test_most_isolated(spark):
+    v = spark.createDataFrame(list(enumerate([0.0, 0.1, 0.4, 0.8, 0.9])), "idx int, lambda double")
+    assert spectral.most_isolated(v, 1, 4).first()["idx"] == 2
+
+
+def test_labels(spark):
+    two = spark.createDataFrame([(0, 1, 0), (1, 1, 0), (2, 0, 1), (3, 0, 1)], "id long, lab long, ref long")
+    assert rows(cluster.match_labels(two, 2), "id", "lab") == [(0, 0), (1, 0), (2, 1), (3, 1)]
+    assert cluster.agreement(two, 2).first()[0] == 1
+    both = spark.createDataFrame([(0, 0), (0, 1), (1, 0), (1, 1)], "a int, b int")
+    assert cluster.ari(both).first()[0] == pytest.approx(-0.5)
+    assert cluster.ari(both.select("a", F.col("a").alias("b"))).first()[0] == pytest.approx(1)
+
+
+def test_kmeans_and_communities_find_planted_groups(spark):
+    rng = np.random.default_rng(0)
+    pts = [(0, i, (rng.normal(size=2) * 0.1 + 5 * (i % 3)).tolist()) for i in range(60)]
+    lab = cluster.kmeans(spark.createDataFrame(pts, "run long, id long, v array<double>"), 3, 5)
+    assert cluster.ari(lab.select(F.col("lab").alias("a"), (F.col("id") % 3).alias("b"))).first()[0] == pytest.approx(1)
+    e = [(0, i, j, 1.0) for i in range(12) for j in range(12) if i != j and i // 4 == j // 4] + [(0, 0, 4, 0.1), (0, 4, 0, 0.1)]
+    got = cluster.louvain(spark.createDataFrame(e, "run long, src long, dst long, w double")).collect()
+    assert len({r.comm for r in got}) == 3 and got[0].modularity > 0.5
+
+
+def test_map(spark):
+    g = spark.createDataFrame([(0, 0, 0), (1, 0, 1), (2, 1, 0), (3, 1, 1)], "id long, r int, c int")
+    assert spatial.grid_edges(g).count() == 6
+    km = spark.range(1).select(A.haversine_km(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))).first()[0]
+    assert km == pytest.approx(111.194927, abs=1e-6)
+
+
+def test_affinities_and_maps():
+    sq = np.random.default_rng(0).random(50)
+    p, h = embed.row_affinities(sq, 10)
+    assert abs(h - math.log(10)) < 1e-4 and abs(p.sum() - 1) < 1e-12
+    x = np.random.default_rng(0).random((30, 5))
+    y, kl = embed.tsne(np.full((30, 30), 1 / 29.0), embed.pca(x), 60)
+    assert y.shape == (30, 2) and kl >= 0

@@ -94,7 +94,7 @@ whole AS (SELECT pixel, list(s ORDER BY year) AS z FROM twin GROUP BY 1),
 rep AS (SELECT z, min(pixel) AS rep FROM whole GROUP BY 1),
 v AS (SELECT pixel, rep, dense_rank() OVER (ORDER BY rep) - 1 AS vertex FROM whole JOIN rep USING (z))"""
 SQL["contract_duplicates"] = f"WITH {_CONTRACT} SELECT pixel, vertex, rep FROM v"
-SQL["duplicate_columns"] = f"WITH {_CONTRACT} SELECT DISTINCT lon FROM (SELECT vertex, min(73 + 0.25 * (pixel % 25)) AS lon, count(*) AS n FROM v GROUP BY 1) WHERE n > 1"
+SQL["duplicate_columns"] = f"WITH {_CONTRACT} SELECT DISTINCT CAST(lon AS DOUBLE) AS lon FROM (SELECT vertex, min(73 + 0.25 * (pixel % 25)) AS lon, count(*) AS n FROM v GROUP BY 1) WHERE n > 1"
 SQL["vertex_elevation"] = f"WITH {_CONTRACT} SELECT vertex, avg(CASE WHEN pixel % 7 <> 0 THEN CAST(pixel % 97 AS DOUBLE) END) AS v FROM v GROUP BY 1"
 SQL["climatology"] = f"WITH {_CURVES} SELECT pixel, day, {_r('avg(v)')} AS v FROM long GROUP BY 1, 2"
 SQL["year_subsets"] = f"""WITH {_CURVES}, y AS (SELECT DISTINCT year FROM c),
