@@ -5,20 +5,22 @@ metrics; every step is an instance of "assign to a pivot's region, replicate wha
 the triangle inequality cannot exclude, join regions on their own".
 
 1. *Shingle regions.*  With the one-element sets {s} as pivots, a document's nearest
-   pivots are its own shingles; ties go to the first in one global order (shingles of
-   very many documents last, the rest by hash).  Two sets of distance <= r differ in
-   few enough elements that their first common shingle is among the first
-   n - ceil(t n) + 1 of each, t = 1 - r: these are the regions a set is replicated to.
+   pivots are its own shingles; ties go to the first in one global order.  Two sets of
+   distance <= r differ in few enough elements that their first common shingle is among
+   the first n - ceil(t n) + 1 of each, t = 1 - r: these are the regions a set is
+   replicated to.  The order puts rare shingles first, by the number of sets that hold
+   them, as counted for the share POOL of all shingles of smallest hash; the others
+   follow by hash.  A set with enough shingles of its own needs no region at all.
 2. *Windows inside a region.*  64 hash classes of shingles act as further pivots; the
    counts of a set in them move by at most the symmetric difference, so two sets whose
    count vectors are further apart (L1) than sets of distance r can be are no pair.
    The remaining candidates only say which sets share a *block*, a linear number.
 3. *Document pivots.*  A block is joined exactly.  Sets within r of a pivot document
-   are linked to it and not compared among themselves; Voronoi cells take over the
-   sets with d <= d(nearest) + 2 r, and of the pivot's own component only those within
-   r of the rest.  Large blocks do this as Spark jobs, small ones in a task, until
-   nothing is left to compare; where no pivot separates a block (all distances near 1),
-   its rest is compared chunk against chunk.
+   are linked to it, and sets of one component need no comparing.  What is outside the
+   main component meets the rest by Voronoi regions of the pivots, in parts of bounded
+   size: two parts are joined only if the triangle inequality leaves it for every pivot,
+   and so are two sets in them.  Large blocks do this as Spark jobs, small ones in a
+   task, by recursion on what lies outside the pivot's ball.
 
 Nothing is sampled or capped: links between different sets are all found, or implied
 by a chain of found ones.  Sets are identified by a 64-bit digest and compared as
@@ -32,17 +34,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
 from .shared import all_rows, components, written
 
 CLASSES = 64
-#: No more than so many shingles go to the end of the global order (8 MB on each executor).
-MOST_COMMON = 1_000_000
-#: Shingles of a part of a partition are counted together up to so many.
-COUNT_TOGETHER = 4_000_000
+#: The share of all shingles, those of smallest hash, that are counted.
+POOL = 0.3
+_POOL_END = W.U(int(POOL * 2**64))
 
 
 def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -62,44 +63,31 @@ def _sketch(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount((s >> W.U(58)).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8).tobytes()
 
 
-def _sign(n: int):
-    """A row for each document (node: digest of its set, null without shingles), and local counts of shingles that are common here."""
+def _reach(size: int, percent: int) -> int:
+    """Of a set's first so many shingles one is in every set that it links with."""
+    return size - -(-percent * size // 100) + 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        docs = total = 0
 
-        def common() -> pa.RecordBatch:
-            u, c = np.unique(np.concatenate(held), return_counts=True)
-            u, c = (x[c >= max(2, docs / 1000)] for x in (u, c))
-            none = pa.nulls(len(u), pa.int64())
-            return pa.record_batch([none, pa.nulls(len(u), pa.int64()), none, pa.nulls(len(u), pa.binary()), pa.array(W.signed(u)), pa.array(c)], names=names)
+def _sign(n: int):
+    """A row for each document: shingles, those that are counted, digest of the set (null without shingles), class counts."""
 
-        names = ["doc_id", "n", "node", "sketch", "shingle", "count"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, node, sketch = [], [], []
+            size, pool, node, sketch = [], [], [], []
             for _, s in _sets(batch, n):
                 size.append(len(s))
+                pool.append(int(np.searchsorted(s, _POOL_END)))
                 node.append(_digest(s) if len(s) else None)
                 sketch.append(_sketch(s) if len(s) else None)
-                held.append(s)
-                docs, total = docs + 1, total + len(s)
-                if total >= COUNT_TOGETHER:
-                    yield common()
-                    held, docs, total = [], 0, 0
-            none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.binary()), none, none], names=names)
-        if held:
-            yield common()
+            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), *(pa.array(x, pa.int64()) for x in (size, pool, node)), pa.array(sketch, pa.binary())], names=["doc_id", "n", "pool", "node", "sketch"])
 
     return run
 
 
-def _regions_of(common, n: int, percent: int):
-    """(shingle, node) for each region that a set is replicated to; the same set counts once in a batch."""
+def _regions_of(n: int, percent: int):
+    """(shingle, node) for each region that a set may be replicated to; the same set counts once in a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = common.value
         for batch in batches:
             seen: set[int] = set()
             heads, nodes = [], []
@@ -107,10 +95,8 @@ def _regions_of(common, n: int, percent: int):
                 if not len(s) or (d := _digest(s)) in seen:
                     continue
                 seen.add(d)
-                many = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s if len(last) else np.zeros(len(s), bool)
-                head = np.concatenate((s[~many], s[many]))[: len(s) - -(-percent * len(s) // 100) + 1]
-                heads.append(head)
-                nodes.append(np.full(len(head), d, np.int64))
+                heads.append(s[: max(int(np.searchsorted(s, _POOL_END)), _reach(len(s), percent))])
+                nodes.append(np.full(len(heads[-1]), d, np.int64))
             if heads:
                 yield pa.record_batch([pa.array(W.signed(np.concatenate(heads))), pa.array(np.concatenate(nodes))], names=["shingle", "node"])
 
@@ -118,7 +104,7 @@ def _regions_of(common, n: int, percent: int):
 
 
 def _shared_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition with whole regions, the members of those with two different sets."""
+    """Of a partition with whole regions, the members of those with two different sets, and how many these have."""
     if (t := all_rows(batches)) is None:
         return
     s, d = t["shingle"].to_numpy(), t["node"].to_numpy()
@@ -132,7 +118,17 @@ def _shared_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     keep[1:] |= same
     keep[:-1] |= same
     if keep.any():
-        yield pa.record_batch([pa.array(s[keep]), pa.array(d[keep])], names=["shingle", "node"])
+        size = np.diff(np.append(np.flatnonzero(np.append(True, ~same)), len(s)))
+        yield pa.record_batch([pa.array(s[keep]), pa.array(d[keep]), pa.array(np.repeat(size, size)[keep])], names=["shingle", "node", "sets"])
+
+
+def _first_regions(shared: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The (shingle, node) among the first of the set in the global order: rarest first, and what is in no other set before that."""
+    reach = F.expr(f"n - ({percent} * n + 99) div 100 + 1")
+    ordered = Window.partitionBy("node").orderBy("sets", "shingle")
+    rows = shared.withColumn("place", F.row_number().over(ordered)).withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("node")))
+    rows = rows.join(nodes.select("node", "n", "pool"), "node")
+    return rows.filter((F.col("pool") < reach) | (F.col("place") <= reach - F.col("pool") + F.col("met"))).select("shingle", "node")
 
 
 def _window_edges(percent: int):
@@ -288,18 +284,30 @@ def _pivot_distances(percent: int):
     return run
 
 
-def _chunk_links(percent: int):
-    """Links between two chunks of a block, or inside one (i = j): every pair is compared."""
+def _part_links(percent: int):
+    """Links between two parts of a block, or inside one: sets of different components whose distances to all pivots are near enough.  A component that a link reaches is joined at once."""
+    r = 1 - percent / 100
 
     def run(t: pa.Table) -> pa.Table:
-        node, left, sets = t["node"].to_numpy(), t["left"].to_numpy(), set_arrays(t["set"])
-        same = t["i"][0].as_py() == t["j"][0].as_py()
-        a, b = np.flatnonzero(left), np.flatnonzero(~left if not same else left)
+        left, node, sets = t["left"].to_numpy(zero_copy_only=False), t["node"].to_numpy(), set_arrays(t["set"])
+        d = np.stack(t["ds"].to_numpy(zero_copy_only=False))
+        comp = np.unique(t["comp"].to_numpy(), return_inverse=True)[1]
+        same = t["part"][0].as_py() == t["other"][0].as_py()
+        order = np.argsort(node, kind="stable")
+        a = order[left[order]]
+        b = a if same else order[~left[order]]
         out: list[tuple[int, int]] = []
         for k, i in enumerate(a):
             rest = b[k + 1 :] if same else b
-            if len(rest):
-                out += [(node[i], node[j]) for j in rest[_links(sets[i], [sets[j] for j in rest], percent)[0]]]
+            rest = rest[comp[rest] != comp[i]]
+            rest = rest[np.abs(d[rest] - d[i]).max(1) <= r + 1e-9] if len(rest) else rest
+            while len(rest):
+                some, rest = rest[:64], rest[64:]
+                for j in some[_links(sets[i], [sets[x] for x in some], percent)[0]]:
+                    if comp[j] != comp[i]:
+                        out.append((node[i], node[j]))
+                        comp[comp == comp[j]] = comp[i]
+                rest = rest[comp[rest] != comp[i]]
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
     return run
@@ -313,55 +321,41 @@ def _salted_pivots(state: DataFrame, big: DataFrame, pivots: int, part: int) ->
     return rows.select("block", "node", "set", "salt"), copies.select("of", "pivot", "pset", F.col("salt").cast("long").alias("at"))
 
 
-def join_blocks(sets: DataFrame, percent: int = 85, max_rows: int = 128, pivots: int = 8, rounds: int = 3) -> DataFrame:
-    """Links (a, b) that connect all linked nodes of each block of ``sets(block, node, set array<long>)``.
-
-    Blocks of up to max_rows are joined in a task.  Larger ones go through rounds of
-    document pivots; what these leave is joined as above or, after the last round, chunk
-    against chunk.
-    """
-    r = 1 - percent / 100
-    links: list[DataFrame] = []
-    state = sets
-    for step in range(rounds + 1):
-        sizes = state.groupBy("block").agg(F.count(F.lit(1)).alias("rows"), F.min("node").alias("first"))
-        sizes = written(sizes)
-        big = written(sizes.filter(F.col("rows") > max_rows).withColumn("salts", F.ceil(F.col("rows") / max_rows)))
-        if big.isEmpty():
-            links.append(written(state.groupBy("block").applyInArrow(_join_small(percent), "a long, b long").filter("a <> b")))
-            break
-        small = state.join(big.select("block"), "block", "left_anti")
-        links.append(written(small.groupBy("block").applyInArrow(_join_small(percent), "a long, b long").filter("a <> b")))
-        if step == rounds:
-            links.append(written(_by_chunks(state.join(big, "block"), percent, max_rows)))
-            break
-        parts, chosen = _salted_pivots(state, big, pivots, max_rows)
-        near = written(parts.groupBy("block", "salt").cogroup(chosen.groupBy("of", "at")).applyInArrow(_pivot_distances(percent), "block long, node long, pivot long, linked boolean, d double"))
-        edge = near.filter("linked and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-        links.append(edge)
-        whole = components(edge)
-        # Voronoi cells with their windows
-        home = near.groupBy("block", "node").agg(F.min("d").alias("home"))
-        cell = near.join(home, ["block", "node"]).filter(F.col("d") <= F.col("home") + 2 * r + 1e-9)
-        cell = cell.join(whole, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-        own = cell.filter("node = pivot").select("block", "pivot", F.col("comp").alias("main"))
-        cell = written(cell.join(own, ["block", "pivot"]))
-        rest = cell.filter("comp <> main").groupBy("block", "pivot").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
-        kept = cell.join(written(rest), ["block", "pivot"]).filter((F.col("comp") != F.col("main")) | ((F.col("d") >= F.col("lo") - r - 1e-9) & (F.col("d") <= F.col("hi") + r + 1e-9)))
-        state = written(kept.select("node", F.xxhash64("block", "pivot").alias("block")).join(state.select("node", "set").dropDuplicates(["node"]), "node"))
-        if state.isEmpty():
-            break
-    out = links[0]
-    for x in links[1:]:
-        out = out.union(x)
-    return out
-
-
-def _by_chunks(rows: DataFrame, percent: int, size: int) -> DataFrame:
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("salts")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))
-    rows = rows.withColumn("o", other).select("block", "node", "set", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), (F.col("chunk") <= F.col("o")).alias("left"))
-    return rows.groupBy("block", "i", "j").applyInArrow(_chunk_links(percent), "a long, b long")
+def join_blocks(sets: DataFrame, percent: int = 85, max_rows: int = 128, pivots: int = 8) -> DataFrame:
+    """Links (a, b) that connect all linked nodes of each block of ``sets(block, node, set array<long>)``; blocks of more than max_rows as Spark jobs."""
+    sizes = sets.groupBy("block").agg(F.count(F.lit(1)).alias("rows"), F.min("node").alias("first"))
+    big = written(sizes.filter(F.col("rows") > max_rows).withColumn("salts", F.ceil(F.col("rows") / max_rows)))
+    small = sets.join(big.select("block"), "block", "left_anti")
+    links = written(small.groupBy("block").applyInArrow(_join_small(percent), "a long, b long").filter("a <> b"))
+    return links if big.isEmpty() else links.union(_join_large(sets, big, percent, max_rows, pivots))
+
+
+def _join_large(sets: DataFrame, big: DataFrame, percent: int, max_rows: int, pivots: int) -> DataFrame:
+    parts, chosen = _salted_pivots(sets, big, pivots, max_rows)
+    near = written(parts.groupBy("block", "salt").cogroup(chosen.groupBy("of", "at")).applyInArrow(_pivot_distances(percent), "block long, node long, pivot long, linked boolean, d double"))
+    links = near.filter("linked and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    nodes = near.groupBy("block", "node").agg(F.min_by("pivot", F.struct("d", "pivot")).alias("home"), F.transform(F.array_sort(F.collect_list(F.struct("pivot", "d"))), lambda x: x["d"]).alias("ds"))
+    nodes = written(nodes.join(components(links), "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component"))
+    main = nodes.groupBy("block", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("block").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
+    nodes = written(nodes.join(written(main), "block").withColumn("outside", F.col("comp") != F.col("main")).drop("main"))
+    # regions of the pivots, inside and outside the main component, in parts of max_rows
+    kinds = ["block", "outside", "home"]
+    size = nodes.groupBy(*kinds).agg(F.ceil(F.count(F.lit(1)) / max_rows).alias("salts"))
+    nodes = written(nodes.join(written(size), kinds).withColumn("part", F.xxhash64("outside", "home", F.pmod(F.xxhash64("node"), F.col("salts")))).drop("salts", "home"))
+    spread = nodes.select("block", "outside", "part", F.posexplode("ds").alias("k", "d")).groupBy("block", "outside", "part", "k").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+    sums = F.transform(F.array_sort(F.collect_list(F.struct("k", "lo", "hi"))), lambda x: F.struct(x["lo"].alias("lo"), x["hi"].alias("hi")))
+    spread = written(spread.groupBy("block", "outside", "part").agg(sums.alias("ds")))
+    other = spread.select("block", F.col("outside").alias("too"), F.col("part").alias("other"), F.col("ds").alias("es"))
+    r = 1 - percent / 100 + 1e-9
+    met = F.forall(F.arrays_zip("ds", "es"), lambda z: (z["ds"]["lo"] <= z["es"]["hi"] + r) & (z["es"]["lo"] <= z["ds"]["hi"] + r))
+    twos = spread.filter("outside").join(other, "block").filter(~F.col("too") | (F.col("part") <= F.col("other"))).filter(met)
+    twos = written(twos.select("block", "part", "other"))
+    full = nodes.drop("outside").join(sets.select("node", "set"), "node")
+    left = full.join(twos, ["block", "part"]).withColumn("left", F.lit(True))
+    right = full.withColumnRenamed("part", "other").join(twos.filter("part <> other"), ["block", "other"]).withColumn("left", F.lit(False))
+    names = ["block", "part", "other", "left", "node", "comp", "ds", "set"]
+    joined = left.select(*names).union(right.select(*names)).groupBy("block", "part", "other").applyInArrow(_part_links(percent), "a long, b long")
+    return links.union(written(joined))
 
 
 def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, max_rows: int = 128) -> DataFrame:
@@ -374,26 +368,19 @@ def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, max_rows: i
     a doc_id are one document for links if their texts' sets agree, and each keeps its
     own component otherwise.  Other columns of docs are ignored; no rows give no rows.
     """
-    spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long"), "text")
-    signed = written(base.mapInArrow(_sign(n), "doc_id long, n long, node long, sketch binary, shingle long, count long"))
-    rows = signed.filter("n is not null").select("doc_id", "n", "node", "sketch")
-    total = rows.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("shingles")).first()
-    least = max(64, total["docs"] / 1000, total["shingles"] / MOST_COMMON)
-    many = signed.filter("n is null").groupBy("shingle").agg(F.sum("count").alias("c")).filter(F.col("c") >= least).select("shingle")
-    last = np.sort(np.array([x[0] for x in many.collect()], np.int64).view(W.U))
-    common = spark.sparkContext.broadcast(last)
-
-    regions = base.mapInArrow(_regions_of(common, n, percent), "shingle long, node long")
-    members = written(regions.repartition("shingle").mapInArrow(_shared_regions, "shingle long, node long"))
-    nodes = written(rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    seen = members.join(nodes.select("node", "n", "sketch"), "node")
+    rows = written(base.mapInArrow(_sign(n), "doc_id long, n long, pool long, node long, sketch binary"))
+
+    regions = base.mapInArrow(_regions_of(n, percent), "shingle long, node long")
+    shared = written(regions.repartition("shingle").mapInArrow(_shared_regions, "shingle long, node long, sets long"))
+    nodes = written(rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("pool").alias("pool"), F.first("sketch").alias("sketch")))
+    seen = written(_first_regions(shared, nodes, percent)).join(nodes.select("node", "n", "sketch"), "node")
     edges = seen.repartition("shingle").mapInArrow(_window_edges(percent), "a long, b long")
     blocks = components(edges).select("node", F.col("component").alias("block"))
 
     wanted = blocks.join(nodes.select("node", "doc_id"), "node")
     sets = base.join(wanted, "doc_id").select("text", "node", "block").mapInArrow(_node_sets(n), "block long, node long, set array<long>")
-    sets = written(sets.dropDuplicates(["block", "node"]) if _repeats(rows, total["docs"]) else sets)
+    sets = written(sets.dropDuplicates(["block", "node"]) if _repeats(rows) else sets)
     whole = components(join_blocks(sets, percent, max_rows))
     named = written(nodes.select("node", "doc_id").join(whole, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component")))
     least_id = written(named.groupBy("component").agg(F.min("doc_id").alias("component_id")))
@@ -401,8 +388,8 @@ def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, max_rows: i
     return rows.select("doc_id", "node", F.col("n").alias("n_shingles")).join(named, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def _repeats(rows: DataFrame, docs: int) -> bool:
-    return rows.agg(F.countDistinct("doc_id")).first()[0] < docs
+def _repeats(rows: DataFrame) -> bool:
+    return not rows.groupBy("doc_id").count().filter("count > 1").isEmpty()
 
 
 def keep_first(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
