@@ -95,5 +95,27 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in found}
 
 
+OP1 = """WITH RECURSIVE ok AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a, ok b WHERE a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95),
+reach AS (SELECT vec_id AS id, vec_id AS comp FROM embeddings UNION SELECT l.b, r.comp FROM reach r JOIN link l ON l.a = r.id WHERE r.comp < l.b),
+best AS (SELECT id, min(comp) AS comp FROM reach GROUP BY 1),
+n AS (SELECT a AS id, count(*) AS n FROM link GROUP BY 1)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, b.comp AS component_id, e.vec_id = b.comp AS kept
+FROM embeddings e JOIN best b ON b.id = e.vec_id LEFT JOIN n ON n.id = e.vec_id"""
+
+OP3 = r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 50], ' ') AS k FROM (SELECT doc_id, w, unnest(range(len(w) - 49)) AS i FROM w WHERE len(w) >= 50)),
+first AS (SELECT k, min(doc_id) AS m FROM win GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN first USING (k) WHERE m < doc_id),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS p FROM w),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY 1),
+lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(lost.n, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of the others SQL has no Viterbi decoding, training, packing or template trees, or is too slow on whole tables."""
+    return {"op1_embedding_near_dedup": OP1, "op3_substring_dedup": OP3}
