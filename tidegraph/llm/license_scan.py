@@ -30,7 +30,7 @@ TEMPLATES = (
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
-THRESHOLD, FILE_SHARE = 0.75, 0.5
+THRESHOLD, FILE_SHARE = 0.8, 0.5
 TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
 
@@ -57,10 +57,10 @@ def weigh(templates: tuple[tuple[str, str], ...]) -> tuple[list[tuple[str, int,
 
 
 def heavy_terms(rows: list[tuple[str, int, str, float]], threshold: float) -> list[str]:
-    """Terms of which a line must hold one to reach the threshold with any template: the rarest, until the rest of each is shorter than that."""
+    """Terms of which a line must hold one to reach the threshold with any template: heavy and long ones, which ordinary lines lack, until the rest of each is shorter than that."""
     out: set[str] = set()
     for i in {r[1] for r in rows}:
-        own = sorted((r for r in rows if r[1] == i), key=lambda r: (-r[3], r[2]))
+        own = sorted((r for r in rows if r[1] == i), key=lambda r: (len(r[2]) < 4, -r[3] * len(r[2]), r[2]))
         left = 1.0
         for _, _, t, w in own:
             if math.sqrt(max(left, 0)) < threshold:
