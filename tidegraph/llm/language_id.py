@@ -106,7 +106,10 @@ def train(texts: pa.Array, labels: list[str], epochs: int = EPOCHS, seed: int =
 def fit(docs: DataFrame, sample: int = SAMPLE, max_chars: int = MAX_CHARS) -> Model:
     """A model from ``docs(doc_id, text, lang)``: a bounded sample of rows with text and language."""
     rows = docs.filter("text is not null and lang is not null").filter(F.length("text") <= max_chars)
-    rows = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "text", "lang").limit(sample).toArrow().combine_chunks()
+    rows = rows.select("lang", "text", F.xxhash64("doc_id").alias("h"))
+    # the bound first, on hashes alone: no task gathers texts that the sample doesn't take
+    bound = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    rows = rows.filter(F.col("h") <= F.lit(bound)).orderBy("h", "text", "lang").limit(sample).toArrow().combine_chunks()
     text = rows["text"].chunk(0) if rows.num_rows else pa.array([], pa.string())
     return train(text, rows["lang"].to_pylist())
 
