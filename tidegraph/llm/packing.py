@@ -14,7 +14,10 @@ Only lengths move between tasks; a piece's ids stay in its row if asked for.
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,38 +34,75 @@ CAPACITY, END_ID, GROUP = 2048, 1, 2048
 #: The last ids of a document, fewer than a whole sequence, are cut into pieces of so many: small parts balance well.
 GRAIN = 256
 #: Distinct words whose ids a worker holds; then it starts anew.
-HELD = 300_000
+HELD = 600_000
 TOGETHER = 100
 
 
+#: Letters up to U+024F but the dotted I, whose lower case is two characters, then ASCII punctuation without the apostrophe.
+_PLAIN = re.compile("([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u01BA]*)([!-&(-/:-@\\[-`{-~]*)")
+_SAMPLES = ("a", "The", "reinhe,", "Éçole", "über!!", "SS.***", "groß", "$$", "Ñandú;", "x|")
+
+
+def _visible_bytes() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: printable ones for themselves, the others from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
+
+
 class WordIds:
     """Token ids of words by their hash.  The tokenizer drops white space and never joins across it, so a text's ids are its words' ids."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task on each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.model._resize_cache(0)  # words are held here, and each is asked for once
+        self.table = dict(enumerate(_visible_bytes()))
+        self.direct = False
+        self.direct = all(self._plain(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in _SAMPLES)
         self.clear()
 
+    def _plain(self, text: str) -> list[int] | None:
+        """Ids of Latin letters with punctuation behind them, by the model alone: its other steps only lower-case and split such a word.  None for other words."""
+        m = _PLAIN.fullmatch(text)
+        if m is None:
+            return None
+        ids = []
+        for part in m.groups():
+            if part:
+                ids += [x.id for x in self.tokenizer.model.tokenize(part.lower().encode().decode("latin-1").translate(self.table))]
+        return ids
+
     def clear(self) -> None:
         self.keys = np.zeros(0, W.U)
         self.at = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
 
-    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        size, ids = [], []
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text by the whole tokenizer, many in a line."""
+        out: list[list[int]] = []
         lines = [texts[i : i + TOGETHER] for i in range(0, len(texts), TOGETHER)]
         for line, enc in zip(lines, self.tokenizer.encode_batch([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
             begins = np.concatenate(([0], np.cumsum([len(x) + 1 for x in line])))
             got = enc.offsets
             word = np.searchsorted(begins, np.fromiter((a for a, _ in got), np.int64, len(got)), "right") - 1
-            size.append(np.bincount(word, minlength=len(line))[: len(line)])
-            ids.append(np.asarray(enc.ids, np.uint32))
-        size = np.concatenate(size)
+            cuts = np.searchsorted(word, np.arange(len(line) + 1))
+            ids = enc.ids
+            out += [ids[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        return out
+
+    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        found = [self._plain(x) for x in texts] if self.direct else [None] * len(texts)
+        other = [i for i, x in enumerate(found) if x is None]
+        for i, ids in zip(other, self._encoded([texts[i] for i in other]), strict=True):
+            found[i] = ids
+        size = np.fromiter(map(len, found), np.int64, len(found))
         at = len(self.pool) + np.cumsum(size) - size
-        self.pool = np.concatenate((self.pool, *ids))
+        self.pool = np.concatenate((self.pool, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(size.sum()))))
         keys, at, size = (np.concatenate(x) for x in ((self.keys, keys), (self.at, at), (self.size, size)))
         order = np.argsort(keys)
         self.keys, self.at, self.size = keys[order], at[order], size[order]
@@ -95,7 +135,7 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
         for batch in batches:
             doc = batch.column("doc_id").cast(pa.int64())
             buf, offs, _ = W.text_buffers(batch.column("text"))
-            for lo, hi in W.groups(offs):
+            for lo, hi in W.groups(offs, W.BLOCK):
                 part, o = buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
                 starts, ends, first = W.find_words(part, o)
                 ids, size = find(part, starts, ends)
@@ -143,12 +183,9 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     while len(heap) > 1:
         _, _, a = heapq.heappop(heap)
         _, _, b = heapq.heappop(heap)
-        over = max(0, len(a) + len(b) - k)  # windows that both fill: small ones of a, large ones of b
-        if over:
-            tail = a[len(a) - over :][::-1]
-            new = a[: len(a) - over] + [(x + y, (m, n)) for (x, m), (y, n) in zip(tail, b[:over], strict=True)] + b[over:]
-        else:
-            new = a + b
+        over = max(0, len(a) + len(b) - k)  # windows that both fill: the small ones of each, largest to smallest
+        both = zip(a[len(a) - over :], b[len(b) - over :][::-1], strict=True)
+        new = a[: len(a) - over] + [(x + y, (m, n)) for (x, m), (y, n) in both] + b[: len(b) - over]
         new.sort(key=lambda x: -x[0])
         heapq.heappush(heap, ((new[-1][0] if len(new) == k else 0) - new[0][0], tick, new))
         tick += 1
