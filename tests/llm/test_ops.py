@@ -332,6 +332,23 @@ def test_ngram_join_of_odd_rows(spark, docs):
     assert sorted(r.doc_id for r in ngram_join.keep_first(df.filter("doc_id is not null"), 4, 85).collect()) == [5, 7]
 
 
+@pytest.mark.parametrize("most", [128, 2])
+def test_keep_first_decides_by_text(spark, most):
+    words = [f"w{i}" for i in range(60)]
+    left, middle, right = (" ".join(w) for w in (["x", "y", "z", *words[3:]], words, [*words[:-3], "x", "y", "z"]))
+    # left and right link with the middle, not with each other, and only a null id has the middle
+    rows = [(1, left, "a"), (None, middle, "a"), (2, right, "a"), (None, "only here under no id", "a"), (None, "only here under no id", "b")]
+    rows += [(4, "first text of a repeated id", "a"), (4, "second text of a repeated id", "a"), (4, "second text of a repeated id", "a"), (3, "FIRST text of a repeated id", "a")]
+    rows += [(5, None, "a"), (None, None, "a"), (None, " \t", "a"), (5, "", "a"), (None, "one more without an id", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    want = sorted(map(str, [(1, left), (None, "only here under no id"), (4, "second text of a repeated id"), (3, "FIRST text of a repeated id"), (5, None), (None, None), (None, " \t"), (5, ""), (None, "one more without an id")]))
+    got = [tuple(r) for r in ngram_join.keep_first(df, 4, 85, most).collect()]
+    assert sorted(str(r[:2]) for r in got) == want
+    assert sorted(map(str, got)) == sorted(str(tuple(r)) for r in ngram_join.keep_first(df.orderBy(F.desc("text"), F.desc("key")).repartition(5), 4, 85, most).collect())
+    assert {r.doc_id: r.component_id for r in ngram_join.ngram_components(df, 4, 85, most).filter("doc_id < 3").collect()} == {1: 1, 2: 1}
+    assert ngram_join.keep_first(df.limit(0)).count() == 0
+
+
 def test_small_blocks_are_exact():
     rng = np.random.default_rng(4)
     for _ in range(20):

@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -44,6 +44,8 @@ CLASSES = 64
 #: The share of all shingles, those of smallest hash, that are counted.
 POOL = 0.3
 _POOL_END = W.U(int(POOL * 2**64))
+#: What a text with words holds: a character that is no ASCII space.
+WORD = "[^\\x20\\x09-\\x0D]"
 
 
 def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -69,7 +71,7 @@ def _reach(size: int, percent: int) -> int:
 
 
 def _sign(n: int):
-    """A row for each document: shingles, those that are counted, digest of the set (null without shingles), class counts."""
+    """A row for each document: its key, shingles, those that are counted, digest of the set (null without shingles), class counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,7 +81,7 @@ def _sign(n: int):
                 pool.append(int(np.searchsorted(s, _POOL_END)))
                 node.append(_digest(s) if len(s) else None)
                 sketch.append(_sketch(s) if len(s) else None)
-            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), *(pa.array(x, pa.int64()) for x in (size, pool, node)), pa.array(sketch, pa.binary())], names=["doc_id", "n", "pool", "node", "sketch"])
+            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), batch.column("key"), *(pa.array(x, pa.int64()) for x in (size, pool, node)), pa.array(sketch, pa.binary())], names=["doc_id", "key", "n", "pool", "node", "sketch"])
 
     return run
 
@@ -358,41 +360,75 @@ def _join_large(sets: DataFrame, big: DataFrame, percent: int, max_rows: int, pi
     return links.union(written(joined))
 
 
-def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, max_rows: int = 128) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of ``docs(doc_id, text, ...)``.
+def _named(docs: DataFrame, n: int, percent: int, max_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of docs without their texts (doc_id, key, n, node, ...), and (node, component, component_id) of each set.
 
-    Words are lower-cased in A-Z only.  Two documents link when 100 |A and B| >=
-    percent |A or B| of their shingle sets; component_id is the smallest doc_id that
-    links reach, itself included.  A document without words or text has no shingles
-    and its own id; a null doc_id stays null and names no component.  Rows that repeat
-    a doc_id are one document for links if their texts' sets agree, and each keeps its
-    own component otherwise.  Other columns of docs are ignored; no rows give no rows.
+    key is a hash of the text: a set's text is found by the doc_id, null or not, and key
+    of its first row.
     """
-    base = docs.select(F.col("doc_id").cast("long"), "text")
-    rows = written(base.mapInArrow(_sign(n), "doc_id long, n long, pool long, node long, sketch binary"))
+    base = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("key"))
+    rows = written(base.mapInArrow(_sign(n), "doc_id long, key long, n long, pool long, node long, sketch binary"))
 
     regions = base.mapInArrow(_regions_of(n, percent), "shingle long, node long")
     shared = written(regions.repartition("shingle").mapInArrow(_shared_regions, "shingle long, node long, sets long"))
-    nodes = written(rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("pool").alias("pool"), F.first("sketch").alias("sketch")))
+    nodes = rows.filter("node is not null").groupBy("node").agg(_first_row(), F.first("n").alias("n"), F.first("pool").alias("pool"), F.first("sketch").alias("sketch"))
+    nodes = written(nodes.select("node", "row.doc_id", "row.key", "n", "pool", "sketch"))
     seen = written(_first_regions(shared, nodes, percent)).join(nodes.select("node", "n", "sketch"), "node")
     edges = seen.repartition("shingle").mapInArrow(_window_edges(percent), "a long, b long")
     blocks = components(edges).select("node", F.col("component").alias("block"))
 
-    wanted = blocks.join(nodes.select("node", "doc_id"), "node")
-    sets = base.join(wanted, "doc_id").select("text", "node", "block").mapInArrow(_node_sets(n), "block long, node long, set array<long>")
+    wanted = blocks.join(nodes.select("node", F.col("doc_id").alias("id"), F.col("key").alias("text_key")), "node")
+    sets = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("text_key")))
+    sets = sets.select("text", "node", "block").mapInArrow(_node_sets(n), "block long, node long, set array<long>")
     sets = written(sets.dropDuplicates(["block", "node"]) if _repeats(rows) else sets)
     whole = components(join_blocks(sets, percent, max_rows))
     named = written(nodes.select("node", "doc_id").join(whole, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component")))
     least_id = written(named.groupBy("component").agg(F.min("doc_id").alias("component_id")))
-    named = written(named.join(least_id, "component").select("node", "component_id"))
-    return rows.select("doc_id", "node", F.col("n").alias("n_shingles")).join(named, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return rows, written(named.join(least_id, "component").select("node", "component", "component_id"))
+
+
+def _first_row() -> Column:
+    """Of a group the row of the smallest doc_id, nulls last, and of these the smallest key."""
+    return F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("row")
 
 
 def _repeats(rows: DataFrame) -> bool:
-    return not rows.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    """Whether a text comes twice under one doc_id."""
+    return not rows.groupBy("doc_id", "key").count().filter("count > 1").isEmpty()
+
+
+def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, max_rows: int = 128) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of ``docs(doc_id, text, ...)``.
+
+    Words are lower-cased in A-Z only.  Two documents link when 100 |A and B| >=
+    percent |A or B| of their shingle sets; component_id is the smallest doc_id that
+    links reach, itself included.  A document without words or text has no shingles
+    and its own id; a null doc_id stays null and names no component, but its text links
+    others.  Rows that repeat a doc_id are one document for links if their texts' sets
+    agree, and each keeps its own component otherwise.  Other columns of docs are
+    ignored; no rows give no rows.
+    """
+    rows, named = _named(docs, n, percent, max_rows)
+    return rows.select("doc_id", "node", F.col("n").alias("n_shingles")).join(named, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def keep_first(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component; of a repeated doc_id every row of the same text stays once."""
-    kept = ngram_components(docs, n, percent).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+def keep_first(docs: DataFrame, n: int = 4, percent: int = 85, max_rows: int = 128) -> DataFrame:
+    """One row of each component of docs, and every row without words or text.
+
+    Components are of texts, whatever their doc_id: a null one takes part, and different
+    texts under one doc_id are each in their own.  Kept is the row of the smallest doc_id,
+    nulls last, then of the smallest text hash; of rows that agree in both, the one whose
+    other columns have the smallest hash.
+    """
+    rows, named = _named(docs, n, percent, max_rows)
+    rows = rows.filter("node is not null")
+    first = rows.join(named, "node").groupBy("component").agg(_first_row())
+    first = written(first.select(F.col("row.doc_id").alias("id"), F.col("row.key").alias("text_key")))
+    worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    of = [docs["doc_id"].cast("long"), F.xxhash64(docs["text"])]
+    kept = docs.filter(worded).join(first, of[0].eqNullSafe(first["id"]) & (of[1] == first["text_key"]), "left_semi")
+    if _repeats(rows):
+        rest = F.xxhash64(F.to_json(F.struct(F.lit(0), *(c for c in docs.columns if c not in ("doc_id", "text")))))
+        place = F.row_number().over(Window.partitionBy(F.col("doc_id").cast("long"), F.xxhash64("text")).orderBy(rest))
+        kept = kept.withColumn("row number", place).filter("`row number` = 1").drop("row number")
+    return kept.unionByName(docs.filter(~worded))
