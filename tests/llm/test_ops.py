@@ -296,6 +296,18 @@ def test_license_scan(spark):
     assert license_scan.scan(df.limit(0)).count() == 0
 
 
+def test_license_lines_near_a_template(spark):
+    lines = {
+        "This software is released under the MIT License.": "MIT",
+        "This file is licensed under the Apache License, Version 2.0.": "Apache-2.0",
+        "This document is licensed under the Apache License, Version 2.0.": "Apache-2.0",
+        "This work is licensed under the GNU General Public License v3.": "GPL-3.0",
+        "This text is licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+    }
+    df = spark.createDataFrame([(f"{i}.c", f"x\n{t}\ny") for i, t in enumerate(lines)], "path string, text string")
+    assert {r.path: r.own_licence for r in license_scan.scan(df).collect()} == {f"{i}.c": v for i, v in enumerate(lines.values())}
+
+
 def test_first_filter_of_licences_is_lossless():
     rows, idf, other = license_scan.weigh(license_scan.TEMPLATES)
     must = set(license_scan.heavy_terms(rows, license_scan.THRESHOLD))
