@@ -39,6 +39,18 @@ def test_same_as_sql(spark, sf, con, name):
     assert got == sorted(tuple(cell(r[i]) for i in at) for r in res.fetchall())
 
 
+def test_scan_goes_on_until_the_graph_connects(spark, tmp_path):
+    # two groups of twelve near copies: each vertex has eleven neighbours in its own
+    rows = [(i, [float(10 + i), 1.0, 500.0] if i < 12 else [1.0, 500.0, float(10 + i)], i % 3) for i in range(24)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.k: (r.n_comp, r.first) for r in entry.queries()["first_connected_k"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(1, 24))
+    assert all(n > 1 for k, (n, _) in got.items() if k < 12) and all(n == 1 for k, (n, _) in got.items() if k >= 12)
+    assert [k for k, (_, first) in got.items() if first] == [12]
+    small = {r.k for r in entry.queries()["small_components"](spark, str(tmp_path)).collect()}
+    assert small == set(range(1, 12))
+
+
 def test_entry_runs(spark):
     df = entry.entry(spark)
     assert df.columns == ["id", "degree"] and df.count() > 0

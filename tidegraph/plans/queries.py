@@ -194,7 +194,10 @@ def nn_overlap(s, d):
 
 
 def _by_k(s, d):
-    return graph.components_by_k(data.points(s, d), nbrs(s, d, SCAN), list(range(1, 9)))
+    """Components for every k from 1 to SCAN, or to all other vertices if these are fewer."""
+    pts = data.points(s, d)
+    most = max(1, min(SCAN, pts.count() - 1))
+    return graph.components_by_k(pts, nbrs(s, d, SCAN), list(range(1, most + 1)))
 
 
 @query
