@@ -12,14 +12,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The same rows as a Parquet table in spark.checkpoint.dir (a new local folder where it is unset, on one machine)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir.  Where it is unset a new local one, on one machine only: other executors couldn't see its files."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tidegraph-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/tidegraph-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+class Settled:
+    """The tables that a job has settled; ``clear`` deletes their files when nothing reads them any more."""
+
+    paths: list[str] = []
+
+    @classmethod
+    def clear(cls, spark: SparkSession) -> None:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        while cls.paths:
+            path = jvm.org.apache.hadoop.fs.Path(cls.paths.pop())
+            path.getFileSystem(conf).delete(path, True)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows as a Parquet table in the shared folder, where lineage ends; a lost executor costs nothing before it.  Settled.clear deletes it."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tidegraph-{uuid.uuid4().hex}"
+    Settled.paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
