@@ -2,34 +2,47 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import tables
+from ..sources.tables import table
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (one machine, as in tests) a new one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="tidegraph-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+__all__ = ["all_rows", "components", "free_name", "maybe_broadcast", "numbered", "table", "words_of", "written"]
+#: Bytes up to which a table is broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def written(df: DataFrame) -> DataFrame:
     """The same rows, as a Parquet table in the shared folder: lineage ends there, and a lost executor costs nothing before it."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidegraph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return tables.settled(df)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def free_name(taken: list[str], stem: str) -> str:
+    """stem, with as many dashes behind it as it takes to differ from the names taken, in any case of letters."""
+    low = {c.lower() for c in taken}
+    while stem.lower() in low:
+        stem += "-"
+    return stem
+
+
+def maybe_broadcast(df: DataFrame, size: int) -> DataFrame:
+    """df to be broadcast if its size in bytes, measured by the caller, is within BROADCAST_BYTES; else Spark decides how to join it."""
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df with places 0, 1, ... in the order of a distinct key: counts of ranges first, then places inside each, so that no task holds all rows."""
+    part = free_name(df.columns, "range no")
+    ranged = written(df.repartitionByRange(key).withColumn(part, F.spark_partition_id()))
+    ahead = Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    counts = ranged.groupBy(F.col(f"`{part}`").alias("of")).agg(F.count(F.lit(1)).alias("n")).select(F.struct("of", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before")).alias("range count"))
+    place = F.row_number().over(Window.partitionBy(f"`{part}`").orderBy(key)) - 1 + F.col("`range count`.before")
+    both = ranged.join(F.broadcast(counts), F.col(f"`{part}`") == F.col("`range count`.of"))
+    return both.withColumn(name, place.cast("long")).drop(part, "range count")
 
 
 def all_rows(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:

@@ -1,17 +1,25 @@
 """URL filters by a path-template tree.
 
-Pages are counted by host and path shape, the segments with numbers in them made
-wildcards first.  Going down the tree level by level, a node with many different
-children has variable segments there: they become a wildcard, too.  What is left is a
-small table of templates for each host with the verdicts that explicit rules give to
-their pages.  Sibling templates, those that differ in one segment, merge while their
-labelled shares do not differ statistically; a template is rejected if its smoothed
-share of blocked pages is high.  Pages that no rule fits follow their template.
+Pages are counted by host and path shape, the runs of digits in segments made wildcards
+first.  A host's shapes form a tree, which grows from the root by branching points: what
+the shapes below a node have in common needs no decision, and where they part, the node
+has children.  Many different children are a variable segment and become one wildcard.
+Of few children those merge that don't differ statistically, neither in their labelled
+shares nor in the depths of the pages below; their subtrees go on as one.
+
+A page that an explicit rule judges is a labelled one.  A branch's share of blocked pages
+is smoothed towards its parent's smoothed share, the root's towards PRIOR_SHARE, so that
+branches with few or no labels take what their surroundings say.  A template is rejected
+if its smoothed share is high; pages that no rule fits follow their template.
+
+Every node's children are counted by partial aggregates; only the few children of a node
+that isn't wide meet in one task, whatever the size of its host.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,8 +29,8 @@ from .shared import written
 
 #: Fixed rules: (verdict, rule).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Children of a node beyond which they are variable; weight and share of the prior; share and labelled pages from which a template is rejected; z of the test.
-FAN_OUT, PRIOR_WEIGHT, PRIOR_SHARE, REJECT, Z = 40, 4.0, 0.25, 0.8, 1.96
+#: Children of a node beyond which they are variable; weight and share of the prior; share from which a template is rejected; z of the tests; depths that are told apart.
+FAN_OUT, PRIOR_WEIGHT, PRIOR_SHARE, REJECT, Z, DEPTHS = 40, 4.0, 0.25, 0.8, 1.96, 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -50,77 +58,95 @@ def _shape(path: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(path, r"[0-9]+", "*"), "/"), lambda s: s != "")
 
 
-def _share(block: float, labelled: float) -> float:
-    return (block + PRIOR_WEIGHT * PRIOR_SHARE) / (labelled + PRIOR_WEIGHT)
-
-
-def _alike(a: list, b: list) -> bool:
-    """Two-proportion test on (blocked, labelled) of two branches; without labels nothing can be said."""
-    if not a[1] or not b[1]:
-        return False
-    p = (a[0] + b[0]) / (a[1] + b[1])
-    return abs(a[0] / a[1] - b[0] / b[1]) <= Z * math.sqrt(p * (1 - p) * (1 / a[1] + 1 / b[1])) + 1e-12
-
-
-def _judge_host(t: pa.Table) -> pa.Table:
-    """A host's templates with their merged branch and its verdict."""
-    rows = sorted(zip(t["template"].to_pylist(), t["blocked"].to_pylist(), t["labelled"].to_pylist(), strict=True))
-    branch = {name: [[name], [b, n]] for name, b, n in rows}
-    depth = max((len(name.split("/")) for name, _, _ in rows), default=0)
-    for level in range(depth):  # siblings: the same but for the segment at this level
-        sets: dict[tuple, list[str]] = {}
-        for name in branch:
-            parts = name.split("/")
-            if len(parts) > level:
-                sets.setdefault((*parts[:level], None, *parts[level + 1 :]), []).append(name)
-        for own in sets.values():
-            own.sort(key=lambda x: (branch[x][1][0] / max(branch[x][1][1], 1), x))
-            last = own[0]
-            for name in own[1:]:
-                if _alike(branch[last][1], branch[name][1]):
-                    names, counts = branch.pop(name)
-                    branch[last][0].extend(names)
-                    branch[last][1] = [x + y for x, y in zip(branch[last][1], counts, strict=True)]
-                else:
-                    last = name
-    host = t["host"][0].as_py()
-    out = {"host": [], "template": [], "branch": [], "share": []}
-    for key, (names, (b, n)) in branch.items():
-        for name in names:
-            for k, v in zip(out, (host, name, key, _share(b, n)), strict=True):
-                out[k].append(v)
-    return pa.table(out, schema=pa.schema([("host", pa.string()), ("template", pa.string()), ("branch", pa.string()), ("share", pa.float64())]))
+def smoothed(blocked, labelled, prior):
+    """Share of blocked pages among labelled ones, with PRIOR_WEIGHT pages of the prior share: of numbers or of columns."""
+    return (blocked + PRIOR_WEIGHT * prior) / (labelled + PRIOR_WEIGHT)
+
+
+def _same(a: int, m: int, b: int, n: int) -> bool:
+    """Two-proportion test of a of m against b of n; without any nothing speaks against it."""
+    if not m or not n:
+        return True
+    p = (a + b) / (m + n)
+    return abs(a / m - b / n) <= Z * math.sqrt(p * (1 - p) * (1 / m + 1 / n)) + 1e-12
+
+
+def merged(children: list[tuple]) -> list[list[int]]:
+    """Classes of positions of ``children (segment, blocked, labelled, pages by depth)``: largest first, each joins the first class that it doesn't differ from in any test.  The empty segment, where paths end, stays alone."""
+    order = sorted(range(len(children)), key=lambda i: (-sum(children[i][3]), children[i][0]))
+    classes: list[list] = []
+    for i in order:
+        name, blocked, labelled, depths = children[i]
+        pages = sum(depths)
+        for c in classes if name else ():
+            if c[0] and _same(blocked, labelled, c[1], c[2]) and all(_same(x, pages, y, sum(c[3])) for x, y in zip(depths, c[3], strict=True)):
+                c[1:4] = c[1] + blocked, c[2] + labelled, [x + y for x, y in zip(depths, c[3], strict=True)]
+                c[4].append(i)
+                break
+        else:
+            classes.append([bool(name), blocked, labelled, list(depths), [i]])
+    return [c[4] for c in classes]
+
+
+def _merge(t: pa.Table) -> pa.Table:
+    """The children of a node with the name of their class, the sorted segments of it."""
+    rows = t.to_pylist()
+    names = [""] * len(rows)
+    for own in merged([(r["segment"], r["blocked"], r["labelled"], r["depths"]) for r in rows]):
+        for i in own:
+            names[i] = "|".join(sorted(rows[k]["segment"] for k in own))
+    return pa.table({"node": t["node"], "segment": t["segment"], "branch": pa.array(names, pa.string())})
+
+
+def _branched(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One step down from the nodes of ``open(host, shape, node, tail, template, share, blocked, labelled, pages)``: rows that are finished, (host, shape, template, share), and rows at the next branching point."""
+    keep = ["host", "shape", "blocked", "labelled", "pages"]
+    ends = open_.groupBy("node").agg(F.min("tail").alias("low"), F.max("tail").alias("high"))
+    equal = F.array_position(F.zip_with("low", "high", lambda a, b: a.eqNullSafe(b)), F.lit(False))
+    rows = written(open_.join(ends.select("node", F.when(equal > 0, equal - 1).alias("common")), "node"))
+    done = rows.filter("common is null").select("host", "shape", F.concat("template", F.array_join(F.transform("tail", lambda x: F.concat(F.lit("/"), x)), "")).alias("template"), "share")
+    c = F.col("common").cast("int")
+    shared = F.array_join(F.transform(F.slice("tail", F.lit(1), c), lambda x: F.concat(F.lit("/"), x)), "")
+    rest = F.slice("tail", c + 2, F.greatest(F.size("tail") - c - 1, F.lit(0)))
+    rows = rows.filter("common is not null").select(*keep, "node", "share", F.concat("template", shared).alias("template"), F.coalesce(F.get("tail", c), F.lit("")).alias("segment"), rest.alias("tail"))
+    deep = F.least(F.size("tail"), F.lit(DEPTHS))
+    child = rows.groupBy("node", "segment").agg(F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"), F.array(*(F.sum(F.when(deep == k, F.col("pages")).otherwise(0)) for k in range(DEPTHS + 1))).alias("depths"))
+    child = written(child)
+    wide = written(child.filter("segment <> ''").groupBy("node").agg(F.count(F.lit(1)).alias("children")).filter(F.col("children") > FAN_OUT).select("node", F.lit(True).alias("wide")))
+    few = child.join(wide, "node", "left_anti").groupBy("node").applyInArrow(_merge, "node long, segment string, branch string")
+    many = child.join(wide, "node").select("node", "segment", F.when(F.col("segment") == "", "").otherwise("*").alias("branch"))
+    named = written(few.union(many))
+    sums = child.join(named, ["node", "segment"]).groupBy("node", "branch").agg(F.sum("blocked").alias("of_branch"), F.sum("labelled").alias("known"))
+    rows = rows.join(named, ["node", "segment"]).join(written(sums), ["node", "branch"])
+    step = F.when(F.col("branch") == "", "").otherwise(F.concat(F.lit("/"), F.col("branch")))
+    return done, written(rows.select("host", "shape", F.xxhash64("node", "branch").alias("node"), "tail", F.concat("template", step).alias("template"), smoothed(F.col("of_branch"), F.col("known"), F.col("share")).alias("share"), "blocked", "labelled", "pages"))
 
 
 def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, share) for each row of ``pages(page_id, url, ...)``.
 
-    verdict: the rule's; else block if the smoothed share of blocked pages of the
-    template's branch reaches REJECT, else allow.  A null url, or one without ://, has
-    empty host and path.  Repeated rows and null ids are judged like any other; other
-    columns are ignored; no rows give no rows.
+    verdict: the rule's; else block if the template's smoothed share of blocked pages
+    reaches REJECT, else allow.  A null url, or one without ://, has empty host and path.
+    Repeated rows and null ids are judged like any other; a url of thousands of segments
+    counts whole, and costs a step only where other urls part from it; nodes are known by
+    64-bit hashes.  Other columns are ignored; no rows give no rows.
     """
     url = F.col("url")
     base = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
     base = base.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("shape", _shape(F.col("path")))
     blocks = [r for v, r in rules if v == "block"]
-    counts = base.groupBy("host", "shape").agg(F.sum(F.col("rule").isin(blocks).cast("long")).alias("blocked"), F.count("rule").alias("labelled"))
-    tree = written(counts.withColumn("template", F.col("shape")).fillna({"blocked": 0}))
-    deepest = tree.agg(F.max(F.size("shape"))).first()[0] or 0
-    for level in range(deepest):
-        node = F.slice("template", 1, level)
-        wide = tree.filter(F.size("template") > level).groupBy("host", node.alias("node")).agg(F.countDistinct(F.get("template", F.lit(level))).alias("children")).filter(F.col("children") > FAN_OUT)
-        if wide.isEmpty():
-            continue
-        wide = written(wide.withColumn("wide", F.lit(True)).drop("children"))
-        starred = F.concat(F.slice("template", 1, level), F.array(F.lit("*")), F.slice("template", level + 2, F.greatest(F.size("template") - level - 1, F.lit(0))))
-        tree = tree.withColumn("node", node).join(wide, ["host", "node"], "left").withColumn("template", F.when(F.col("wide") & (F.size("template") > level), starred).otherwise(F.col("template"))).drop("node", "wide")
-        tree = written(tree)
-    tree = tree.withColumn("template", F.concat(F.lit("/"), F.array_join("template", "/")))
-    templates = tree.groupBy("host", "template").agg(F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"))
-    judged = templates.groupBy("host").applyInArrow(_judge_host, "host string, template string, branch string, share double")
-    named = written(tree.select("host", "shape", "template").join(judged, ["host", "template"]).select("host", "shape", F.col("branch").alias("template"), "share"))
+    counts = base.groupBy("host", "shape").agg(F.count_if(F.col("rule").isin(blocks)).alias("blocked"), F.count("rule").alias("labelled"), F.count(F.lit(1)).alias("pages"))
+    counts = written(counts)
+    roots = counts.groupBy("host").agg(smoothed(F.sum("blocked"), F.sum("labelled"), PRIOR_SHARE).alias("share"))
+    rest = written(counts.join(roots, "host").select("host", "shape", F.xxhash64("host").alias("node"), F.col("shape").alias("tail"), F.lit("").alias("template"), "share", "blocked", "labelled", "pages"))
+    found = []
+    while not rest.isEmpty():
+        done, rest = _branched(rest)
+        found.append(done)
+    if not found:
+        found = [rest.select("host", "shape", "template", "share")]
+    named = written(reduce(DataFrame.union, found))
     out = base.join(named, ["host", "shape"])
     own = F.when(F.col("rule").isin(blocks), "block").when(F.col("rule").isNotNull(), "allow")
     verdict = F.coalesce(own, F.when(F.col("share") >= REJECT, "block").otherwise("allow"))
-    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "share")
+    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.when(F.col("template") == "", "/").otherwise(F.col("template")).alias("template"), "share")
