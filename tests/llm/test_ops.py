@@ -422,12 +422,84 @@ def test_license_lines_near_a_template(spark):
     assert {r.path: r.own_licence for r in license_scan.scan(df).collect()} == {f"{i}.c": v for i, v in enumerate(lines.values())}
 
 
-def test_first_filter_of_licences_is_lossless():
-    rows, idf, other = license_scan.weigh(license_scan.TEMPLATES)
-    must = set(license_scan.heavy_terms(rows, license_scan.THRESHOLD))
+def cosine(text, template, templates, tf):
+    bags = [license_scan.terms_of(x) for _, x in templates]
+    idf = lambda w: math.log((1 + len(bags)) / (1 + sum(w in b for b in bags))) + 1
+    a, b = license_scan.terms_of(text), license_scan.terms_of(template)
+    size = lambda v: math.sqrt(sum((tf(n) * idf(w)) ** 2 for w, n in v.items()))
+    return sum(tf(a[w]) * tf(b[w]) * idf(w) ** 2 for w in a if w in b) / ((size(a) or 1) * size(b))
+
+
+def test_licences_against_brute_force(spark):
+    """Every window of lines with every header, every file with every text, no filter."""
+    rng = random.Random(4)
+    headers, texts = license_scan.TEMPLATES, license_scan.TEXTS
+    filler = ["plain words of prose", "code x = 1", "", "terms of the work", "under the public source", "// with software"]
+    files = []
+    for i in range(60):
+        lines = [rng.choice(filler) for _ in range(rng.randint(0, 6))]
+        if i % 2:
+            w = rng.choice(headers)[1].split()
+            w = [x for x in w if rng.random() < 0.93]
+            cut = sorted(rng.randint(0, len(w)) for _ in range(rng.randint(0, 3)))
+            lines += ["// " + " ".join(w[a:b]) for a, b in zip([0, *cut], [*cut, len(w)])]
+        if i % 5 == 0:
+            w = rng.choice(texts)[1].split()
+            lines.append(" ".join(x for x in w if rng.random() < rng.choice((0.5, 0.95))))
+        files.append((f"d{i % 7}/f{i}", "\n".join(lines)))
+    files.append(("e/short", "Use and use in and are or with permitted modification without forms and in and"))
+    got = {r.path: r for r in license_scan.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    some = 0
+    for path, text in files:
+        lines = text.split("\n")
+        windows = [" ".join(lines[i : i + k]) for k in range(1, license_scan.WRAPPED + 1) for i in range(len(lines) - k + 1)]
+        best = max((cosine(w, h, headers, float), name) for w in windows for name, h in headers)
+        whole = max((cosine(text, h, texts, license_scan.damped), name) for name, h in texts)
+        top = max(x for x in (best, whole))
+        r = got[path]
+        if top[0] >= license_scan.THRESHOLD:
+            some += 1
+            assert (r.own_licence, r.score) == (top[1], pytest.approx(top[0])), path
+        else:
+            assert r.own_licence is None and not r.is_licence_file
+        assert whole[0] < license_scan.THRESHOLD or r.is_licence_file
+    assert some > 20
+
+
+def test_licence_files(spark):
+    filled = "Copyright (c) 2020 A. Person\n\n" + license_scan.TEXTS[0][1]
+    wrapped = lambda t: "\n".join(" * " + " ".join(t.split()[i : i + 9]) for i in range(0, len(t.split()), 9))
+    files = [("a/LICENSE", "MIT License\n" + wrapped(filled)), ("a/x.c", "int main"), ("b/notes.txt", license_scan.TEXTS[1][1]), ("b/c/y.c", ""), ("d/LEGAL", wrapped(license_scan.TEXTS[2][1])), ("d/z.c", None)]
+    files += [("e/COPYING", "some words ahead of it\n" * 30 + "# Licensed under the Apache\n# License, Version 2.0.\n" + "and behind\n" * 30), ("e/w.c", "w"), ("f/v.c", "see\n// Licensed under the Apache\n// License, Version 2.0.\n" + "int v;\n" * 40), ("f/u.c", "u")]
+    files += [("g/long.txt", "word other " * 500_000 + "\nReleased under the MIT License.\n"), ("g/t.c", "t")]
+    df = spark.createDataFrame(files, "path string, text string").withColumn("line", F.lit("clash")).withColumn("words", F.lit(1))
+    got = {r.path: (r.own_licence, r.is_licence_file, r.licence, r.inherited_from) for r in license_scan.scan(df).collect()}
+    assert got == {
+        "a/LICENSE": ("MIT", True, "MIT", None), "a/x.c": (None, False, "MIT", "a"),
+        "b/notes.txt": ("BSD-3-Clause", True, "BSD-3-Clause", None), "b/c/y.c": (None, False, "BSD-3-Clause", "b"),
+        "d/LEGAL": ("Apache-2.0", True, "Apache-2.0", None), "d/z.c": (None, False, "Apache-2.0", "d"),
+        "e/COPYING": ("Apache-2.0", True, "Apache-2.0", None), "e/w.c": (None, False, "Apache-2.0", "e"),
+        "f/v.c": ("Apache-2.0", False, "Apache-2.0", None), "f/u.c": (None, False, None, None),
+        "g/long.txt": ("MIT", False, "MIT", None), "g/t.c": (None, False, None, None),
+    }
+
+
+@pytest.mark.parametrize(("templates", "tf"), [(license_scan.TEMPLATES, float), (license_scan.TEXTS, license_scan.damped)])
+def test_first_filter_of_licences_is_lossless(templates, tf):
+    rows, idf, other = license_scan.weigh(templates, tf)
+    some, every = license_scan.first_filter(rows, license_scan.THRESHOLD)
     for i in {r[1] for r in rows}:
-        rest = [w for _, t, term, w in rows if t == i and term not in must]
-        assert math.sqrt(sum(w * w for w in rest)) < license_scan.THRESHOLD
+        rest = {term: w * w for _, t, term, w in rows if t == i and term not in some}
+        left = sum(rest.values())
+        # without any of some a text must hold whole lists
+        assert left < license_scan.THRESHOLD**2 or any(all(term in rest and left - rest[term] < license_scan.THRESHOLD**2 for term in terms) for terms in every)
+
+
+def test_licence_query_keeps_every_row(spark, tmp_path):
+    rows = [(None, "Released under the MIT License.", "en", "s"), (None, "other", "en", "s"), (None, "other", "en", "s"), (3, "x", None, None), (3, None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((str(r.doc_id), str(r.licence)) for r in queries.op6_license_scan(spark, str(tmp_path)).collect())
+    assert got == [("3", "None"), ("3", "None"), ("None", "MIT"), ("None", "MIT"), ("None", "MIT")]
 
 
 # 7

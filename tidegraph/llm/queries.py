@@ -53,11 +53,18 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files of a tree: source, language, thousand, document."""
-    docs = table(spark, sf_dir, "documents").filter("doc_id is not null")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.floor(F.col("doc_id") / 1000).cast("string"), F.col("doc_id").cast("string"))
-    found = license_scan.scan(docs.select(path.alias("path"), "text"))
-    return found.select(F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), "path", "own_licence", F.round("score", 6).alias("score"), "is_licence_file", "licence", "inherited_from")
+    """Documents as files of a tree: source, language, thousand, document; a row for each document.
+
+    A document without an id has its text's hash in the place of its name.
+    """
+    text = F.coalesce("text", F.lit(""))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text-"), F.xxhash64(text).cast("string")))
+    folder = F.coalesce(F.floor(F.col("doc_id") / 1000).cast("string"), F.lit("none"))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), folder, name)
+    docs = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
+    found = license_scan.scan(docs.select("path", "text"))
+    out = docs.select("doc_id", "path").join(found, "path")
+    return out.select("doc_id", "path", "own_licence", F.round("score", 6).alias("score"), "is_licence_file", "licence", "inherited_from")
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
