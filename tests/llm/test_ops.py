@@ -580,6 +580,45 @@ def test_language_id_of_odd_texts(spark):
     assert {r.lang_pred for r in language_id.predict(df, language_id.fit(df.limit(0))).collect()} == {"und"}
 
 
+def test_prediction_is_the_mean_embedding(spark):
+    """Each score again, n-gram by n-gram."""
+    rows = [(i, ("the and of with " if i % 2 else "der und die nicht ") * (2 + i % 5), "en" if i % 2 else "de") for i in range(120)]
+    m = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = ["der Und with", "é die  the\nof", "a", "nicht nicht the"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("_letters", F.lit("kept")).withColumn("has letters", F.lit(1))
+    got = {r.doc_id: r for r in language_id.predict(df, m).collect()}
+    for i, t in enumerate(texts):
+        raw, total, n = re.sub("[A-Z]", lambda x: x[0].lower(), t).encode(), np.zeros(2), 0
+        for a in range(len(raw)):
+            h = 2166136261 * raw[a] % 2**32
+            for k in range(1, 4):
+                if a + k >= len(raw):
+                    break
+                h = h * 16777619 % 2**32 ^ raw[a + k]
+                if raw[a] not in b" \n" and k + 1 in language_id.ORDERS:
+                    total += m.table[(h * 2654435761 % 2**32 >> 17) % language_id.BUCKETS]
+                    n += 1
+        z = (total / n if n else total) + m.bias
+        p = np.exp((z - z.max()) / m.temperature)
+        if n:
+            assert got[i].score == pytest.approx(float((p / p.sum()).max()), abs=1e-5), t
+        assert got[i]._letters == "kept" and got[i]["has letters"] == 1
+
+
+def test_an_unlearned_language_is_rejected(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("lang in ('en', 'de', 'fr')")
+    m = language_id.fit(docs.filter("lang <> 'de'"))
+    got = [(r.lang, r.lang_pred) for r in language_id.predict(docs, m).collect()]
+    known = [a == b for a, b in got if a != "de"]
+    assert np.mean([b == "und" for a, b in got if a == "de"]) > 0.6 and np.mean(known) > 0.95
+
+
+def test_languages_share_the_sample(spark):
+    rows = [(i, f"text {i}", "en") for i in range(3000)] + [(9000 + i, f"rare {i}", "xx") for i in range(5)] + [(1, None, "en"), (2, "t", None)]
+    got = Counter(r.lang for r in language_id._sampled(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), 400, 100).collect())
+    assert got == {"en": 200, "xx": 5}
+
+
 # 9
 
 

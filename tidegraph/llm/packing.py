@@ -2,7 +2,7 @@
 
 Documents become token ids, an end id behind each, cut into pieces of ``capacity`` ids,
 which are sequences already, and the rest into pieces of at most GRAIN.  These are
-dealt by hash into groups of about GROUP pieces; a group is split into k windows by
+dealt by place into groups of about GROUP pieces; a group is split into k windows by
 multiway differencing: partial partitions, each a list of window sums, are merged
 largest spread first, large sums of one against small sums of the other, so that
 imbalances cancel and windows end nearly equal.  k starts at the least count that can
@@ -230,14 +230,24 @@ def _pack(capacity: int):
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """``cut(doc_id, start, length, ...)`` with sequence_id and offset: sequences of at most capacity, gapless, near equal in each group."""
+    """``cut(doc_id, start, length, ...)`` with sequence_id and offset: sequences of at most capacity, gapless, near equal in each group.
+
+    Rows are dealt into groups by their place in a written table, so that equal rows,
+    however many, don't meet.  No rows give no rows.
+    """
     cut = written(cut)
     bins = max(1, math.ceil(cut.count() / group))
-    dealt = cut.withColumn("bin", F.pmod(F.xxhash64("doc_id", "start", "length", "ids_crc32"), F.lit(bins)))
+    dealt = cut.withColumn("bin", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(bins)))
     schema = StructType([*cut.schema.fields]).add("sequence_id", LongType()).add("offset", LongType())
     return dealt.groupBy("bin").applyInArrow(_pack(capacity), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """The pieces of docs, packed.  No rows give no rows."""
+    """The pieces of docs, packed.
+
+    A null text is empty and has its end id only, a very long one is cut like any other;
+    null, equal and repeated doc_ids are documents of their own; other columns are ignored.
+    Words are known by 64-bit hashes within a task: among HELD words two agree by chance
+    with odds of one in a hundred million.  No rows give no rows.
+    """
     return pack(pieces(docs, tokenizer, capacity, end_id, with_ids), capacity)
