@@ -112,12 +112,26 @@ def test_embedding_join(spark, monkeypatch):
     want = sorted((i, n[p], cls[i], cls[i] == i) for p, (i, _) in enumerate(vec)) + sorted((i, 0, i, True) for i, v in odd if i in (900, 901, 902, 903, 904, 905))
     got = lambda: sorted(tuple(r) for r in embedding_join.near_vectors(df).collect())
     assert got() == sorted(want)
-    for k, v in (("CELL", 20), ("CORE", 11), ("HALO", 17)):
+    for k, v in (("COPIES", 99.0), ("CORE", 11), ("HALO", 17)):
         monkeypatch.setattr(embedding_join, k, v)
     assert got() == sorted(want)
     assert embedding_join.near_vectors(df.limit(0)).count() == 0
 
 
+def test_pivots_follow_the_clusters():
+    rng = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    r = math.acos(0.95)
+    tight = unit(np.repeat(rng.normal(size=(40, 64)), 25, 0) + rng.normal(size=(1000, 64)) * 0.02)
+    assert len(embedding_join.choose_pivots(tight, 60, r)) == 60
+    assert 1 < len(embedding_join.choose_pivots(unit(rng.normal(size=(1000, 64))), 32, r)) <= 4
+    x = unit(rng.normal(size=(300, 6)))
+    angle = np.arccos(np.clip(x @ embedding_join.choose_pivots(x, 17, r).T, -1, 1))
+    into, home = embedding_join._cells(angle, None, r)
+    near = x @ x.T >= 0.95
+    assert all(into[j, home[i]] for i, j in zip(*np.nonzero(near)))  # the home cell of each vector has all its neighbours
+
+
 # 2
 
 

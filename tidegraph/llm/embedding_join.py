@@ -4,10 +4,14 @@ Vectors within the angle r = acos(threshold) of each other link.  Pivots, spread
 farthest-first choice from a bounded sample, partition the vectors: each is core in the
 cell of its nearest pivot and, by the triangle inequality, halo in every cell whose
 pivot is no farther than its own by more than 2 r and no farther than the cell's radius
-plus r; no other cell can hold a neighbour.  Each cell compares core with core and
-halo in blocks of bounded size, so neither a cell's size nor a group of near copies
-goes into one task.  A core vector meets all its neighbours in its own cell, so counts
-add up there, and a block sends on a spanning forest of its links, not the links.
+plus r; no other cell can hold a neighbour.  There are as many pivots, up to the root of
+the number of vectors, as leave the sample's vectors in COPIES cells on average: many for
+clustered vectors, few where all directions are alike and cells exclude nothing.
+
+Each cell compares core with core and halo in blocks of bounded size, as many as its own
+counts ask for, so neither a cell's size nor a group of near copies goes into one task.
+A core vector meets all its neighbours in its own cell, so counts add up there, and a
+block sends on a spanning forest of its links, not the links.
 
 Products are screened in single precision with a margin far above its error and decided
 in double precision.
@@ -23,10 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import words as W
 from .shared import components, written
 
-#: Vectors from which pivots are chosen; vectors a cell should have; core and halo rows of a block.
-SAMPLE, CELL, CORE, HALO = 2048, 8192, 8192, 32768
+#: Vectors from which pivots are chosen; cells that a vector of the sample may be in on average; core and halo rows of a block.
+SAMPLE, COPIES, CORE, HALO = 2048, 4.0, 8192, 32768
 MARGIN = 1e-4
 
 
@@ -43,17 +48,31 @@ def _units(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def choose_pivots(x: np.ndarray, k: int) -> np.ndarray:
-    """k rows of x, each the farthest from those before it."""
-    chosen = [0]
-    near = x @ x[0]
-    while len(chosen) < min(k, len(x)):
+def choose_pivots(x: np.ndarray, most: int, r: float) -> np.ndarray:
+    """Rows of x, each the farthest from those before it: of 1, 2, 4, ... up to most of them the largest number that leaves a row of x in COPIES cells on average."""
+    chosen, near = [0], x @ x[0]
+    while len(chosen) < min(most, len(x)):
         i = int(near.argmin())
         if near[i] >= 1 - 1e-9:
             break
         chosen.append(i)
         near = np.maximum(near, x @ x[i])
-    return x[chosen]
+    angle = np.arccos(np.clip(x @ x[chosen].T, -1, 1))
+    tried = sorted({len(chosen), *(1 << i for i in range(len(chosen).bit_length()))})
+    k = max(k for k in tried if k == 1 or _cells(angle[:, :k], None, r)[0].sum(1).mean() <= COPIES)
+    return x[chosen[:k]]
+
+
+def _cells(angle: np.ndarray, radius: np.ndarray | None, r: float) -> tuple[np.ndarray, np.ndarray]:
+    """(which cells each row is in, its own one) by its angles to the pivots; without radii, those of these rows."""
+    home = angle.argmin(1)
+    own = angle[np.arange(len(angle)), home]
+    if radius is None:
+        radius = np.full(angle.shape[1], -9.0)
+        np.maximum.at(radius, home, own)
+    into = (angle <= own[:, None] + 2 * r + 1e-7) & (angle <= radius + r + 1e-7)
+    into[np.arange(len(angle)), home] = True
+    return into, home
 
 
 def _angles(batch: pa.RecordBatch, pivots: dict[int, np.ndarray]) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
@@ -64,43 +83,73 @@ def _angles(batch: pa.RecordBatch, pivots: dict[int, np.ndarray]) -> Iterator[tu
         yield rows, int(dim), np.arccos(np.clip(x @ pivots[int(dim)].T, -1, 1))
 
 
-def _home(shared):
+def _tally(rows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    cols = [np.concatenate([np.full(len(r[1]), r[0]) for r in rows]), *(np.concatenate([r[k] for r in rows]) for k in (1, 2, 3))]
+    return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.float64(), pa.int64()), strict=True)], names=["dim", "cell", "angle", "n"])
+
+
+def _radii(shared):
+    """(dim, cell, angle, n) of each batch: the largest angle of a cell's own vectors, and their number."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, dim, angle in _angles(batch, shared.value):
-                at = angle.argmin(1)
-                out = batch.take(pa.array(rows))
-                yield pa.record_batch([out.column("node"), out.column("embedding"), out.column("dim"), pa.array(at.astype(np.int64)), pa.array(angle[np.arange(len(at)), at])], names=["node", "embedding", "dim", "home", "angle"])
-                del dim
+            rows = []
+            for _, dim, angle in _angles(batch, shared.value):
+                home, top = angle.argmin(1), np.zeros(angle.shape[1])
+                np.maximum.at(top, home, angle.min(1))
+                n = np.bincount(home, minlength=angle.shape[1])
+                at = np.flatnonzero(n)
+                rows.append((dim, at, top[at], n[at]))
+            if rows:
+                yield _tally(rows)
+
+    return run
+
+
+def _members(shared, radii, r: float):
+    """(dim, cell, angle 0, n) of each batch: vectors in each cell, core and halo."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for _, dim, angle in _angles(batch, shared.value):
+                n = _cells(angle, radii.value[dim], r)[0].sum(0)
+                at = np.flatnonzero(n)
+                rows.append((dim, at, np.zeros(len(at)), n[at]))
+            if rows:
+                yield _tally(rows)
 
     return run
 
 
-def _replicas(shared, cells, r: float):
+def _copies(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position of each of count copies' original, number of the copy)."""
+    at = np.repeat(np.arange(len(count)), count)
+    return at, np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+
+
+def _replicas(shared, radii, blocks, r: float):
     """Each vector in the blocks of its cells: (dim, cell, i, j, node, core, embedding)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape = cells.value
         for batch in batches:
-            node, home_of = np.asarray(batch.column("node")), np.asarray(batch.column("home"))
+            node = np.asarray(batch.column("node"))
             for rows, dim, angle in _angles(batch, shared.value):
-                radius = np.array([shape.get((dim, c), (-9.0, 0, 0))[0] for c in range(angle.shape[1])])
-                home = home_of[rows]
-                own = angle[np.arange(len(rows)), home]
-                into = (angle <= own[:, None] + 2 * r + 1e-7) & (angle <= radius + r + 1e-7)
-                into[np.arange(len(rows)), home] = True
-                take, cell, bi, bj, core = [], [], [], [], []
-                for c in np.flatnonzero(into.any(0)):
-                    _, n_core, n_halo = shape[(dim, int(c))]
-                    for k in np.flatnonzero(into[:, c]):
-                        h = int(node[rows[k]]) * 0x9E3779B97F4A7C15 >> 17
-                        if home[k] == c:
-                            for j in range(n_halo):
-                                take.append(rows[k]), cell.append(c), bi.append(h % n_core), bj.append(j), core.append(True)
-                        for i in range(n_core):
-                            take.append(rows[k]), cell.append(c), bi.append(i), bj.append(h % n_halo), core.append(False)
-                got = batch.take(pa.array(take, pa.int64()))
-                yield pa.record_batch([got.column("dim"), pa.array(cell, pa.int64()), pa.array(bi, pa.int64()), pa.array(bj, pa.int64()), got.column("node"), pa.array(core, pa.bool_()), got.column("embedding"), got.column("copies")], names=["dim", "cell", "i", "j", "node", "core", "embedding", "copies"])
+                into, home = _cells(angle, radii.value[dim], r)
+                n_core, n_halo = blocks.value[dim]
+                row, cell = np.nonzero(into)
+                spread = (W.mix(node[rows[row]].astype(W.U)) >> W.U(17)).astype(np.int64)
+                # every vector of a cell meets each block of its core ...
+                at, k = _copies(n_core[cell])
+                parts = [(row[at], cell[at], k, spread[at] % n_halo[cell[at]], np.zeros(len(at), bool))]
+                # ... and its core each block of all of them
+                own = np.flatnonzero(cell == home[row])
+                at, k = _copies(n_halo[cell[own]])
+                at = own[at]
+                parts.append((row[at], cell[at], spread[at] % n_core[cell[at]], k, np.ones(len(at), bool)))
+                row, cell, i, j, core = (np.concatenate(x) for x in zip(*parts, strict=True))
+                got = batch.take(pa.array(rows[row], pa.int64()))
+                yield pa.record_batch([got.column("dim"), *(pa.array(x, pa.int64()) for x in (cell, i, j)), got.column("node"), pa.array(core), got.column("embedding"), got.column("copies")], names=["dim", "cell", "i", "j", "node", "core", "embedding", "copies"])
 
     return run
 
@@ -154,27 +203,38 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     zero vector, or one with a null or non-finite component, links with nothing, as do
     vectors of different lengths.  A null vec_id counts as a link of others, has null
     component_id and isn't kept.  Equal vectors are compared once, and counted as often as they
-    occur; other columns are ignored; no rows give no rows.
+    occur; they are known by 64-bit hashes, and two different ones of one hash end the job.
+    Other columns are ignored, whatever their names; no rows give no rows.
     """
     spark = vectors.sparkSession
     r = math.acos(threshold)
     rows = vectors.select(F.col("vec_id").cast("long"), "embedding")
-    good = rows.filter(usable(F.col("embedding"))).withColumn("embedding", F.transform("embedding", lambda x: F.when(x == 0, F.lit(0)).otherwise(x).cast("double")))
-    keyed = good.withColumn("node", F.xxhash64("embedding"))
-    classes = written(keyed.groupBy("node").agg(F.first("embedding").alias("embedding"), F.count(F.lit(1)).alias("copies")).withColumn("dim", F.size("embedding")))
-    sizes = {x["dim"]: x["count"] for x in classes.groupBy("dim").count().collect()}
+    clean = F.transform("embedding", lambda x: F.when(x == 0, F.lit(0)).otherwise(x).cast("double"))
+    keyed = rows.filter(usable(F.col("embedding"))).withColumn("embedding", clean).withColumn("node", F.xxhash64("embedding"))
+    other = F.hash("embedding")
+    copies = F.when(F.min(other) == F.max(other), F.count(F.lit(1))).otherwise(F.raise_error(F.lit("two vectors of one hash")).cast("long"))
+    classes = keyed.groupBy("node").agg(F.first("embedding").alias("embedding"), copies.alias("copies")).withColumn("dim", F.size("embedding"))
+    if dict(vectors.dtypes)["embedding"] == "array<float>":
+        classes = classes.withColumn("embedding", F.col("embedding").cast("array<float>"))
+    classes = written(classes)
+    sizes = {x["dim"]: x["count"] for x in classes.groupBy("dim").count().collect()}  # a row for each length of vectors
     pivots = {}
     for dim, n in sizes.items():
         some = classes.filter(F.col("dim") == dim).orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("embedding").toArrow()
-        pivots[dim] = choose_pivots(_units(some["embedding"], dim), max(1, math.ceil(n / CELL)))
-    shared = spark.sparkContext.broadcast(pivots)
-    homes = written(classes.select("node", "embedding", "dim").mapInArrow(_home(shared), "node long, embedding array<double>, dim int, home long, angle double").drop("embedding"))
-    stats = homes.groupBy("dim", "home").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n")).collect()
-    shape = {(x["dim"], x["home"]): (x["radius"], math.ceil(x["n"] / CORE), math.ceil(sizes[x["dim"]] / HALO)) for x in stats}
-    cells = spark.sparkContext.broadcast(shape)
-    placed = classes.join(homes.select("node", "home"), "node").withColumn("embedding", F.col("embedding").cast("array<float>") if dict(vectors.dtypes)["embedding"] == "array<float>" else F.col("embedding"))
-    kind = dict(placed.dtypes)["embedding"]
-    dealt = placed.mapInArrow(_replicas(shared, cells, r), f"dim int, cell long, i long, j long, node long, core boolean, embedding {kind}, copies long")
+        pivots[dim] = choose_pivots(_units(some["embedding"], dim), math.ceil(math.sqrt(n)), r)
+    # of each cell, SAMPLE at most: its radius and numbers, then the blocks these ask for
+    share = spark.sparkContext.broadcast
+    shared, kind = share(pivots), "dim int, cell long, angle double, n long"
+    base = classes.select("node", "embedding", "dim")
+    radii = {d: np.full(len(p), -9.0) for d, p in pivots.items()}
+    blocks = {d: (np.ones(len(p), np.int64), np.ones(len(p), np.int64)) for d, p in pivots.items()}
+    for x in base.mapInArrow(_radii(shared), kind).groupBy("dim", "cell").agg(F.max("angle").alias("radius"), F.sum("n").alias("n")).collect():
+        radii[x["dim"]][x["cell"]], blocks[x["dim"]][0][x["cell"]] = x["radius"], math.ceil(x["n"] / CORE)
+    near = share(radii)
+    for x in base.mapInArrow(_members(shared, near, r), kind).groupBy("dim", "cell").agg(F.sum("n").alias("n")).collect():
+        blocks[x["dim"]][1][x["cell"]] = math.ceil(x["n"] / HALO)
+    of = dict(classes.dtypes)["embedding"]
+    dealt = classes.select("node", "embedding", "dim", "copies").mapInArrow(_replicas(shared, near, share(blocks), r), f"dim int, cell long, i long, j long, node long, core boolean, embedding {of}, copies long")
     found = written(dealt.groupBy("dim", "cell", "i", "j").applyInArrow(_block(threshold), "node long, links long, a long, b long"))
     whole = components(found.filter("a <> b").select("a", "b"))
     links = found.filter("a = b").groupBy("node").agg(F.sum("links").alias("links"))
@@ -182,7 +242,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     named = written(ids.join(whole, "node", "left").join(links, "node", "left").select("node", "first", "links", F.coalesce("component", "node").alias("component")))
     least = written(named.groupBy("component").agg(F.min("first").alias("component_id")))
     named = written(named.join(least, "component").select("node", "links", "component_id"))
-    out = rows.withColumn("node", F.when(usable(F.col("embedding")), F.xxhash64(F.transform("embedding", lambda x: F.when(x == 0, F.lit(0)).otherwise(x).cast("double")))))
+    out = rows.withColumn("node", F.when(usable(F.col("embedding")), F.xxhash64(clean)))
     out = out.join(named, "node", "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))
     return out.select("vec_id", F.coalesce(F.col("links") - 1, F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
