@@ -151,9 +151,32 @@ def test_map(spark):
 
 
 def test_affinities_and_maps():
-    sq = np.random.default_rng(0).random(50)
-    p, h = embed.row_affinities(sq, 10)
-    assert abs(h - math.log(10)) < 1e-4 and abs(p.sum() - 1) < 1e-12
-    x = np.random.default_rng(0).random((30, 5))
-    y, kl = embed.tsne(np.full((30, 30), 1 / 29.0), embed.pca(x), 60)
-    assert y.shape == (30, 2) and kl >= 0
+    sq = np.random.default_rng(0).random((7, 50)) * np.array([1, 1e-3, 1e3, 1, 1, 5, 9])[:, None]
+    sq[3, 8] = np.inf
+    p, h = embed.perplexity_weights(sq, 10)
+    assert np.abs(h - math.log(10)).max() < 1e-5 and p.sum(1) == pytest.approx(1) and p[3, 8] == 0
+    rng = np.random.default_rng(0)
+    x = np.repeat(np.eye(3) * 5, 20, 0) + rng.normal(size=(60, 3)) * 0.1
+    sq = ((x[:, None] - x[None]) ** 2).sum(-1)
+    np.fill_diagonal(sq, np.inf)
+    p, _ = embed.perplexity_weights(sq, 8)
+    maps = [embed.Layout(p, embed.pca(x)) for _ in range(2)]
+    early, late = maps[0].run(20), maps[1].run(300)
+    assert 0 <= late < early
+    y = maps[1].y
+    d = np.sqrt(((y[:, None] - y[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    assert (d.argmin(1) // 20 == np.arange(60) // 20).all()
+
+
+def test_kmeans_moves_all_starts_together(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(90, 3)) * 0.3 + np.repeat(rng.normal(size=(3, 3)) * 6, 30, 0)
+    pts = spark.createDataFrame([(r, i, (v + r).tolist()) for r in range(2) for i, v in enumerate(x)], "run long, id long, v array<double>").repartition(5)
+    got = cluster.kmeans(pts, 3, 8).collect()
+    for run in range(2):
+        own = sorted((r.id, r.lab, r.cost) for r in got if r.run == run)
+        lab = np.array([n for _, n, _ in own])
+        cost = sum(((x[lab == k] - x[lab == k].mean(0)) ** 2).sum() for k in range(3))
+        assert len(own) == 90 and own[0][2] == pytest.approx(cost) and cost <= min(cluster.lloyd(x, 3, s)[0] for s in range(8)) + 1e-9
+    assert cluster.kmeans(pts.limit(0), 3).count() == 0

@@ -116,3 +116,11 @@ def summary(d: DataFrame) -> DataFrame:
 def as_distributions(points: DataFrame) -> DataFrame:
     """Squares of v over their sum."""
     return points.withColumn("v", as_distribution(F.transform("v", lambda x: x * x)))
+
+
+def edge_distances(edges: DataFrame, points: DataFrame) -> DataFrame:
+    """edges(i, j) with the Hellinger distance d of their ends in ``points(id, v)``: both ends' vectors join the edges, no other pair is looked at."""
+    roots = points.select("id", F.transform("v", F.sqrt).alias("q"))
+    both = edges.join(roots.select(F.col("id").alias("i"), F.col("q").alias("a")), "i").join(roots.select(F.col("id").alias("j"), F.col("q").alias("b")), "j")
+    square = F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    return both.select("i", "j", F.sqrt(square / 2).alias("d"))

@@ -158,9 +158,10 @@ SQL["knn_mutual_share"] = f"WITH {_NEAR} SELECT {_r('avg(CASE WHEN b.i IS NULL T
 SQL["nn_overlap"] = f"WITH {_NEAR}, {_JS}, jn AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rank FROM jd) SELECT {_r('avg(CASE WHEN b.i IS NULL THEN 0.0 ELSE 1.0 END)')} AS overlap FROM near a LEFT JOIN jn b ON b.i = a.i AND b.j = a.j AND b.rank <= 21 WHERE a.rank <= 21"
 _COMP = f"""RECURSIVE {_HELL},
 near AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rank FROM hd),
-ks AS (SELECT CAST(range AS INT) AS k FROM range(1, 9)),
+ks AS (SELECT CAST(range AS INT) AS k FROM range(1, 65) WHERE range <= greatest((SELECT count(*) FROM pts) - 1, 1)),
 link AS (SELECT k, i AS a, j AS b FROM near, ks WHERE rank <= k UNION SELECT k, j, i FROM near, ks WHERE rank <= k),
-reach AS (SELECT k, id, id AS comp FROM pts, ks UNION SELECT r.k, l.b, r.comp FROM reach r JOIN link l ON l.k = r.k AND l.a = r.id WHERE r.comp < l.b),
+seed AS (SELECT k, id FROM pts, ks EXCEPT SELECT k, a FROM link WHERE b < a),
+reach AS (SELECT k, id, id AS comp FROM seed UNION SELECT r.k, l.b, r.comp FROM reach r JOIN link l ON l.k = r.k AND l.a = r.id),
 label AS (SELECT k, id, min(comp) AS comp FROM reach GROUP BY 1, 2)"""
 SQL["degree_clustering"] = f"WITH {_DEGREES} SELECT id, degree, {_r('cc')} AS cc FROM cc"
 SQL["degree_tail"] = f"""WITH {_DEGREES}, n AS (SELECT degree, row_number() OVER (ORDER BY degree) - 1 AS place, count(*) OVER () AS t FROM deg), m AS (SELECT quantile_cont(degree, 0.5) AS med, avg(degree) AS a, stddev_pop(degree) AS sd FROM deg),
@@ -222,3 +223,19 @@ SELECT src AS id, count(*) AS degree FROM (SELECT i AS src, j AS dst FROM near U
 _CLIM = f"{_CURVES}, m AS (SELECT pixel, day, avg(v) AS v FROM long GROUP BY 1, 2)"
 SQL["example_rates"] = f"""WITH {_CLIM}, f AS (SELECT min(pixel) AS pixel FROM m GROUP BY pixel % 3), a AS (SELECT pixel, list(v ORDER BY day) AS s FROM m GROUP BY 1)
 SELECT pixel, CAST(range AS INT) AS day, {_r('(s[least(range + 4, 364) + 1] - s[greatest(range - 3, 0) + 1]) / 7')} AS lag7, {_r('(s[least(range + 16, 364) + 1] - s[greatest(range - 15, 0) + 1]) / 31')} AS lag31 FROM a JOIN f USING (pixel), range(365)"""
+SQL["small_components"] = f"""WITH {_COMP}, {_PLACES}, sz AS (SELECT k, comp, count(*) AS n FROM label GROUP BY 1, 2),
+top AS (SELECT k, max(n) AS most, arg_max(comp, n * 1000000000 - comp) AS giant FROM sz GROUP BY 1),
+few AS (SELECT k, string_agg(CAST(n AS VARCHAR), ',' ORDER BY n) AS sizes FROM sz JOIN top USING (k) WHERE n < most GROUP BY 1)
+SELECT l.k, count(DISTINCT l.comp) AS n_comp, count(*) AS n_vertices, coalesce(any_value(few.sizes), '') AS sizes, CAST(min(lon) AS DOUBLE) AS lon_min, CAST(max(lon) AS DOUBLE) AS lon_max, {_r('avg(CASE WHEN lon > 75 THEN 1.0 ELSE 0.0 END)')} AS share_east, {_r('quantile_cont(CAST(elev AS DOUBLE), 0.5)')} AS elev_median, {_r('quantile_cont(CAST(active_days AS DOUBLE), 0.5)')} AS active_median
+FROM label l JOIN top ON top.k = l.k LEFT JOIN few ON few.k = l.k JOIN places p ON p.id = l.id WHERE l.comp <> top.giant GROUP BY l.k"""
+_AFTER = lambda text, head: text.replace(head + ",\n", "", 1)
+SQL["border_stats"] = f"""WITH {_SHARP}, {_AFTER(_DEGREES, _PTS)}, {_AFTER(_GRID, _PLACES)}, {_CLASSES}
+SELECT border, count(*) AS n, {_r(f"quantile_cont({_r('sharp')}, 0.5)")} AS sharp, {_r('avg(CASE WHEN cls.id % 15 <= 7 THEN 1.0 ELSE 0.0 END)')} AS switching, {_r('quantile_cont(cc, 0.5)')} AS cc FROM cls JOIN sharp USING (id) JOIN cc USING (id) GROUP BY border"""
+SQL["region_profile"] = f"""WITH {_CLIM}, own AS (SELECT DISTINCT pixel, pixel % 3 AS lab FROM m),
+part AS (SELECT lab, pixel, coalesce(min(day) FILTER (v > 0.3 * top), 0) AS a, coalesce(max(day) FILTER (v > 0.3 * top), max(day)) AS b FROM (SELECT *, max(v) OVER (PARTITION BY pixel) AS top FROM m) JOIN own USING (pixel) GROUP BY 1, 2),
+span AS (SELECT lab, quantile_cont(a, 0.5) AS "start", quantile_cont(b, 0.5) AS "end" FROM part GROUP BY 1),
+curve AS (SELECT lab, day, avg(v) AS v FROM m JOIN own USING (pixel) GROUP BY 1, 2),
+peak AS (SELECT lab, max(v) AS peak FROM curve GROUP BY 1),
+peaks AS (SELECT lab, any_value(peak) AS peak, min(day) AS peak_day FROM curve JOIN peak USING (lab) WHERE v = peak GROUP BY 1),
+mid AS (SELECT lab, count(*) AS n, {_r('avg(73 + 0.25 * (pixel % 25))')} AS lon, {_r('avg(40 - 0.25 * (pixel // 25))')} AS lat, {_r('avg(3000.0 + pixel * 7919 % 3001)')} AS elev, {_r('avg(60.0 + pixel * 31 % 211)')} AS active_days FROM own GROUP BY 1)
+SELECT lab, n, lon, lat, elev, active_days, "start", "end", {_r('peak')} AS peak, peak_day FROM mid JOIN span USING (lab) JOIN peaks USING (lab)"""

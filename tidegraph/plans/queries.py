@@ -213,7 +213,8 @@ def first_connected_k(s, d):
 
 @query
 def small_components(s, d):
-    return rounded(graph.small_components(_by_k(s, d), _places(s, d), 75.0), "share_east", "elev_median", "active_median")
+    out = graph.small_components(_by_k(s, d), _places(s, d), 75.0).withColumn("sizes", F.array_join(F.transform("sizes", lambda n: n.cast("string")), ","))
+    return rounded(out, "share_east", "elev_median", "active_median")
 
 
 def _degrees(s, d):
@@ -395,7 +396,7 @@ def nearest_group_scores(s, d):
 
 def _map_distances(s, d):
     e = spatial.grid_edges(_places(s, d)).select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
-    return e.join(distance.pairs(data.shares(s, d), "hellinger"), ["i", "j"])
+    return distance.edge_distances(e, data.shares(s, d))
 
 
 @query
