@@ -86,6 +86,26 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_spans(find_secrets(table(spark, sf_dir, "documents")))
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op2: sizes and targets."""
+    return op2_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op4: host, path, rule and the rule's verdict."""
+    return op4_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"))
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op5: the base counts."""
+    return op5_quality_rules(spark, sf_dir).drop("kept")
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op10: how many base spans there are of each kind."""
+    return op10_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_embedding_near_dedup,
@@ -98,6 +118,10 @@ def queries() -> dict[str, Query]:
         op8_language_id,
         op9_packing,
         op10_secret_scan,
+        mix_targets,
+        url_rules,
+        quality_counts,
+        secret_counts,
     )
     return {f.__name__: f for f in found}
 
@@ -123,6 +147,46 @@ SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(lost.n, 0) AS n_rem
 FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)"""
 
 
+OP7 = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 3, 1))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+few AS (SELECT k FROM sh GROUP BY 1 HAVING count(*) > 1),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM few JOIN sh a USING (k) JOIN sh b USING (k) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT met.a, met.b FROM met JOIN n x ON x.doc_id = met.a JOIN n y ON y.doc_id = met.b WHERE 100 * m >= 85 * (x.n + y.n - m)),
+reach AS (SELECT doc_id AS id, doc_id AS comp FROM documents WHERE doc_id NOT IN (SELECT a FROM link WHERE b < a) UNION SELECT l.b, r.comp FROM reach r JOIN link l ON l.a = r.id),
+best AS (SELECT id, min(comp) AS comp FROM reach GROUP BY 1)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, best.comp AS component_id FROM w JOIN best ON best.id = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id"""
+
+MIX = r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS words FROM d GROUP BY 1),
+o AS (SELECT source, words, [3.0, 1.0, 2.0][CAST((row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 AS INT) + 1] AS weight FROM s),
+t AS (SELECT *, row_number() OVER (ORDER BY 2 * words / weight, source) AS place FROM o),
+f AS (SELECT t.place, 2 * words / weight AS full_at, (1.5 * (SELECT sum(words) FROM t) - 2 * coalesce((SELECT sum(words) FROM t b WHERE b.place < t.place), 0)) / (SELECT sum(weight) FROM t b WHERE b.place >= t.place) AS level FROM t),
+l AS (SELECT coalesce((SELECT level FROM f WHERE level <= full_at ORDER BY place LIMIT 1), 1e300) AS level)
+SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, CAST(t.words AS BIGINT) AS source_size, round(least(CAST(l.level * t.weight AS DOUBLE), 2 * t.words), 6) AS target FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source, l"""
+
+RULES = r"""WITH u AS (SELECT page_id, coalesce(CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) END, '') AS rest FROM pages),
+h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
+p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+r AS (SELECT *, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/' WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+  WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/' WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM p)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS verdict FROM r"""
+
+QUALITY = r"""WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 3], chr(10)) AS k FROM (SELECT doc_id, w, unnest(range(len(w) - 2)) AS i FROM w WHERE len(w) > 2)),
+twice AS (SELECT doc_id, k FROM win GROUP BY 1, 2 HAVING count(*) > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + o.range) AS n FROM win JOIN twice USING (doc_id, k), range(3) o GROUP BY 1),
+lines AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM w),
+c AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM w JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c"""
+
+SECRETS = r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, CAST(len(list_filter(regexp_extract_all(text, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 8)) AS BIGINT) AS n_assign,
+  CAST(len(list_filter(regexp_extract_all(text, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 16)) AS BIGINT) AS n_access,
+  CAST(len(list_filter(regexp_extract_all(text, '[0-9a-f]+'), lambda x: length(x) >= 32)) AS BIGINT) AS n_hex FROM t"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """Of the others SQL has no Viterbi decoding, training, packing or template trees, or is too slow on whole tables."""
-    return {"op1_embedding_near_dedup": OP1, "op3_substring_dedup": OP3}
+    """Of the others SQL has no Viterbi decoding, training, packing, linking or template trees; what it can say of these has queries of its own."""
+    return {"op1_embedding_near_dedup": OP1, "op3_substring_dedup": OP3, "op7_ngram_jaccard_join": OP7, "mix_targets": MIX, "url_rules": RULES, "quality_counts": QUALITY, "secret_counts": SECRETS}
