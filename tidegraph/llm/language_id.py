@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
 from . import words as W
-from .shared import free_name
+from .shared import free_name, maybe_broadcast, written
 
 BUCKETS, DIM, ORDERS = 1 << 15, 16, (2, 3, 4)
 SAMPLE, LEAST, MAX_CHARS = 3000, 60, 4000
@@ -146,9 +146,10 @@ def _sampled(docs: DataFrame, sample: int, max_chars: int) -> DataFrame:
     rows = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     each = F.greatest(F.lit(LEAST), F.floor(F.lit(sample) / F.count(F.lit(1)).over(Window.partitionBy())))  # a row for each language
-    sizes = sizes.withColumn("each", each)
+    sizes = written(sizes.withColumn("each", each))
+    known = sizes.agg(F.sum(F.octet_length("lang") + 100)).first()[0] or 0
     thin = F.shiftrightunsigned("h", 11) / float(1 << 53) * F.col("n") < 2 * F.col("each") + 50
-    kept = rows.join(sizes, "lang").filter(thin)
+    kept = rows.join(maybe_broadcast(sizes, known), "lang").filter(thin)
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     return kept.withColumn("place", place).filter("place <= each").select("lang", "text", "h")
 
