@@ -1,7 +1,13 @@
 """The pipeline, stage by stage, against what each stage must do."""
 
+import os
+
+import duckdb
+import pytest
+
 import corpus_pipeline as pipeline
 from tests.llm.test_ops import WORD, brute_join
+from tidegraph.llm import queries
 from tidegraph.llm.line_crf import fit, judge
 from tidegraph.llm.mixing import mix
 from tidegraph.llm.secrets import find_secrets
@@ -30,3 +36,16 @@ def test_stages(spark, sf):
     pieces = at["packing"].collect()
     assert {r.doc_id for r in pieces} == {r.doc_id for r in at["mixing"].collect()}
     assert pipeline.run(spark, sf).count() == len(pieces)
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_same_as_sql(spark, sf, name):
+    con = duckdb.connect()
+    for t in os.listdir(sf):
+        con.execute(f"create view {t.removesuffix('.parquet')} as select * from '{sf}/{t}'")
+    df = queries.queries()[name](spark, sf)
+    res = con.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in res.description]
+    assert sorted(names) == sorted(df.columns)
+    want = [str(r) for r in res.fetchall()]
+    assert sorted(str(tuple(r)) for r in df.select(*names).collect()) == sorted(want)
