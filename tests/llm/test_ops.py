@@ -536,6 +536,42 @@ def test_ngram_join(docs, corpus, n, percent, most):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(docs, n, percent, most).collect()} == want
 
 
+@pytest.mark.parametrize(("n", "percent", "deal", "region"), [(4, 85, 4, 5), (5, 80, 16, 1), (4, 85, 1 << 20, 2), (4, 100, 4, 3)])
+def test_ngram_join_splits_frequent_shingles_and_large_regions(docs, corpus, monkeypatch, n, percent, deal, region):
+    monkeypatch.setattr(ngram_join, "DEAL_ROWS", deal)
+    monkeypatch.setattr(ngram_join, "REGION_ROWS", region)
+    one = docs.coalesce(1)
+    base = one.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("key"))
+    signs = base.mapInArrow(ngram_join._sign(n, percent), "doc_id long, key long, n long, pool long, node long, sketch binary, often array<struct<shingle: long, sets: long>>")
+    assert (ngram_join._frequent(signs).filter("deals > 1").count() > 0) == (deal < 1000)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(one, n, percent).collect()} == brute_join(corpus, n, percent)
+
+
+def test_parts_of_a_large_region_meet_wherever_sizes_allow_a_link(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "REGION_ROWS", 3)
+    sizes = {i: [1, 84, 85, 100, 117, 118, 119, 140, 500][i % 9] for i in range(60)}
+    seen = spark.createDataFrame([(7, i, n, b"") for i, n in sizes.items()] + [(8, 1, 5, b""), (8, 2, 6, b"")], "shingle long, node long, n long, sketch binary")
+    by = {}
+    for r in ngram_join._paired_parts(seen, 85).collect():
+        by.setdefault(r.shingle, set()).add(r.node)
+    assert by.pop(8) == {1, 2} and max(map(len, by.values())) < 40
+    met = {p for nodes in by.values() for p in itertools.combinations(sorted(nodes), 2)}
+    assert {p for p in itertools.combinations(sizes, 2) if 100 * min(sizes[p[0]], sizes[p[1]]) >= 85 * max(sizes[p[0]], sizes[p[1]])} <= met
+
+
+def test_whole_groups_cut_between_keys():
+    import pyarrow as pa
+
+    from tidegraph.llm.shared import whole_groups
+
+    keys = [1] * 5 + [2] * 9 + [3] + [4] * 2 + [5] * 30
+    for size, rows in itertools.product((1, 3, 7, 50), (1, 4, 20)):
+        batches = [pa.record_batch([pa.array(keys[i : i + size], pa.int64())], names=["k"]) for i in range(0, len(keys), size)]
+        got = [t["k"].to_pylist() for t in whole_groups(iter([*batches, batches[0].slice(0, 0)]), "k", rows)]
+        assert sum(got, []) == keys and all(a[-1] != b[0] for a, b in zip(got, got[1:]))
+    assert list(whole_groups(iter([]), "k")) == []
+
+
 def test_ngram_join_of_odd_rows(spark, docs):
     assert ngram_join.ngram_components(docs.limit(0)).count() == 0
     text = "a b c d e f g h"

@@ -11,10 +11,14 @@ the triangle inequality cannot exclude, join regions on their own".
    replicated to.  The order puts rare shingles first, by the number of sets that hold
    them, as counted for the share POOL of all shingles of smallest hash; the others
    follow by hash.  A set with enough shingles of its own needs no region at all.
+   Shingles that are frequent batch by batch stand last, by the counts of these batches,
+   so that their rows can be dealt over many tasks.
 2. *Windows inside a region.*  64 hash classes of shingles act as further pivots; the
    counts of a set in them move by at most the symmetric difference, so two sets whose
    count vectors are further apart (L1) than sets of distance r can be are no pair.
    The remaining candidates only say which sets share a *block*, a linear number.
+   Regions of more than REGION_ROWS sets fall into parts by size and hash, and parts whose
+   sizes allow a link meet two by two, each pair in a task of its own.
 3. *Document pivots.*  A block is joined exactly.  Sets within r of a pivot document
    are linked to it, and sets of one component need no comparing.  What is outside the
    main component meets the rest by Voronoi regions of the pivots, in parts of bounded
@@ -38,12 +42,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import all_rows, components, written
+from .shared import components, maybe_broadcast, whole_groups, written
 
 CLASSES = 64
+OFTEN_TYPE = pa.list_(pa.struct([("shingle", pa.int64()), ("sets", pa.int64())]))
 #: The share of all shingles, those of smallest hash, that are counted.
 POOL = 0.3
 _POOL_END = W.U(int(POOL * 2**64))
+#: A shingle is frequent in a batch if it is in this share of its sets, and in OFTEN_LEAST of them.
+OFTEN, OFTEN_LEAST = 0.01, 16
+#: Rows of a frequent shingle that one task sees when regions are found.
+DEAL_ROWS = 1024
+#: Frequent shingles stand after all others in the order, by the counts they have in batches above this.
+LAST = 1 << 40
+#: Sets of a region that meet in one task.
+REGION_ROWS = 4096
 #: What a text with words holds: a character that is no ASCII space.
 WORD = "[^\\x20\\x09-\\x0D]"
 
@@ -70,22 +83,51 @@ def _reach(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
 
-def _sign(n: int):
-    """A row for each document: its key, shingles, those that are counted, digest of the set (null without shingles), class counts."""
+def _sign(n: int, percent: int):
+    """A row for each document: its key, shingles, those that are counted, digest of the set (null without shingles), class counts; a batch's first row also has the shingles that are frequent in the batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, pool, node, sketch = [], [], [], []
+            size, pool, node, sketch, heads = [], [], [], [], {}
             for _, s in _sets(batch, n):
                 size.append(len(s))
                 pool.append(int(np.searchsorted(s, _POOL_END)))
                 node.append(_digest(s) if len(s) else None)
                 sketch.append(_sketch(s) if len(s) else None)
-            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), batch.column("key"), *(pa.array(x, pa.int64()) for x in (size, pool, node)), pa.array(sketch, pa.binary())], names=["doc_id", "key", "n", "pool", "node", "sketch"])
+                if len(s):
+                    heads[node[-1]] = s[: _head(s, percent)]
+            often: list = [None] * len(size)
+            if heads:
+                often[0] = _often(list(heads.values()))
+            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), batch.column("key"), *(pa.array(x, pa.int64()) for x in (size, pool, node)), pa.array(sketch, pa.binary()), pa.array(often, OFTEN_TYPE)], names=["doc_id", "key", "n", "pool", "node", "sketch", "often"])
 
     return run
 
 
+def _head(s: np.ndarray, percent: int) -> int:
+    """So many of a set's shingles, by hash, are regions it may be replicated to."""
+    return max(int(np.searchsorted(s, _POOL_END)), _reach(len(s), percent))
+
+
+def _often(heads: list[np.ndarray]) -> list[dict]:
+    """Shingles in many of the sets, and in how many."""
+    found, count = np.unique(np.concatenate(heads), return_counts=True)
+    many = count >= max(OFTEN_LEAST, OFTEN * len(heads))
+    return [{"shingle": int(x), "sets": int(c)} for x, c in zip(W.signed(found[many]), count[many], strict=True)]
+
+
+def _frequent(rows: DataFrame) -> DataFrame:
+    """(shingle, often, deals) of frequent shingles: their counts, and over so many tasks their rows are dealt.
+
+    Counts of whole batches are summed over all documents, a set once a batch.  A shingle that is frequent in
+    no batch is in less than the share OFTEN of all sets; there are at most as many
+    frequent ones as a set has shingles on average, over OFTEN.  The list only decides the
+    order and the dealing of rows, never which links are found.
+    """
+    seen = rows.filter("often is not null").select(F.explode("often").alias("o")).groupBy("o.shingle").agg(F.sum("o.sets").alias("sets"))
+    return seen.filter(F.col("sets") > DEAL_ROWS).select("shingle", (LAST + F.col("sets")).alias("often"), F.ceil(F.col("sets") / DEAL_ROWS).cast("int").alias("deals"))
+
+
 def _regions_of(n: int, percent: int):
     """(shingle, node) for each region that a set may be replicated to; the same set counts once in a batch."""
 
@@ -97,7 +139,7 @@ def _regions_of(n: int, percent: int):
                 if not len(s) or (d := _digest(s)) in seen:
                     continue
                 seen.add(d)
-                heads.append(s[: max(int(np.searchsorted(s, _POOL_END)), _reach(len(s), percent))])
+                heads.append(s[: _head(s, percent)])
                 nodes.append(np.full(len(heads[-1]), d, np.int64))
             if heads:
                 yield pa.record_batch([pa.array(W.signed(np.concatenate(heads))), pa.array(np.concatenate(nodes))], names=["shingle", "node"])
@@ -106,22 +148,31 @@ def _regions_of(n: int, percent: int):
 
 
 def _shared_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition with whole regions, the members of those with two different sets, and how many these have."""
-    if (t := all_rows(batches)) is None:
-        return
-    s, d = t["shingle"].to_numpy(), t["node"].to_numpy()
-    order = np.lexsort((d, s))
-    s, d = s[order], d[order]
-    new = np.ones(len(s), bool)
-    new[1:] = (s[1:] != s[:-1]) | (d[1:] != d[:-1])
-    s, d = s[new], d[new]
-    same = s[1:] == s[:-1]
-    keep = np.zeros(len(s), bool)
-    keep[1:] |= same
-    keep[:-1] |= same
-    if keep.any():
+    """Of a partition in order of shingles, the members of regions with two different sets, and how many these have; of dealt regions each member once."""
+    for t in whole_groups(batches, "shingle"):
+        s, d, often = t["shingle"].to_numpy(), t["node"].to_numpy(), t["often"].to_numpy()
+        order = np.lexsort((d, s))
+        s, d, often = s[order], d[order], often[order]
+        new = np.ones(len(s), bool)
+        new[1:] = (s[1:] != s[:-1]) | (d[1:] != d[:-1])
+        s, d, often = s[new], d[new], often[new]
+        same = s[1:] == s[:-1]
         size = np.diff(np.append(np.flatnonzero(np.append(True, ~same)), len(s)))
-        yield pa.record_batch([pa.array(s[keep]), pa.array(d[keep]), pa.array(np.repeat(size, size)[keep])], names=["shingle", "node", "sets"])
+        size = np.where(often > 0, often, np.repeat(size, size))
+        keep = size > 1
+        if keep.any():
+            yield pa.record_batch([pa.array(s[keep]), pa.array(d[keep]), pa.array(size[keep])], names=["shingle", "node", "sets"])
+
+
+def _shared(base: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """(shingle, node, sets) of regions with more than one set; rows of frequent shingles are dealt over tasks by their nodes."""
+    regions = base.mapInArrow(_regions_of(n, percent), "shingle long, node long")
+    frequent = written(_frequent(rows))
+    frequent = maybe_broadcast(frequent, 20 * frequent.count())
+    deal = F.coalesce(F.pmod(F.xxhash64("node"), "deals"), F.lit(0))
+    regions = regions.join(frequent, "shingle", "left").select("shingle", "node", F.coalesce("often", F.lit(0)).alias("often"), deal.alias("deal"))
+    ordered = regions.repartition("shingle", "deal").sortWithinPartitions("shingle")
+    return ordered.mapInArrow(_shared_regions, "shingle long, node long, sets long")
 
 
 def _first_regions(shared: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -137,45 +188,62 @@ def _window_edges(percent: int):
     """Candidate edges of whole regions: enough of them to connect all pairs that the class counts leave possible."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (t := all_rows(batches)) is None:
-            return
-        s, d, n = (t[c].to_numpy() for c in ("shingle", "node", "n"))
-        sk = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, CLASSES)
-        order = np.lexsort((d, n, s))
-        s, d, n = s[order], d[order], n[order]
-        cuts = np.concatenate((np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))), [len(s)]))
-        left, right = [], []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            rows, size, counts = order[a:b], n[a:b], None
-            if b - a == 2:
-                counts = sk[rows].astype(np.int16)
-                if _near(counts[0], size[0], counts[1:], size[1:], percent)[0]:
-                    left.append(d[a])
-                    right.append(d[a + 1])
-                continue
-            counts = sk[rows].astype(np.int16)
-            rest = np.arange(b - a)
-            while len(rest):  # breadth first from a new pivot
-                queue, rest = [rest[0]], rest[1:]
-                while queue and len(rest):
-                    p = queue.pop()
-                    # sizes are in order: only a slice can be within the size window
-                    lo = np.searchsorted(size[rest], -(-percent * size[p] // 100))
-                    hi = np.searchsorted(size[rest], 100 * size[p] // percent, "right")
-                    if lo < hi:
-                        near = rest[lo:hi][_near(counts[p], size[p], counts[rest[lo:hi]], size[rest[lo:hi]], percent)]
-                        if len(near):
-                            left.extend([d[a + p]] * len(near))
-                            right.extend(d[a + near])
-                            queue.extend(near)
-                            rest = np.setdiff1d(rest, near, assume_unique=True)
-        if left:
-            x = np.unique(np.sort(np.array([left, right], np.int64), axis=0), axis=1)
-            yield pa.record_batch([pa.array(x[0]), pa.array(x[1])], names=["a", "b"])
+        for t in whole_groups(batches, "shingle"):
+            s, d, n = (t[c].to_numpy() for c in ("shingle", "node", "n"))
+            sk = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, CLASSES)
+            order = np.lexsort((d, n, s))
+            s, d, n = s[order], d[order], n[order]
+            cuts = np.concatenate((np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))), [len(s)]))
+            left, right = [], []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                size, counts = n[a:b], sk[order[a:b]].astype(np.int16)
+                rest = np.arange(b - a)
+                while len(rest):  # breadth first from a new pivot
+                    queue, rest = [rest[0]], rest[1:]
+                    while queue and len(rest):
+                        p = queue.pop()
+                        # sizes are in order: only a slice can be within the size window
+                        lo = np.searchsorted(size[rest], -(-percent * size[p] // 100))
+                        hi = np.searchsorted(size[rest], 100 * size[p] // percent, "right")
+                        near = np.zeros(len(rest), bool)
+                        near[lo:hi] = _near(counts[p], size[p], counts[rest[lo:hi]], size[rest[lo:hi]], percent)
+                        if near.any():
+                            hit, rest = rest[near], rest[~near]
+                            left.extend([d[a + p]] * len(hit))
+                            right.extend(d[a + hit])
+                            queue.extend(hit)
+            if left:
+                x = np.unique(np.sort(np.array([left, right], np.int64), axis=0), axis=1)
+                yield pa.record_batch([pa.array(x[0]), pa.array(x[1])], names=["a", "b"])
 
     return run
 
 
+def _paired_parts(seen: DataFrame, percent: int) -> DataFrame:
+    """Rows of ``seen(shingle, node, n, sketch)`` with regions of more than REGION_ROWS cut into parts, a copy of a part for each other part that it may link with; shingle then names a pair of parts.
+
+    Sets that link have sizes within a factor 100 / percent, so they are in one stratum of
+    that ratio or in two next to each other; strata are dealt into parts by hash.
+    """
+    # strata are a little wider than the ratio, so that rounding can't put a link two apart
+    stratum = F.floor(F.log(F.col("n").cast("double")) / (np.log(100 / percent) * (1 + 1e-6)) if percent < 100 else F.col("n")).cast("long")
+    counts = seen.groupBy("shingle", stratum.alias("stratum")).agg(F.count(F.lit(1)).alias("sets"))
+    large = counts.groupBy("shingle").agg(F.sum("sets").alias("all"), F.collect_list(F.struct("stratum", F.ceil(F.col("sets") / REGION_ROWS).alias("parts"))).alias("strata"))
+    large = written(large.filter(F.col("all") > REGION_ROWS).select("shingle", "strata"))
+    if large.isEmpty():
+        return seen
+    rows = seen.withColumn("stratum", stratum).join(large, "shingle")
+    parts_of = lambda g: F.coalesce(F.get(F.filter("strata", lambda x: x["stratum"] == g), F.lit(0))["parts"], F.lit(0))
+    rows = rows.withColumn("own", parts_of(F.col("stratum"))).withColumn("part", F.pmod(F.xxhash64("node"), F.col("own")))
+    pair = lambda g, low, h, high: F.xxhash64("shingle", g, low, h, high)
+    g, upto = F.col("stratum"), lambda m: F.filter(F.sequence(F.lit(0).cast("long"), m), lambda x: x < m)
+    inside = F.transform(upto(F.col("own")), lambda x: pair(g, F.least("part", x), g, F.greatest("part", x)))
+    above = F.transform(upto(parts_of(g + 1)), lambda x: pair(g, F.col("part"), g + 1, x))
+    below = F.transform(upto(parts_of(g - 1)), lambda x: pair(g - 1, x, g, F.col("part")))
+    rows = rows.select(F.explode(F.concat(inside, above, below)).alias("shingle"), "node", "n", "sketch")
+    return seen.join(large.select("shingle"), "shingle", "left_anti").unionByName(rows)
+
+
 def _near(one: np.ndarray, n: int, many: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
     """Whether the class counts allow 100 |A and B| >= percent |A or B|, that is (100 + percent) D <= (100 - percent) (|A| + |B|)."""
     return (100 + percent) * np.abs(many - one).sum(1, dtype=np.int64) <= (100 - percent) * (size + n)
@@ -367,14 +435,14 @@ def _named(docs: DataFrame, n: int, percent: int, max_rows: int) -> tuple[DataFr
     of its first row.
     """
     base = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("key"))
-    rows = written(base.mapInArrow(_sign(n), "doc_id long, key long, n long, pool long, node long, sketch binary"))
+    rows = written(base.mapInArrow(_sign(n, percent), "doc_id long, key long, n long, pool long, node long, sketch binary, often array<struct<shingle: long, sets: long>>"))
 
-    regions = base.mapInArrow(_regions_of(n, percent), "shingle long, node long")
-    shared = written(regions.repartition("shingle").mapInArrow(_shared_regions, "shingle long, node long, sets long"))
+    shared = written(_shared(base, rows, n, percent))
     nodes = rows.filter("node is not null").groupBy("node").agg(_first_row(), F.first("n").alias("n"), F.first("pool").alias("pool"), F.first("sketch").alias("sketch"))
     nodes = written(nodes.select("node", "row.doc_id", "row.key", "n", "pool", "sketch"))
-    seen = written(_first_regions(shared, nodes, percent)).join(nodes.select("node", "n", "sketch"), "node")
-    edges = seen.repartition("shingle").mapInArrow(_window_edges(percent), "a long, b long")
+    seen = written(_first_regions(shared, nodes, percent)).join(nodes.select("node", "n", "sketch"), "node").select("shingle", "node", "n", "sketch")
+    met = _paired_parts(seen, percent).repartition("shingle").sortWithinPartitions("shingle")
+    edges = met.mapInArrow(_window_edges(percent), "a long, b long")
     blocks = components(edges).select("node", F.col("component").alias("block"))
 
     wanted = blocks.join(nodes.select("node", F.col("doc_id").alias("id"), F.col("key").alias("text_key")), "node")

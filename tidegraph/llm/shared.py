@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from ..sources import tables
 from ..sources.tables import table
 
-__all__ = ["all_rows", "components", "free_name", "maybe_broadcast", "numbered", "table", "words_of", "written"]
+__all__ = ["all_rows", "components", "free_name", "maybe_broadcast", "numbered", "table", "whole_groups", "words_of", "written"]
 #: Bytes up to which a table is broadcast.
 BROADCAST_BYTES = 64 << 20
 
@@ -51,6 +52,29 @@ def all_rows(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
     return pa.Table.from_batches(kept) if kept else None
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 1 << 18) -> Iterator[pa.Table]:
+    """Tables of about ``rows`` rows of a partition in order of an integer key, each key whole in one of them: memory is bounded by that and the largest group."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if size >= rows:
+            last = held[-1].column(key)[-1].as_py()
+            here = np.asarray(batch.column(key))
+            end = int(np.argmax(here != last)) if here[-1] != last else len(here)
+            held.append(batch.slice(0, end))
+            if end == len(here):
+                size += end
+                continue
+            yield pa.Table.from_batches(held)
+            held, size, batch = [], 0, batch.slice(end)
+        held.append(batch)
+        size += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def words_of(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
