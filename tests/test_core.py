@@ -169,6 +169,20 @@ def test_affinities_and_maps():
     assert (d.argmin(1) // 20 == np.arange(60) // 20).all()
 
 
+def test_tables_of_figures(spark):
+    from tidegraph.operators import products
+
+    deg = spark.createDataFrame([(i, d, c) for i, (d, c) in enumerate([(3, 0.0), (4, 0.5), (5, 1.0), (9, 1.0)])], "id long, degree long, cc double")
+    assert rows(products.degree_histogram(deg), "low", "n") == [(3, 2), (5, 1), (9, 1)]
+    assert rows(products.histogram_between_ends(deg, "cc", 4), "bin", "n") == [(0, 1), (2, 1), (3, 2)]
+    assert rows(products.histogram_between_ends(deg.filter("cc = 1"), "cc", 4), "bin", "n") == [(0, 2)]
+    assert products.clustering_summary(deg).first()["random_graph_cc"] == pytest.approx(5.25 / 3)
+    ids = spark.createDataFrame([(i * i,) for i in range(9)], "id long")
+    pairs = ids.alias("a").join(ids.select(F.col("id").alias("j")), F.col("id") < F.col("j")).select(F.col("id").alias("i"), "j", F.lit(0.0).alias("d"))
+    want = [(a * a, b * b, n) for n, (a, b) in enumerate((a, b) for a in range(9) for b in range(a + 1, 9)) if n % 5 == 0]
+    assert rows(products.sample_pairs(pairs, ids, 5), "i", "j", "place") == want
+
+
 def test_kmeans_moves_all_starts_together(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(90, 3)) * 0.3 + np.repeat(rng.normal(size=(3, 3)) * 6, 30, 0)

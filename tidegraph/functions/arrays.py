@@ -23,6 +23,11 @@ def bound(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def total(s: Column, f: Callable[[Column], Column] = lambda x: x) -> Column:
+    """The sum of f over an array of doubles, 0 for an empty one."""
+    return F.aggregate(s, F.lit(0.0), lambda a, x: a + f(x))
+
+
 def gaussian(sigma: float, radius: int) -> list[float]:
     k = [math.exp(-0.5 * (o / sigma) ** 2) for o in range(-radius, radius + 1)]
     return [x / sum(k) for x in k]

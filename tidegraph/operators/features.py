@@ -1,15 +1,15 @@
 """Time-shape features, in long form: a row for each pixel (and year) and index f of a feature.
 
 Inputs are ``curves(pixel, year, s array<double>)``.  Votes are exploded and summed, so
-that histograms are ordinary aggregates with partial sums; block sums are windows over
-keys that the histogram is partitioned by.
+that histograms are ordinary aggregates with partial sums; blocks of a histogram are
+normalised inside one array, so that its bins are not shuffled one by one.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
@@ -24,26 +24,49 @@ def _by_day(rates: DataFrame, keys: list[str], cells: int) -> DataFrame:
     return out.withColumn("cell", A.cell_of(F.col("t"), cells, F.col("n"))).drop("n")
 
 
-def soft_histogram(rates: DataFrame, keys: list[str], cells: int = CELLS, bins: int = BINS, c: float = SLOPE) -> DataFrame:
-    """(keys, cell, bin, h): |rate| split between the two nearest bin centres; all bins of all cells are there."""
+def cell_votes(rates: DataFrame, keys: list[str], cells: int = CELLS, bins: int = BINS, c: float = SLOPE) -> DataFrame:
+    """(keys, cell, h array): |rate| split between the two nearest bin centres; all cells are there."""
     pos = F.least(F.greatest(A.slope_position(F.col("rate"), bins, c), F.lit(0.0)), F.lit(bins - 1.0))
     days = _by_day(rates, keys, cells).withColumn("pos", pos).withColumn("lo", F.floor("pos").cast("int"))
     part = F.col("pos") - F.col("lo")
     votes = F.array(*(F.when(F.col("lo") == b, 1 - part).when(F.col("lo") == b - 1, part).otherwise(0.0) for b in range(bins)))
     days = days.select(*keys, "cell", *((F.abs("rate") * F.get(votes, F.lit(b))).alias(f"b{b}") for b in range(bins)))
     sums = days.groupBy(*keys, "cell").agg(*(F.sum(f"b{b}").alias(f"b{b}") for b in range(bins)))
-    return sums.select(*keys, "cell", F.posexplode(F.array(*(f"b{b}" for b in range(bins)))).alias("bin", "h"))
+    return sums.select(*keys, "cell", F.array(*(f"b{b}" for b in range(bins))).alias("h"))
+
+
+def soft_histogram(rates: DataFrame, keys: list[str], cells: int = CELLS, bins: int = BINS, c: float = SLOPE) -> DataFrame:
+    """(keys, cell, bin, h) of cell_votes."""
+    return cell_votes(rates, keys, cells, bins, c).select(*keys, "cell", F.posexplode("h").alias("bin", "h"))
+
+
+def block_arrays(votes: DataFrame, keys: list[str], cells: int = CELLS, clip: float = 0.2, eps: float = 1.0) -> DataFrame:
+    """(keys, v array) of ``votes(keys, cell, h array)``: blocks of a cell and the next one (the last wraps), L2 with eps, clipped, L2 with eps again, end to end."""
+    rows = votes.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "h"))), lambda x: x["h"]).alias("h"))
+
+    def unit(x: Column) -> Column:
+        return A.bound(F.sqrt(A.total(x, lambda y: y * y) + eps**2), lambda n: F.transform(x, lambda y: y / n))
+
+    def block(b: Column) -> Column:
+        both = F.concat(F.get("h", b), F.get("h", F.pmod(b + 1, F.lit(cells))))
+        return A.bound(both, lambda x: A.bound(F.transform(unit(x), lambda y: F.least(y, F.lit(clip))), unit))
+
+    return rows.select(*keys, F.flatten(F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), block)).alias("v"))
 
 
 def block_normalize(h: DataFrame, keys: list[str], cells: int = CELLS, bins: int = BINS, clip: float = 0.2, eps: float = 1.0) -> DataFrame:
-    """(keys, f, v): blocks of a cell and the next one (the last wraps), L2 with eps, clipped, L2 with eps again; f = (cell 2 + slot) bins + bin."""
-    slots = F.explode(F.array(F.struct(F.col("cell").alias("block"), F.lit(0).alias("slot")), F.struct(F.pmod(F.col("cell") - 1, F.lit(cells)).alias("block"), F.lit(1).alias("slot"))))
-    b = h.select(*keys, "bin", "h", slots.alias("x")).select(*keys, "x.block", "x.slot", "bin", "h")
-    w = Window.partitionBy(*keys, "block")
-    norm = lambda x: F.sqrt(F.sum(F.col(x) * F.col(x)).over(w) + eps**2)
-    b = b.withColumn("v", F.least(F.col("h") / norm("h"), F.lit(clip)))
-    b = b.withColumn("v", F.col("v") / norm("v"))
-    return b.select(*keys, ((F.col("block") * 2 + F.col("slot")) * bins + F.col("bin")).cast("int").alias("f"), "v")
+    """(keys, f, v) of ``h(keys, cell, bin, h)``: block_arrays with f = (cell 2 + slot) bins + bin."""
+    votes = h.groupBy(*keys, "cell").agg(F.array(*(F.coalesce(F.sum(F.when(F.col("bin") == b, F.col("h"))), F.lit(0.0)) for b in range(bins))).alias("h"))
+    return by_index(block_arrays(votes, keys, cells, clip, eps), keys)
+
+
+def by_index(arrays: DataFrame, keys: list[str]) -> DataFrame:
+    return arrays.select(*keys, F.posexplode("v").alias("f", "v"))
+
+
+def shares(v: Column) -> Column:
+    """An array divided by its sum, or by 1e-12 where that is less."""
+    return A.bound(v, lambda x: A.bound(F.greatest(A.total(x), F.lit(1e-12)), lambda t: F.transform(x, lambda y: y / t)))
 
 
 def distribution(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -56,58 +79,77 @@ def over_years(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys, "f").agg(F.avg("v").alias("v"))
 
 
+def mean_arrays(arrays: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, v array): mean over years, place by place; a group holds one array a year."""
+    rows = arrays.groupBy(*keys).agg(F.collect_list("v").alias("vs"))
+    each = lambda x, i: F.aggregate("vs", F.lit(0.0), lambda a, v: a + F.get(v, i)) / F.size("vs")
+    return rows.select(*keys, F.transform(F.get("vs", F.lit(0)), each).alias("v"))
+
+
+def side_by_side(arrays: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, v array) of ``arrays(keys, lag, v)``: arrays of all lags end to end, as one distribution."""
+    rows = arrays.groupBy(*keys).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("lag", "v"))), lambda x: x["v"])).alias("v"))
+    return rows.select(*keys, shares(F.col("v")).alias("v"))
+
+
 def smooth_rates(curves: DataFrame, sigma: float = 2.0) -> DataFrame:
     return curves.select("pixel", "year", A.bound(A.smooth(F.col("s"), sigma), A.central_rate).alias("rate"))
 
 
 def lag_rates(curves: DataFrame, lags: tuple[int, ...]) -> DataFrame:
-    """(pixel, year, lag, rate array): all lags in one pass."""
+    """(pixel, year, lag, rate array) and what else curves have: all lags in one pass."""
     each = F.explode(F.array(*(F.struct(F.lit(i).alias("lag"), A.lag_rate(F.col("s"), lag).alias("rate")) for i, lag in enumerate(lags))))
-    return curves.select("pixel", "year", each.alias("x")).select("pixel", "year", "x.lag", "x.rate")
+    keys = [c for c in curves.columns if c != "s"]
+    return curves.select(*keys, each.alias("x")).select(*keys, "x.lag", "x.rate")
 
 
 def cell_histograms(curves: DataFrame, cells: int = CELLS, bins: int = BINS, c: float = SLOPE, sigma: float = 2.0) -> DataFrame:
     return soft_histogram(smooth_rates(curves, sigma), ["pixel", "year"], cells, bins, c)
 
 
-def temporal_hog(curves: DataFrame, cells: int = CELLS) -> DataFrame:
+def _year_blocks(curves: DataFrame, cells: int) -> DataFrame:
     keys = ["pixel", "year"]
-    return distribution(over_years(block_normalize(cell_histograms(curves, cells), keys, cells), ["pixel"]), ["pixel"])
+    return block_arrays(cell_votes(smooth_rates(curves), keys, cells), keys, cells)
+
+
+def temporal_hog(curves: DataFrame, cells: int = CELLS) -> DataFrame:
+    rows = mean_arrays(_year_blocks(curves, cells), ["pixel"])
+    return by_index(rows.select("pixel", shares(F.col("v")).alias("v")), ["pixel"])
 
 
 def yearly_hog(curves: DataFrame, cells: int = CELLS) -> DataFrame:
     """(pixel, year, f, v, active): each year a distribution; active: the year's blocks aren't all but zero."""
-    keys = ["pixel", "year"]
-    b = block_normalize(cell_histograms(curves, cells), keys, cells)
-    b = b.withColumn("active", F.sum("v").over(Window.partitionBy(*keys)) > 1e-6)
-    return distribution(b, keys)
+    rows = _year_blocks(curves, cells).select("pixel", "year", shares(F.col("v")).alias("v"), (A.total(F.col("v")) > 1e-6).alias("active"))
+    return rows.select("pixel", "year", "active", F.posexplode("v").alias("f", "v"))
 
 
 def _lag_blocks(curves: DataFrame, lags: tuple[int, ...], cells: int) -> DataFrame:
-    keys = ["pixel", "year", "lag"]
-    return block_normalize(soft_histogram(lag_rates(curves, lags), keys, cells), keys, cells)
+    """(pixel, year, lag, v array) and what else curves have for a pixel and year."""
+    keys = [*(c for c in curves.columns if c != "s"), "lag"]
+    return block_arrays(cell_votes(lag_rates(curves, lags), keys, cells), keys, cells)
 
 
 def multiscale_hog(curves: DataFrame, lags: tuple[int, ...] = (1, 3, 7, 15, 31), weights: tuple[float, ...] | None = None, cells: int = CELLS) -> DataFrame:
     """(pixel, f, v): weighted lag features side by side, f from lag index, cell, slot and bin."""
     weights = weights or (1.0,) * len(lags)
-    rows = distribution(over_years(_lag_blocks(curves, lags, cells), ["pixel", "lag"]), ["pixel", "lag"])
     w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), F.col("lag") + 1)
-    return distribution(rows.select("pixel", (F.col("lag") * 2 * cells * BINS + F.col("f")).cast("int").alias("f"), (w * F.col("v")).alias("v")), ["pixel"])
+    rows = mean_arrays(_lag_blocks(curves, lags, cells), ["pixel", "lag"])
+    rows = rows.select("pixel", "lag", A.bound(w, lambda u: F.transform(shares(F.col("v")), lambda x: u * x)).alias("v"))
+    return by_index(side_by_side(rows, ["pixel"]), ["pixel"])
 
 
 def lag_hog(curves: DataFrame, lag: int = 1, cells: int = CELLS) -> DataFrame:
-    rows = over_years(_lag_blocks(curves, (lag,), cells), ["pixel", "lag"])
-    return distribution(rows.drop("lag"), ["pixel"])
+    rows = mean_arrays(_lag_blocks(curves, (lag,), cells), ["pixel"])
+    return by_index(rows.select("pixel", shares(F.col("v")).alias("v")), ["pixel"])
 
 
 def yearly_multiscale_hog(curves: DataFrame, lags: tuple[int, ...] = MAIN_LAGS, cells: int = CELLS) -> DataFrame:
     """(pixel, year, f, v, active): each lag of a year a distribution, then the year; active: its curve changes."""
-    keys = ["pixel", "year"]
-    rows = distribution(_lag_blocks(curves, lags, cells), [*keys, "lag"])
-    rows = distribution(rows.select(*keys, (F.col("lag") * 2 * cells * BINS + F.col("f")).cast("int").alias("f"), "v"), keys)
-    change = F.aggregate(A.over_days(F.col("s"), lambda t: F.abs(A.at(F.col("s"), t + 1) - A.at(F.col("s"), t))), F.lit(0.0), lambda a, x: a + x)
-    return rows.join(curves.select(*keys, (change > 1e-6).alias("active")), keys)
+    keys = ["pixel", "year", "active"]
+    change = A.total(A.over_days(F.col("s"), lambda t: F.abs(A.at(F.col("s"), t + 1) - A.at(F.col("s"), t))))
+    rows = _lag_blocks(curves.select("pixel", "year", "s", (change > 1e-6).alias("active")), lags, cells)
+    rows = rows.select(*keys, "lag", shares(F.col("v")).alias("v"))
+    return by_index(side_by_side(rows, keys), keys)
 
 
 def raw_curve(curves: DataFrame, cells: int = CELLS) -> DataFrame:

@@ -212,6 +212,10 @@ SQL["inactive_years"] = f"WITH {_INACTIVE} SELECT year, CAST(inactive AS BIGINT)
 SQL["sensor_check"] = f"WITH {_INACTIVE} SELECT {_r('avg(inactive) FILTER (year < 3)')} AS inactive_before, {_r('avg(inactive) FILTER (year >= 3)')} AS inactive_after FROM ina"
 SQL["medoids"] = f"WITH {_HELL}, {_PLACES}, m AS (SELECT a.lab, hd.i, avg(d) AS d FROM hd JOIN lab a ON a.id = hd.i JOIN lab b ON b.id = hd.j WHERE a.lab = b.lab GROUP BY 1, 2) SELECT lab, i AS id, {_r('d')} AS d FROM (SELECT *, row_number() OVER (PARTITION BY lab ORDER BY d, i) AS k FROM m) WHERE k = 1"
 SQL["distance_histogram"] = f"WITH {_HELL}, x AS (SELECT {_r('d')} AS d FROM hd WHERE i < j) SELECT CAST(least(floor(d / (1.0 / 80)), 79) AS INT) AS bin, count(*) AS n FROM x WHERE d BETWEEN 0 AND 1 GROUP BY 1"
+SQL["distance_sample"] = f"WITH {_HELL}, x AS (SELECT i, j, {_r('d')} AS d, row_number() OVER (ORDER BY i, j) - 1 AS place FROM hd WHERE i < j) SELECT * FROM x WHERE place % 50 = 0"
+SQL["degree_histogram"] = f"WITH {_DEGREES} SELECT degree - (degree - (SELECT min(degree) FROM deg)) % 2 AS low, count(*) AS n FROM deg GROUP BY 1"
+SQL["clustering_histogram"] = f"WITH {_DEGREES}, x AS (SELECT {_r('cc')} AS cc FROM cc), m AS (SELECT min(cc) AS a, max(cc) AS b FROM x) SELECT CAST(CASE WHEN a = b THEN 0 ELSE least(floor((cc - a) / (b - a) * 50), 49) END AS INT) AS bin, count(*) AS n FROM x, m GROUP BY 1"
+SQL["clustering_summary"] = f"WITH {_DEGREES} SELECT {_r('quantile_cont(cc, 0.05)')} AS cc_q05, {_r('quantile_cont(cc, 0.5)')} AS cc_median, {_r('quantile_cont(cc, 0.95)')} AS cc_q95, {_r('avg(cc)')} AS cc_mean, {_r('avg(degree) / (count(*) - 1)')} AS random_graph_cc FROM cc"
 SQL["matrix_order"] = f"WITH {_PLACES}, o AS (SELECT id, row_number() OVER (ORDER BY lab, lon, id) - 1 AS n FROM lab JOIN places USING (id)) SELECT id, n // 3 AS place FROM o WHERE n % 3 = 0"
 SQL["painted_map"] = f"WITH {_PLACES}, v AS (SELECT id // 2 AS x, avg(id % 9) AS v FROM places GROUP BY 1) SELECT r, c, v FROM places JOIN v ON x = id // 2"
 SQL["mark_places"] = f"WITH {_OUT} SELECT grp AS region, {_r('avg(lon)')} AS lon, {_r('avg(lat)')} AS lat FROM outside WHERE grp IS NOT NULL GROUP BY 1"

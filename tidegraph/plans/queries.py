@@ -568,6 +568,26 @@ def degree_ccdf(s, d):
     return rounded(products.ccdf(_degrees(s, d)), "share")
 
 
+@query
+def distance_sample(s, d):
+    return rounded(products.sample_pairs(distance.pairs(data.shares(s, d), "hellinger"), data.points(s, d)), "d")
+
+
+@query
+def degree_histogram(s, d):
+    return products.degree_histogram(_degrees(s, d))
+
+
+@query
+def clustering_histogram(s, d):
+    return products.histogram_between_ends(rounded(_degrees(s, d), "cc"), "cc", 50)
+
+
+@query
+def clustering_summary(s, d):
+    return rounded(products.clustering_summary(_degrees(s, d)), "cc_q05", "cc_median", "cc_q95", "cc_mean", "random_graph_cc")
+
+
 @query
 def matrix_order(s, d):
     rows = data.labels(s, d).join(_places(s, d), "id")
