@@ -58,3 +58,27 @@ def test_entry_runs(spark):
 
 def test_sql_belongs_to_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_graphs_of_all_k(spark, sf):
+    """Each k's Fiedler value is the one of a dense Laplacian of that k alone."""
+    import numpy as np
+
+    from tidegraph.operators import graph, spectral
+    from tidegraph.plans import queries as q
+
+    got = {r["k"]: r["lambda"] for r in entry.queries()["fiedler_by_k"](spark, sf).collect()}
+    first = [r["k"] for r in entry.queries()["first_connected_k"](spark, sf).filter("first").collect()]
+    assert sorted(got) == list(range(first[0], 65))
+    n = q.nbrs(spark, sf, q.SCAN)
+    for k in (first[0], 64):
+        entries = spectral.laplacian(spectral.gaussian_weights(graph.knn_edges(n, k), n)).toPandas()
+        ids = np.unique(entries["src"])
+        m = np.zeros((len(ids), len(ids)))
+        m[np.searchsorted(ids, entries["src"]), np.searchsorted(ids, entries["dst"])] = entries["v"]
+        assert got[k] == pytest.approx(np.linalg.eigvalsh(m)[1], abs=1e-9)
+
+
+def test_partitions_of_other_k(spark, sf):
+    got = {r["k"]: r["ari"] for r in entry.queries()["k_robustness"](spark, sf).collect()}
+    assert sorted(got) == [8, 16, 32, 64] and all(-1 <= x <= 1 for x in got.values())

@@ -48,6 +48,12 @@ def components_by_k(vertices: DataFrame, nbrs: DataFrame, ks: list[int]) -> Data
     return components(vertices.select(each, "id"), edges)
 
 
+def least_k(nbrs: DataFrame) -> DataFrame:
+    """(src, dst, least): each edge, and the least k whose graph has it."""
+    near = nbrs.select(F.col("i").alias("src"), F.col("j").alias("dst"), "rank")
+    return near.union(near.select("dst", "src", "rank")).groupBy("src", "dst").agg(F.min("rank").alias("least"))
+
+
 def component_counts(by_k: DataFrame) -> DataFrame:
     return by_k.groupBy(F.col("run").alias("k")).agg(F.countDistinct("comp").alias("n_comp"))
 

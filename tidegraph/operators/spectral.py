@@ -30,11 +30,12 @@ def gaussian_weights(edges: DataFrame, nbrs: DataFrame, k_scale: int = 7, fallba
 
 
 def laplacian(weights: DataFrame) -> DataFrame:
-    """(src, dst, v): entries of I - D^-1/2 W D^-1/2 off 0; a vertex without edges has none."""
-    deg = weights.groupBy("src").agg(F.sum("w").alias("deg"))
-    other = deg.select(F.col("src").alias("dst"), F.col("deg").alias("deg2"))
-    off = weights.join(deg, "src").join(other, "dst").select("src", "dst", (-F.col("w") / F.sqrt(F.col("deg") * F.col("deg2"))).alias("v"))
-    return off.unionByName(deg.select("src", F.col("src").alias("dst"), F.lit(1.0).alias("v")))
+    """(src, dst, v): entries of I - D^-1/2 W D^-1/2 off 0; a vertex without edges has none.  For each run if weights have a column ``run``."""
+    keys = ["run"] if "run" in weights.columns else []
+    deg = weights.groupBy(*keys, "src").agg(F.sum("w").alias("deg"))
+    other = deg.select(*keys, F.col("src").alias("dst"), F.col("deg").alias("deg2"))
+    off = weights.join(deg, [*keys, "src"]).join(other, [*keys, "dst"]).select(*keys, "src", "dst", (-F.col("w") / F.sqrt(F.col("deg") * F.col("deg2"))).alias("v"))
+    return off.unionByName(deg.select(*keys, "src", F.col("src").alias("dst"), F.lit(1.0).alias("v")))
 
 
 def _dense(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:

@@ -276,14 +276,20 @@ def spectrum(s, d):
     return _spectrum(s, d).groupBy("idx").agg(F.first("lambda").alias("lambda"), (F.max("residual") < 1e-8).alias("holds"))
 
 
+def _laplacians(s, d, ks):
+    """Laplacian entries (run, src, dst, v) of the graphs of all k in ks: weights don't depend on k, only which edges there are."""
+    n = nbrs(s, d, SCAN)
+    w = spectral.gaussian_weights(graph.knn_edges(n, SCAN), n).join(graph.least_k(n), ["src", "dst"])
+    run = F.explode(F.array(*(F.lit(k).cast("long") for k in ks))).alias("run")
+    return spectral.laplacian(w.select(run, "src", "dst", "w", "least").filter("least <= run").drop("least"))
+
+
 @query
 def fiedler_by_k(s, d):
-    n = nbrs(s, d, SCAN)
-    rows = None
-    for k in (8, 16, 21, 32, 64):
-        e = spectral.laplacian(spectral.gaussian_weights(graph.knn_edges(n, k), n)).withColumn("run", F.lit(k).cast("long"))
-        rows = e if rows is None else rows.unionByName(e)
-    return spectral.eigenvalues(rows).filter("idx = 1").select(F.col("run").alias("k"), "lambda")
+    """From the first k that connects the graph to 64, or to all other vertices."""
+    counts = settled(graph.component_counts(_by_k(s, d)))
+    ks = range(graph.first_connected(counts), max(r["k"] for r in counts.select("k").collect()) + 1)  # at most 64 rows
+    return spectral.eigenvalues(_laplacians(s, d, ks)).filter("idx = 1").select(F.col("run").alias("k"), "lambda")
 
 
 @query
@@ -316,6 +322,19 @@ def spectral_clusters(s, d):
     return cluster.name_regions(lab, _places(s, d))
 
 
+@query
+def k_robustness(s, d):
+    """Agreement of the partitions at other k with that at 21."""
+    vectors = spectral.spectra(_laplacians(s, d, (8, 16, K, 32, 64)), REGIONS)
+    lab = settled(cluster.spectral_clusters(vectors, REGIONS).select("run", "id", "lab"))
+    main = lab.filter(F.col("run") == K).select("id", F.col("lab").alias("a"))
+    out = None
+    for k in (8, 16, 32, 64):
+        one = cluster.ari(main.join(lab.filter(F.col("run") == k).select("id", F.col("lab").alias("b")), "id")).select(F.lit(k).alias("k"), "ari")
+        out = one if out is None else out.union(one)
+    return out
+
+
 @query
 def louvain(s, d):
     return cluster.louvain(_weights(s, d).withColumn("run", F.lit(0).cast("long"))).select("id", "comm", "modularity")
@@ -507,8 +526,16 @@ def sensor_check(s, d):
 
 @query
 def variant_sweep(s, d):
+    """The graph with other cells, and of vertices active on at least so many days a season."""
     c, at, lab = _main(s, d)
-    return robustness.variant(c, at, lab, 8, REGIONS, features.MAIN_LAGS, 12).unionByName(robustness.variant(c, at, lab, 8, REGIONS, features.MAIN_LAGS, 48))
+    active = F.size(F.filter("s", lambda x: x > 0.5))
+    mean = settled(c.groupBy("pixel").agg(F.avg(active).alias("active_days")))
+    out = None
+    for name, cells, least in (("12 cells", 12, 0), ("48 cells", 48, 0), ("30 days", 24, 30), ("90 days", 24, 90)):
+        own = c.join(mean.filter(F.col("active_days") >= least).select("pixel"), "pixel")
+        one = robustness.variant(own, at, lab, 8, REGIONS, features.MAIN_LAGS, cells).withColumn("variant", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query
@@ -534,8 +561,8 @@ def tsne_affinities(s, d):
 
 @query
 def tsne_map(s, d):
-    runs = s.createDataFrame([("pca_30", 30.0, "pca")], "run string, perplexity double, start string")
-    return embed.maps(data.shares(s, d), runs, 250)
+    runs = [("pca_30", 30.0, "pca"), ("pca_5", 5.0, "pca"), ("pca_100", 100.0, "pca"), ("random_30", 30.0, "random")]
+    return embed.maps(data.shares(s, d), s.createDataFrame(runs, "run string, perplexity double, start string"))
 
 
 @query
