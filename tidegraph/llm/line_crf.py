@@ -7,8 +7,8 @@ lines decides.  The field is trained here, by stochastic gradient steps on the e
 likelihood (forward and backward passes in numpy), from documents with a quality label:
 all lines of a good one count as content, of a bad one as boilerplate.
 
-Training reads a bounded sample (``sample`` documents of each label and at most
-``max_chars`` long, first by hash of doc_id); statistics and decoding cover whole texts.
+Training reads a bounded sample (``sample`` rows of each label and at most ``max_chars``
+long, first by hashes of doc_id and text); statistics and decoding cover whole texts.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from . import words as W
+from .shared import labelled_sample
 
 SAMPLE, MAX_CHARS, EPOCHS = 600, 20_000, 12
 FEATURES = 18
@@ -201,14 +202,12 @@ def _scans(text: pa.Array) -> Iterator[tuple[int, int, Scan]]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_chars: int = MAX_CHARS) -> tuple[np.ndarray, np.ndarray]:
-    """Weights from ``labels(doc_id, quality)``: at most sample documents of each quality, of at most max_chars; without both, no weights (all content)."""
-    pick = labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    ids = None
-    for q in (0, 1):
-        some = pick.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-        ids = some if ids is None else ids.union(some)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").filter(F.length("text") <= max_chars).select("doc_id", "text", "quality").toArrow()
-    rows = rows.combine_chunks().sort_by("doc_id")
+    """Weights from ``labels(doc_id, quality)``: at most sample rows of each quality, of at most max_chars; without both, no weights (all content).
+
+    The sample is one of hashes of doc_id and text, so that the order of rows doesn't matter.
+    """
+    rows = labelled_sample(docs, labels, sample, max_chars).toArrow()
+    rows = rows.sort_by([("h", "ascending"), ("text", "ascending"), ("quality", "ascending")]).combine_chunks()
     if not rows.num_rows:
         return train([])
     y = rows["quality"].to_numpy()

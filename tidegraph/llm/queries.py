@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, license_scan
+from . import language_id, license_scan, quality_classifier, vector_codes
+from .divergence import source_divergence
 from .embedding_join import near_vectors
 from .line_crf import fit, judge
 from .mixing import mix
@@ -86,6 +87,25 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_spans(find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sources and terms of documents, as the operator returns them."""
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all embeddings, with the digest of the codebooks in each row."""
+    coded, books = vector_codes.encode(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.codebook_digest(books)).alias("codebooks_sha256"))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; rows without a doc_id count as held out, and labels of held-out ids aren't read."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out)
+    model = quality_classifier.fit(docs.filter("not held_out"), table(spark, sf_dir, "labels").filter(~held_out))
+    return quality_classifier.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of op2: sizes and targets."""
     return op2_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
@@ -118,6 +138,9 @@ def queries() -> dict[str, Query]:
         op8_language_id,
         op9_packing,
         op10_secret_scan,
+        op11_source_divergence,
+        op12_vector_codes,
+        op13_quality_classifier,
         mix_targets,
         url_rules,
         quality_counts,
@@ -187,6 +210,40 @@ SELECT doc_id, CAST(len(list_filter(regexp_extract_all(text, '(?i:password|passw
   CAST(len(list_filter(regexp_extract_all(text, '[0-9a-f]+'), lambda x: length(x) >= 32)) AS BIGINT) AS n_hex FROM t"""
 
 
+OP11 = r"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM w GROUP BY ALL),
+k AS (SELECT lang, term, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY ALL HAVING sum(docs) >= 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v, CAST(sum(n) AS BIGINT) AS n FROM k GROUP BY 1),
+x AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS n_lang FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+s AS (SELECT lang, source, CAST(sum(n) AS BIGINT) AS total FROM x GROUP BY ALL),
+p AS (SELECT x.lang, x.source, x.term, x.n, 1 + 1000000000 * (x.n + 1) // (s.total + v.v) AS p, 1 + 1000000000 * (x.n_lang + 1) // (v.n + v.v) AS q FROM x JOIN s USING (lang, source) JOIN v USING (lang)),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(sum((p.p - o.p) * (p.p - o.p) // o.p), 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p ON p.lang = a.lang AND p.source = a.source LEFT JOIN p o ON o.lang = b.lang AND o.source = b.source AND o.term = p.term GROUP BY ALL),
+term AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INT) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
+
+def op12_sql(rounds: int = vector_codes.ROUNDS) -> str:
+    """Rounds of assignment and floor of means, one after another."""
+    out = ["""WITH q AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS rn, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(1024 * x) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT rn, p, v[p * (len(v) // 4) + 1 : (p + 1) * (len(v) // 4)] AS v FROM q, range(4) t(p)),
+b0 AS (SELECT p, rn - 1 AS e, v FROM s WHERE rn <= 256)"""]
+    for k in range(rounds + 1):
+        out.append(f"a{k} AS (SELECT s.rn, s.p, min(list_sum(list_transform(list_zip(s.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 256 + b.e) AS best FROM s JOIN b{k} b USING (p) GROUP BY ALL)")
+        if k < rounds:
+            out.append(f"""c{k} AS (SELECT s.p, a.best % 256 AS e, i, sum(s.v[i]) AS total, count(*) AS n FROM a{k} a JOIN s USING (rn, p), range(1, len(s.v) + 1) t(i) GROUP BY ALL),
+m{k} AS (SELECT p, e, list((total - (total % n + n) % n) // n ORDER BY i) AS v FROM c{k} GROUP BY ALL),
+b{k + 1} AS (SELECT b.p, b.e, coalesce(CAST(m.v AS BIGINT[]), b.v) AS v FROM b{k} b LEFT JOIN m{k} m USING (p, e))""")
+    out.append(f"""done AS (SELECT rn, string_agg(printf('%02x', CAST(best % 256 AS INT)), '' ORDER BY p) AS code, CAST(sum(best // 256) AS BIGINT) AS error FROM a{rounds} GROUP BY 1),
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS h FROM b{rounds})
+SELECT q.vec_id, done.code, done.error, CAST(sum(done.error) OVER (PARTITION BY q.label) AS BIGINT) AS label_error, h.h AS codebooks_sha256 FROM q JOIN done USING (rn), h""")
+    return ",\n".join(out[:-1]) + ",\n" + out[-1]
+
+
 def oracle_sql() -> dict[str, str]:
     """Of the others SQL has no Viterbi decoding, training, packing, linking or template trees; what it can say of these has queries of its own."""
-    return {"op1_embedding_near_dedup": OP1, "op3_substring_dedup": OP3, "op7_ngram_jaccard_join": OP7, "mix_targets": MIX, "url_rules": RULES, "quality_counts": QUALITY, "secret_counts": SECRETS}
+    return {"op1_embedding_near_dedup": OP1, "op3_substring_dedup": OP3, "op7_ngram_jaccard_join": OP7, "op11_source_divergence": OP11, "op12_vector_codes": op12_sql(), "mix_targets": MIX, "url_rules": RULES, "quality_counts": QUALITY, "secret_counts": SECRETS}

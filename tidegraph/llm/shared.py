@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..sources import tables
 from ..sources.tables import table
 
-__all__ = ["all_rows", "components", "free_name", "maybe_broadcast", "numbered", "table", "whole_groups", "words_of", "written"]
+__all__ = ["all_rows", "components", "free_name", "labelled_sample", "maybe_broadcast", "numbered", "table", "whole_groups", "words_of", "written"]
 #: Bytes up to which a table is broadcast.
 BROADCAST_BYTES = 64 << 20
 
@@ -75,6 +75,23 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 1 << 1
         yield pa.Table.from_batches(held)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, max_chars: int) -> DataFrame:
+    """(text, quality, h): for each quality, 0 and 1, at most ``sample`` rows of docs, first by hash, of at most max_chars characters.
+
+    First so many labelled ids are chosen by their hash, then so many of their rows by a
+    hash of id and text: neither many ids nor one that repeats very often makes it larger.
+    """
+    pick = labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    ids = None
+    for q in (0, 1):
+        some = pick.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        ids = some if ids is None else ids.union(some)
+    rows = docs.filter("text is not null").filter(F.length("text") <= max_chars).select("doc_id", "text")
+    rows = rows.join(F.broadcast(ids), "doc_id").select("text", "quality", F.xxhash64("doc_id", "text").alias("h"))  # 2 sample ids
+    place = F.row_number().over(Window.partitionBy("quality").orderBy("h", "text"))  # limited in each task, before the shuffle
+    return rows.withColumn("place", place).filter(F.col("place") <= sample).drop("place")
+
+
 def words_of(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
