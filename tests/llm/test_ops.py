@@ -277,7 +277,7 @@ def brute_templates(rows):
     """Template and share of each of ``rows (host, shape, blocked, labelled, pages)``, by recursion over whole lists."""
     out = {}
 
-    def grow(own, template, share):
+    def grow(own, template, share, hand):
         tails = [r[1] for r in own]
         k = 0
         while all(len(t) > k and t[k] == tails[0][k] for t in tails):
@@ -287,9 +287,13 @@ def brute_templates(rows):
                 out[r[0]] = (template + "".join("/" + x for x in r[1]) or "/", share)
             return
         template += "".join("/" + x for x in tails[0][:k])
-        by = {}
+        by, spelt = {}, {}
         for r in own:
             by.setdefault(r[1][k] if len(r[1]) > k else "", []).append((r[0], r[1][k + 1 :], *r[2:]))
+            c = spelt.setdefault((r[0][1][: len(r[0][1]) - len(r[1][k + 1 :])], len(r[1]) > k), [0, 0])
+            c[0], c[1] = c[0] + r[2], c[1] + r[3]
+        parts = [b / n for b, n in spelt.values() if n]
+        hand = (sum(parts) + hand) / (len(parts) + 1) if len(parts) > 1 else hand
         names = sorted(by)
         if sum(n != "" for n in names) > url_filter.FAN_OUT:
             classes = [("*", [n for n in names if n]), *([("", [""])] if "" in by else [])]
@@ -299,22 +303,27 @@ def brute_templates(rows):
             classes = [("|".join(sorted(names[i] for i in c)), [names[i] for i in c]) for c in found]
         for name, parts in classes:
             rest = [r for n in parts for r in by[n]]
-            below = url_filter.smoothed(sum(r[2] for r in rest), sum(r[3] for r in rest), share)
-            grow(rest, template + ("/" + name if name else ""), below)
+            known = sum(r[3] for r in rest)
+            grow(rest, template + ("/" + name if name else ""), url_filter.smoothed(sum(r[2] for r in rest), known, hand) if known else hand, hand)
 
     for host in {r[0][0] for r in rows}:
         own = [(r[0], r[0][1], *r[1:]) for r in rows if r[0][0] == host]
-        grow(own, "", url_filter.smoothed(sum(r[2] for r in own), sum(r[3] for r in own), url_filter.PRIOR_SHARE))
+        known = sum(r[3] for r in own)
+        grow(own, "", url_filter.smoothed(sum(r[2] for r in own), known, url_filter.PRIOR_SHARE) if known else url_filter.PRIOR_SHARE, url_filter.PRIOR_SHARE)
     return out
 
 
 def test_merging_is_by_labels_and_depths():
     deep = lambda *n: [*n, *[0] * (url_filter.DEPTHS + 1 - len(n))]
     rows = [("a", 50, 50, deep(0, 90)), ("b", 0, 0, deep(0, 40)), ("c", 0, 30, deep(0, 80)), ("d", 0, 0, deep(0, 0, 60)), ("", 0, 0, deep(9))]
-    assert sorted(map(sorted, url_filter.merged(rows))) == [[0, 1], [2], [3], [4]]
+    rows += [("e", 30, 30, deep(0, 50)), ("f", 0, 0, deep(0, 70))]
+    # a and e have equal shares, b and f no labels, and d lies deeper
+    assert sorted(map(sorted, url_filter.merged(rows))) == [[0, 5], [1, 6], [2], [3], [4]]
 
 
-def test_url_tree_against_brute_force(spark, sf):
+@pytest.mark.parametrize("grow", [1 << 22, 30])
+def test_url_tree_against_brute_force(spark, sf, monkeypatch, grow):
+    monkeypatch.setattr(url_filter, "GROW", grow)
     rng = random.Random(11)
     seg = lambda d: rng.choice(["en", "de", "shop", "news", "a", "b"]) if d else rng.choice(["item", "x7", "y", *map(str, range(9)), *(f"slug-{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200))])
     urls = [f"http://h{rng.randint(0, 3)}.com/" + "/".join(seg(k < 2) for k in range(rng.randint(0, 4))) for _ in range(900)]
@@ -337,6 +346,37 @@ def test_url_tree_against_brute_force(spark, sf):
     assert {r.verdict for r in got if r.rule is None} == {"allow", "block"}
 
 
+def test_one_labelled_branch_says_nothing_of_others(spark):
+    """One section is blocked by a rule; sections without labels stay, and where three sections agree others without labels follow them."""
+    rows = [f"http://one.com/{s}/page-{i}" for s in ("de", "en", "shop", "about") for i in range(100)]
+    rows += [f"http://three.com/{s}/page-{i}" for s in ("a", "b", "c", "d") for i in range(100)]
+    rules = (("block", "one.com/de/"), *(("block", f"three.com/{s}/") for s in "abc"))
+    got = url_filter.judge_urls(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"), rules).collect()
+    blocked = Counter((r.host, r.path.split("/")[1]) for r in got if r.verdict == "block")
+    assert blocked == {("one.com", "de"): 100, **{("three.com", s): 100 for s in "abcd"}}
+
+
+def test_hidden_labels_of_a_section_are_recovered(spark):
+    """Of pages under /de/ only those named by a rule are labelled; the others share their template."""
+    rows = [f"http://h.com/de/{w}{i % 7}/{'x' if i % 2 else 'y'}" for i in range(300) for w in ("a", "b")] + [f"http://h.com/en/{i}" for i in range(50)]
+    rules = tuple(("block", f"h.com/de/{w}{k}/x") for w in "ab" for k in range(7))
+    got = url_filter.judge_urls(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"), rules).collect()
+    assert {r.verdict for r in got if r.rule is None and r.path.startswith("/de/")} == {"block"}
+    assert {r.verdict for r in got if r.path.startswith("/en/")} == {"allow"}
+
+
+def test_nested_urls(spark):
+    """A crawler's trap: a thousand urls, each nested in the next; two long ones that differ everywhere."""
+    seg = lambda i: f"s{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}"
+    rows = ["http://t.com/" + "/".join(map(seg, range(n))) for n in range(1000)]
+    rows += ["http://w.com/" + "/".join(f"{w}{seg(i)}" for i in range(20_000)) for w in "pq"]
+    t = time.time()
+    got = {r.page_id: r for r in url_filter.judge_urls(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")).collect()}
+    assert time.time() - t < 60
+    assert len({got[i].template for i in range(1000)}) == 1000 and {r.verdict for r in got.values()} == {"allow"}
+    assert got[1000].template == got[1001].template and got[1000].template.count("|") == 20_000
+
+
 def test_held_out_labels_are_recovered(spark):
     """Half of the pages of each section lose their rule; the templates give it back."""
     bad, good = ("casino", "pills", "bets"), ("news", "docs", "blog")
