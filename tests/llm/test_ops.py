@@ -590,7 +590,7 @@ def test_ngram_join_splits_frequent_shingles_and_large_regions(docs, corpus, mon
 def test_parts_of_a_large_region_meet_wherever_sizes_allow_a_link(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "REGION_ROWS", 3)
     sizes = {i: [1, 84, 85, 100, 117, 118, 119, 140, 500][i % 9] for i in range(60)}
-    seen = spark.createDataFrame([(7, i, n, b"") for i, n in sizes.items()] + [(8, 1, 5, b""), (8, 2, 6, b"")], "shingle long, node long, n long, sketch binary")
+    seen = spark.createDataFrame([(7, i, n, n, b"") for i, n in sizes.items()] + [(8, 1, 5, 5, b""), (8, 2, 6, 6, b"")], "shingle long, node long, n long, rest long, sketch binary")
     by = {}
     for r in ngram_join._paired_parts(seen, 85).collect():
         by.setdefault(r.shingle, set()).add(r.node)
@@ -599,6 +599,24 @@ def test_parts_of_a_large_region_meet_wherever_sizes_allow_a_link(spark, monkeyp
     assert {p for p in itertools.combinations(sizes, 2) if 100 * min(sizes[p[0]], sizes[p[1]]) >= 85 * max(sizes[p[0]], sizes[p[1]])} <= met
 
 
+def test_unlinked_sets_of_a_hot_region_do_not_join_a_block(spark, monkeypatch):
+    """Texts of twenty common words and three of their own: one region has them all, none links."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    common = " ".join(word() for _ in range(20))
+    rows = [(i, f"{common} {word()} {word()} {word()}") for i in range(1500)]
+    rows += [(1500 + i, f"{rows[i][1]} one") for i in range(0, 40, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sizes = []
+    blocks = ngram_join.join_blocks
+    monkeypatch.setattr(ngram_join, "join_blocks", lambda sets, *a: (sizes.append(sets.groupBy("block").count().agg(F.max("count")).first()[0]), blocks(sets, *a))[1])
+    for region in (1000, 4096):
+        monkeypatch.setattr(ngram_join, "REGION_ROWS", region)
+        got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(df).collect()}
+        assert got == {i: i - 1500 if i >= 1500 else i for i in got} and len(got) == 1520
+    assert max(sizes) < 100  # chance agreements of parities, not all 1,520
+
+
 def test_whole_groups_cut_between_keys():
     import pyarrow as pa
 
@@ -628,7 +646,7 @@ def test_keep_first_decides_by_text(spark, most):
     rows = [(1, left, "a"), (None, middle, "a"), (2, right, "a"), (None, "only here under no id", "a"), (None, "only here under no id", "b")]
     rows += [(4, "first text of a repeated id", "a"), (4, "second text of a repeated id", "a"), (4, "second text of a repeated id", "a"), (3, "FIRST text of a repeated id", "a")]
     rows += [(5, None, "a"), (None, None, "a"), (None, " \t", "a"), (5, "", "a"), (None, "one more without an id", "a")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string").withColumn("row number", F.lit(1)).select("doc_id", "text", "key", "row number")
     want = sorted(map(str, [(1, left), (None, "only here under no id"), (4, "second text of a repeated id"), (3, "FIRST text of a repeated id"), (5, None), (None, None), (None, " \t"), (5, ""), (None, "one more without an id")]))
     got = [tuple(r) for r in ngram_join.keep_first(df, 4, 85, most).collect()]
     assert sorted(str(r[:2]) for r in got) == want

@@ -13,13 +13,21 @@ the triangle inequality cannot exclude, join regions on their own".
    follow by hash.  A set with enough shingles of its own needs no region at all.
    Shingles that are frequent batch by batch stand last, by the counts of these batches,
    so that their rows can be dealt over many tasks.
-2. *Windows inside a region.*  64 hash classes of shingles act as further pivots; the
-   counts of a set in them move by at most the symmetric difference, so two sets whose
-   count vectors are further apart (L1) than sets of distance r can be are no pair.
-   The remaining candidates only say which sets share a *block*, a linear number.
-   Regions of more than REGION_ROWS sets fall into parts by size and hash, and parts whose
-   sizes allow a link meet two by two, each pair in a task of its own.
-3. *Document pivots.*  A block is joined exactly.  Sets within r of a pivot document
+2. *Windows inside a region.*  Where the region's shingle is the first that two sets have
+   in common, they share no more than what lies behind it in the order of each; that
+   leaves a set a window of partner sizes, often an empty one.  CLASSES hash classes of
+   shingles act as further pivots: the parities of a set in them differ in at most as many
+   classes as the symmetric difference has elements, so two sets whose parities are further
+   apart than sets of distance r can be are no pair.  The remaining candidates only say
+   which sets share a *block*, a linear number.  A region of more than REGION_ROWS sets is
+   not searched: its sets share a block for now.
+3. *Regions within blocks.*  Blocks of more than max_rows sets are taken apart by the same
+   two steps on their own: all shingles of their sets are counted within the block, so that
+   those of one set come first and those of many come last, and a set is replicated to the
+   regions of its first ones in this order.  Large regions of this level fall into parts by
+   size and hash, and parts whose sizes allow a link meet two by two, each pair in a task
+   of its own.  What candidates connect now are the blocks that are joined.
+4. *Document pivots.*  A block is joined exactly.  Sets within r of a pivot document
    are linked to it, and sets of one component need no comparing.  What is outside the
    main component meets the rest by Voronoi regions of the pivots, in parts of bounded
    size: two parts are joined only if the triangle inequality leaves it for every pivot,
@@ -42,9 +50,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import components, maybe_broadcast, whole_groups, written
+from .shared import components, free_name, maybe_broadcast, whole_groups, written
 
-CLASSES = 64
+CLASSES = 1024
 OFTEN_TYPE = pa.list_(pa.struct([("shingle", pa.int64()), ("sets", pa.int64())]))
 #: The share of all shingles, those of smallest hash, that are counted.
 POOL = 0.3
@@ -75,7 +83,8 @@ def _digest(s: np.ndarray) -> int:
 
 
 def _sketch(s: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((s >> W.U(58)).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8).tobytes()
+    """A bit for each class: whether the set has an odd number of shingles in it."""
+    return np.packbits(np.bincount((s >> W.U(54)).astype(np.int64), minlength=CLASSES).astype(np.uint8) & 1).tobytes()
 
 
 def _reach(size: int, percent: int) -> int:
@@ -176,51 +185,91 @@ def _shared(base: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame
 
 
 def _first_regions(shared: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The (shingle, node) among the first of the set in the global order: rarest first, and what is in no other set before that."""
+    """The (shingle, node, rest) among the first of the set in the global order: rarest first, and what is in no other set before that; rest is how many of its shingles stand there or later."""
     reach = F.expr(f"n - ({percent} * n + 99) div 100 + 1")
-    ordered = Window.partitionBy("node").orderBy("sets", "shingle")
-    rows = shared.withColumn("place", F.row_number().over(ordered)).withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("node")))
+    pooled = F.col("shingle").between(0, int(_POOL_END) - 1)
+    ordered = Window.partitionBy("node").orderBy(~pooled, "sets", "shingle")
+    rows = shared.withColumn("place", F.row_number().over(ordered)).withColumn("met", F.count_if(pooled).over(Window.partitionBy("node")))
     rows = rows.join(nodes.select("node", "n", "pool"), "node")
-    return rows.filter((F.col("pool") < reach) | (F.col("place") <= reach - F.col("pool") + F.col("met"))).select("shingle", "node")
+    # of the pool, met are in other sets; what isn't counted comes behind the whole pool
+    place = F.col("pool") - F.col("met") + F.col("place")
+    rest = F.when(pooled, F.col("n") - place + 1).otherwise(F.col("n") - F.col("pool"))
+    return rows.filter((F.col("pool") < reach) | (place <= reach)).select("shingle", "node", rest.alias("rest"))
 
 
 def _window_edges(percent: int):
-    """Candidate edges of whole regions: enough of them to connect all pairs that the class counts leave possible."""
+    """Candidate edges of whole regions: enough of them to connect all pairs that places and class counts leave possible."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "shingle"):
-            s, d, n = (t[c].to_numpy() for c in ("shingle", "node", "n"))
-            sk = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, CLASSES)
+            s, d, n, behind = (t[c].to_numpy() for c in ("shingle", "node", "n", "rest"))
+            sk = _bits(t["sketch"])
             order = np.lexsort((d, n, s))
-            s, d, n = s[order], d[order], n[order]
+            s, d, n, behind = s[order], d[order], n[order], behind[order]
+            most = (100 + percent) * behind // percent - n  # a partner isn't larger: both hold min(rest) common elements at most
             cuts = np.concatenate((np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))), [len(s)]))
             left, right = [], []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                size, counts = n[a:b], sk[order[a:b]].astype(np.int16)
+                size, upto, bits = n[a:b], most[a:b], sk[order[a:b]]
                 rest = np.arange(b - a)
                 while len(rest):  # breadth first from a new pivot
                     queue, rest = [rest[0]], rest[1:]
                     while queue and len(rest):
                         p = queue.pop()
-                        # sizes are in order: only a slice can be within the size window
+                        # sizes are in order: only a slice can be within the windows
                         lo = np.searchsorted(size[rest], -(-percent * size[p] // 100))
-                        hi = np.searchsorted(size[rest], 100 * size[p] // percent, "right")
-                        near = np.zeros(len(rest), bool)
-                        near[lo:hi] = _near(counts[p], size[p], counts[rest[lo:hi]], size[rest[lo:hi]], percent)
-                        if near.any():
-                            hit, rest = rest[near], rest[~near]
-                            left.extend([d[a + p]] * len(hit))
-                            right.extend(d[a + hit])
+                        hi = np.searchsorted(size[rest], min(100 * size[p] // percent, upto[p]), "right")
+                        some = rest[lo:hi][upto[rest[lo:hi]] >= size[p]]
+                        if not len(some):
+                            continue
+                        hit = some[_near(bits[p], size[p], bits[some], size[some], percent)]
+                        if len(hit):
+                            rest = np.setdiff1d(rest, hit, assume_unique=True)
+                            left.append(np.full(len(hit), d[a + p]))
+                            right.append(d[a + hit])
                             queue.extend(hit)
             if left:
-                x = np.unique(np.sort(np.array([left, right], np.int64), axis=0), axis=1)
+                x = np.unique(np.sort(np.stack([np.concatenate(left), np.concatenate(right)]), axis=0), axis=1)
                 yield pa.record_batch([pa.array(x[0]), pa.array(x[1])], names=["a", "b"])
 
     return run
 
 
+def _bits(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+
+
+def _region_edges(seen: DataFrame, percent: int) -> DataFrame:
+    """Candidate edges (a, b) of the regions of ``seen(shingle, node, n, rest, sketch)``; the sets of regions of more than REGION_ROWS are all connected with their first one."""
+    counts = seen.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets"), F.min("node").alias("b"))
+    large = written(counts.filter(F.col("sets") > REGION_ROWS).select("shingle", "b"))
+    stars = seen.join(large, "shingle").select(F.col("node").alias("a"), "b").filter("a <> b")
+    met = seen.join(large, "shingle", "left_anti").repartition("shingle").sortWithinPartitions("shingle")
+    return met.mapInArrow(_window_edges(percent), "a long, b long").unionByName(stars)
+
+
+def _taken_apart(sets: DataFrame, sketches: DataFrame, percent: int, max_rows: int) -> DataFrame:
+    """``sets(block, node, set)`` with blocks of more than max_rows sets replaced by those that regions within them leave; sets without a candidate are gone."""
+    big = sets.groupBy("block").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > max_rows)
+    big = written(big.select("block"))
+    if big.isEmpty():
+        return sets
+    own = sets.join(big, "block")
+    flat = own.select("block", "node", F.size("set").cast("long").alias("n"), F.explode("set").alias("shingle"))
+    counts = flat.groupBy("block", "shingle").agg(F.count(F.lit(1)).alias("sets"))
+    ranked = flat.join(counts, ["block", "shingle"]).groupBy("block", "node", "n").agg(F.array_sort(F.collect_list(F.struct("sets", "shingle"))).alias("all"))  # a set each
+    reach = F.expr(f"int(n - ({percent} * n + 99) div 100 + 1)")
+    rows = ranked.select("block", "node", "n", F.posexplode(F.slice("all", F.lit(1), reach)).alias("ahead", "own")).filter("own.sets > 1")
+    rows = rows.select(F.xxhash64("block", "own.shingle").alias("shingle"), "node", "n", (F.col("n") - F.col("ahead")).alias("rest"))
+    seen = written(rows.join(sketches.select("node", "sketch"), "node"))
+    met = _paired_parts(seen, percent).repartition("shingle").sortWithinPartitions("shingle")
+    blocks = components(met.mapInArrow(_window_edges(percent), "a long, b long"))
+    apart = own.drop("block").join(blocks.withColumnRenamed("component", "block"), "node").select(*sets.columns)
+    return written(sets.join(big, "block", "left_anti").unionByName(apart))
+
+
 def _paired_parts(seen: DataFrame, percent: int) -> DataFrame:
-    """Rows of ``seen(shingle, node, n, sketch)`` with regions of more than REGION_ROWS cut into parts, a copy of a part for each other part that it may link with; shingle then names a pair of parts.
+    """Rows of ``seen(shingle, node, n, rest, sketch)`` with regions of more than REGION_ROWS cut into parts, a copy of a part for each other part that it may link with; shingle then names a pair of parts.
 
     Sets that link have sizes within a factor 100 / percent, so they are in one stratum of
     that ratio or in two next to each other; strata are dealt into parts by hash.
@@ -240,13 +289,13 @@ def _paired_parts(seen: DataFrame, percent: int) -> DataFrame:
     inside = F.transform(upto(F.col("own")), lambda x: pair(g, F.least("part", x), g, F.greatest("part", x)))
     above = F.transform(upto(parts_of(g + 1)), lambda x: pair(g, F.col("part"), g + 1, x))
     below = F.transform(upto(parts_of(g - 1)), lambda x: pair(g - 1, x, g, F.col("part")))
-    rows = rows.select(F.explode(F.concat(inside, above, below)).alias("shingle"), "node", "n", "sketch")
+    rows = rows.select(F.explode(F.concat(inside, above, below)).alias("shingle"), *(c for c in seen.columns if c != "shingle"))
     return seen.join(large.select("shingle"), "shingle", "left_anti").unionByName(rows)
 
 
 def _near(one: np.ndarray, n: int, many: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
-    """Whether the class counts allow 100 |A and B| >= percent |A or B|, that is (100 + percent) D <= (100 - percent) (|A| + |B|)."""
-    return (100 + percent) * np.abs(many - one).sum(1, dtype=np.int64) <= (100 - percent) * (size + n)
+    """Whether the class parities allow 100 |A and B| >= percent |A or B|, that is (100 + percent) D <= (100 - percent) (|A| + |B|)."""
+    return (100 + percent) * np.bitwise_count(many ^ one).sum(1, dtype=np.int64) <= (100 - percent) * (size + n)
 
 
 def _node_sets(n: int):
@@ -440,16 +489,15 @@ def _named(docs: DataFrame, n: int, percent: int, max_rows: int) -> tuple[DataFr
     shared = written(_shared(base, rows, n, percent))
     nodes = rows.filter("node is not null").groupBy("node").agg(_first_row(), F.first("n").alias("n"), F.first("pool").alias("pool"), F.first("sketch").alias("sketch"))
     nodes = written(nodes.select("node", "row.doc_id", "row.key", "n", "pool", "sketch"))
-    seen = written(_first_regions(shared, nodes, percent)).join(nodes.select("node", "n", "sketch"), "node").select("shingle", "node", "n", "sketch")
-    met = _paired_parts(seen, percent).repartition("shingle").sortWithinPartitions("shingle")
-    edges = met.mapInArrow(_window_edges(percent), "a long, b long")
+    seen = written(_first_regions(shared, nodes, percent)).join(nodes.select("node", "n", "sketch"), "node")
+    edges = _region_edges(written(seen.select("shingle", "node", "n", "rest", "sketch")), percent)
     blocks = components(edges).select("node", F.col("component").alias("block"))
 
     wanted = blocks.join(nodes.select("node", F.col("doc_id").alias("id"), F.col("key").alias("text_key")), "node")
     sets = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("text_key")))
     sets = sets.select("text", "node", "block").mapInArrow(_node_sets(n), "block long, node long, set array<long>")
     sets = written(sets.dropDuplicates(["block", "node"]) if _repeats(rows) else sets)
-    whole = components(join_blocks(sets, percent, max_rows))
+    whole = components(join_blocks(_taken_apart(sets, nodes, percent, max_rows), percent, max_rows))
     named = written(nodes.select("node", "doc_id").join(whole, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component")))
     least_id = written(named.groupBy("component").agg(F.min("doc_id").alias("component_id")))
     return rows, written(named.join(least_id, "component").select("node", "component", "component_id"))
@@ -496,7 +544,8 @@ def keep_first(docs: DataFrame, n: int = 4, percent: int = 85, max_rows: int = 1
     of = [docs["doc_id"].cast("long"), F.xxhash64(docs["text"])]
     kept = docs.filter(worded).join(first, of[0].eqNullSafe(first["id"]) & (of[1] == first["text_key"]), "left_semi")
     if _repeats(rows):
+        number = free_name(docs.columns, "row number")
         rest = F.xxhash64(F.to_json(F.struct(F.lit(0), *(c for c in docs.columns if c not in ("doc_id", "text")))))
         place = F.row_number().over(Window.partitionBy(F.col("doc_id").cast("long"), F.xxhash64("text")).orderBy(rest))
-        kept = kept.withColumn("row number", place).filter("`row number` = 1").drop("row number")
+        kept = kept.withColumn(number, place).filter(F.col(f"`{number}`") == 1).drop(number)
     return kept.unionByName(docs.filter(~worded))
