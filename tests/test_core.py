@@ -81,12 +81,62 @@ def test_distances(spark):
     assert [r.d for r in distance.pairs(p, "js").orderBy("i", "j").collect()] == pytest.approx([0.557923, 0.557923, 1], abs=1e-6)
 
 
-def test_blocks_of_points_agree(spark, monkeypatch):
-    p = spark.createDataFrame([(i, np.random.default_rng(i).random(3).tolist()) for i in range(40)], "id long, v array<double>")
-    whole = rows(distance.top_k(p, 3), "i", "j", "rank"), rows(distance.pairs(p), "i", "j")
-    monkeypatch.setattr(distance, "BLOCK", 9)
-    assert (rows(distance.top_k(p, 3), "i", "j", "rank"), rows(distance.pairs(p), "i", "j")) == whole
-    assert len(whole[1]) == 780
+def spread(n, dim, groups, seed):
+    rng = np.random.default_rng(seed)
+    centres = rng.random((groups, dim)) ** 4 + 0.01
+    x = np.abs(centres[np.arange(n) % groups] * (1 + 0.02 * rng.normal(size=(n, dim))))
+    x[n // 2] = x[0]  # an equal pair
+    return x / x.sum(1, keepdims=True)
+
+
+def brute(x, metric):
+    return np.stack([distance.exact(np.repeat(x[i : i + 1], len(x), 0), x, metric) for i in range(len(x))])
+
+
+@pytest.mark.parametrize("metric", distance.METRICS)
+@pytest.mark.parametrize("groups", [1, 12])
+def test_neighbours_and_pairs_are_exact(spark, monkeypatch, metric, groups):
+    monkeypatch.setattr(distance, "BLOCK", 25)
+    x = spread(150, 5, groups, 4)
+    ids = [3 * i + 1 for i in range(150)]
+    p = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "id long, v array<double>").repartition(3)
+    d = brute(x, metric)
+    order = [sorted((d[i, j], ids[j]) for j in range(150) if j != i)[:4] for i in range(150)]
+    want = [(ids[i], j, rank + 1, far) for i in range(150) for rank, (far, j) in enumerate(order[i])]
+    got = rows(distance.top_k(p, 4, metric), "i", "j", "rank", "d")
+    assert [r[:3] for r in got] == sorted(w[:3] for w in want)
+    assert [r[3] for r in got] == pytest.approx([w[3] for w in sorted(want)], abs=1e-12)
+    radius = float(np.quantile(d, 0.05))
+    close = {(ids[i], ids[j]) for i in range(150) for j in range(i) if d[i, j] <= radius}
+    assert {(min(a, b), max(a, b)) for a, b in close} == {(r.i, r.j) for r in distance.within(p, radius, metric).collect()}
+    far = rows(distance.pairs(p, metric), "i", "j", "d")
+    assert len(far) == 150 * 149 // 2 and all(abs(v - d[(i - 1) // 3, (j - 1) // 3]) < 1e-12 and i < j for i, j, v in far)
+
+
+def test_bounds_leave_few_pairs_of_tight_clusters(spark):
+    x = spread(1000, 16, 40, 7)
+    p = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    assert distance.cells(p, "hellinger", 10).compared < 1000 * 1000 / 10
+    assert distance.cells(p, "hellinger", radius=0.01).compared < 1000 * 1000 / 10
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "hellinger"])
+def test_order_statistics_of_pairs(spark, monkeypatch, metric):
+    monkeypatch.setattr(distance, "BLOCK", 30)
+    monkeypatch.setattr(distance, "EXACT", 40)
+    monkeypatch.setattr(distance, "BINS", 16)
+    x = spread(100, 4, 3, 1)
+    x[40:70] = x[40]  # many equal points
+    p = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    d = brute(x, metric)[np.triu_indices(100, 1)]
+    got = distance.summary_of_pairs(p, metric).first()
+    assert list(got) == pytest.approx([d.min(), *np.quantile(d, [0.05, 0.5, 0.95]), d.max()], abs=1e-7)
+    bins = {r.bin: r.n for r in distance.histogram(p, 0.0, 0.5, 20, metric).collect()}
+    inside = np.round(d, 6)
+    inside = inside[inside <= 0.5]
+    want = np.bincount(np.minimum(np.floor(inside / (0.5 / 20)), 19).astype(int), minlength=20)
+    assert bins == {int(k): int(n) for k, n in enumerate(want) if n}
+    assert distance.summary_of_pairs(p.limit(1)).first()["median"] is None
 
 
 @pytest.mark.parametrize(("k", "edges", "degree", "cc", "mutual"), [(1, 4, [1, 2, 2, 2, 1], [0] * 5, 0.4), (2, 7, [2, 3, 4, 3, 2], [1, 2 / 3, 1 / 2, 2 / 3, 1], 0.6)])
@@ -115,8 +165,68 @@ def test_zero_scale_raises_or_falls_back(spark):
 
 def test_spectrum_counts_components(spark):
     w = spark.createDataFrame([(0, 1, 1.0), (1, 0, 1.0), (2, 3, 1.0), (3, 2, 1.0)], "src long, dst long, w double")
-    lam = [r["lambda"] for r in spectral.eigenvalues(spectral.laplacian(w).withColumn("run", F.lit(0).cast("long"))).orderBy("idx").collect()]
-    assert lam == pytest.approx([0, 0, 2, 2], abs=1e-9)
+    out = spectral.spectra(spectral.laplacian(w).withColumn("run", F.lit(0).cast("long")), 4).select("idx", "lambda").distinct()
+    assert [r["lambda"] for r in out.orderBy("idx").collect()] == pytest.approx([0, 0, 2, 2], abs=1e-9)
+
+
+def random_graph(n, seed):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 3))
+    near = ((x[:, None] - x[None]) ** 2).sum(-1).argsort(1)[:, 1:7]
+    return {(a, b): math.exp(-((x[a] - x[b]) ** 2).sum()) for i in range(n) for j in near[i] for a, b in ((i, int(j)), (int(j), i))}
+
+
+@pytest.mark.parametrize("cell", [2048, 40])
+def test_eigenvectors_agree_with_a_dense_solver(spark, monkeypatch, cell):
+    """Two graphs at once, in one cell each or in several."""
+    monkeypatch.setattr(spectral, "CELL", cell)
+    sizes, all_ = {3: 150, 7: 20}, []
+    for run, n in sizes.items():
+        all_ += [(run, a, b, w) for (a, b), w in random_graph(n, run).items()]
+    entries = spectral.laplacian(spark.createDataFrame(all_, "run long, src long, dst long, w double"))
+    got = spectral.spectra(entries, 6).toPandas()
+    dense = entries.toPandas()
+    for run, n in sizes.items():
+        m, own = np.zeros((n, n)), dense[dense["run"] == run]
+        m[own["src"], own["dst"]] = own["v"]
+        want = np.linalg.eigvalsh(m)
+        for k, part in got[got["run"] == run].groupby("idx"):
+            x = part.sort_values("id")["x"].to_numpy()
+            assert part["lambda"].iloc[0] == pytest.approx(want[k], abs=1e-8)
+            assert np.linalg.norm(m @ x - part["lambda"].iloc[0] * x) < 1e-8 and np.linalg.norm(x) == pytest.approx(1)
+            assert x[np.abs(x).argmax()] > 0
+        assert sorted(set(got[got["run"] == run]["idx"])) == list(range(6))
+
+
+def test_a_spanning_forest_keeps_the_components_of_every_k(spark):
+    rng = np.random.default_rng(2)
+    edges = {}
+    for _ in range(120):
+        a, b = map(int, rng.choice(60, 2, replace=False))
+        edges[(min(a, b), max(a, b))] = int(rng.integers(1, 9))
+    both = [(a, b, k) for (a, b), k in edges.items()] + [(b, a, k) for (a, b), k in edges.items()]
+    forest = [tuple(r) for r in graph.spanning_forest(spark.createDataFrame(both, "src long, dst long, least int")).collect()]
+
+    def roots(rows, k):
+        top = list(range(60))
+
+        def find(x):
+            while top[x] != x:
+                x = top[x]
+            return x
+
+        joined = 0
+        for a, b, w in rows:
+            if w <= k and find(a) != find(b):
+                joined += 1
+                top[max(find(a), find(b))] = min(find(a), find(b))
+        return [find(i) for i in range(60)], joined
+
+    whole = [(a, b, k) for (a, b), k in edges.items()]
+    assert roots(forest, 9)[1] == len(forest)  # no circle
+    for k in range(10):
+        assert roots(forest, k)[0] == roots(whole, k)[0]
+    assert graph.spanning_forest(spark.createDataFrame([], "src long, dst long, least int")).count() == 0
 
 
 def test_most_isolated(spark):

@@ -1,13 +1,22 @@
-"""Distances and nearest neighbours of ``points(id, v array<double>)``.
-
-All pairs are needed, so blocks of points meet blocks of points: each task gets two
-blocks of bounded size, compares them with matrix products and keeps the k best for each
-left point; a window over these few rows ranks them.  Nothing quadratic is stored.
+"""Distances and nearest neighbours of ``points(id, v array<double>)``, for metrics.
+
+Neighbours and pairs within a radius are found in cells.  A sample gives pivots that lie
+apart, each point belongs to its nearest one, and tasks sum up how far the points of each
+cell lie from every pivot.  From the least distances around the pivots follows how far the
+k-th neighbour of a cell's points can be at most; by the triangle inequality that leaves
+some other cells.  Cells are packed into blocks of bounded size, blocks with cells that
+may have neighbours in each other meet in a task, and there only those cells are compared.
+Where the bounds exclude nothing this is a comparison of all blocks with all.
+
+Statistics of all pairs go through pairs of blocks, too; a task returns counts of bins, so
+that no pair is stored.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,21 +25,37 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import as_distribution
 
-BLOCK = 2048
+#: Points of a block, and blocks that a small table is dealt into.
+BLOCK, FEWEST = 2048, 8
+#: Pivots at most, and rows of the sample for each of them.
+PIVOTS, SAMPLE = 256, 4
+#: Bins of a histogram of distances, and distances that come back at most when the last bin is looked into.
+BINS, EXACT = 4096, 20_000
 METRICS = ("euclidean", "hellinger", "js")
 
 
 def matrix(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
-    """Distances of rows of x to rows of y."""
+    """Distances of rows of x to rows of y, in products: good to about 1e-8 of the rows' size where rows are almost equal, else to the last digits."""
     if metric == "js":
         return np.sqrt(np.maximum(np.stack([_js(row, y) for row in x]), 0.0)) if len(x) else np.zeros((0, len(y)))
     if metric == "hellinger":
         x, y = np.sqrt(x), np.sqrt(y)
-    out = np.empty((len(x), len(y)))
-    step = max(1, 4_000_000 // max(1, y.size))
-    for i in range(0, len(x), step):
-        out[i : i + step] = np.sqrt(((x[i : i + step, None] - y[None]) ** 2).sum(-1))
-    return out / math.sqrt(2) if metric == "hellinger" else out
+    d = np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2 * x @ y.T + (y * y).sum(1)[None], 0))
+    return d / math.sqrt(2) if metric == "hellinger" else d
+
+
+def exact(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of each row of x to the same row of y, by differences."""
+    if metric == "js":
+        return np.sqrt(np.maximum(_entropy((x + y) / 2) - (_entropy(x) + _entropy(y)) / 2, 0.0))
+    if metric == "hellinger":
+        return np.sqrt(((np.sqrt(x) - np.sqrt(y)) ** 2).sum(-1)) / math.sqrt(2)
+    return np.sqrt(((x - y) ** 2).sum(-1))
+
+
+def _slack(x: np.ndarray, metric: str) -> float:
+    """How far a distance in products may be off."""
+    return 0.0 if metric == "js" else 1e-7 * (1.0 if metric == "hellinger" else max(1e-300, float(np.sqrt((x * x).sum(1).max(initial=0)))))
 
 
 def _entropy(p: np.ndarray) -> np.ndarray:
@@ -41,76 +66,385 @@ def _js(row: np.ndarray, y: np.ndarray) -> np.ndarray:
     return _entropy((row + y) / 2) - (_entropy(row) + _entropy(y)) / 2
 
 
-def _blocks(points: DataFrame, half: bool) -> tuple[DataFrame, int]:
-    """(i, j, left, id, v): each point in the blocks pairs it is in, only i <= j if half."""
-    n = max(1, math.ceil(points.count() / BLOCK))
-    own = points.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("b"))
-    every = F.sequence(F.lit(0), F.lit(n - 1))
-    left = own.select(F.col("b").alias("i"), F.explode(every).alias("j"), F.lit(True).alias("left"), "id", "v")
-    right = own.select(F.explode(every).alias("i"), F.col("b").alias("j"), F.lit(False).alias("left"), "id", "v")
-    both = left.unionByName(right)
-    return (both.filter("i <= j") if half else both), n
+@dataclass
+class Cells:
+    """Cells of points around pivots, which of them are compared, and the blocks that they are packed into."""
+
+    pivots: np.ndarray
+    metric: str
+    size: np.ndarray  # points of each cell
+    need: np.ndarray  # need[i, j]: points of cell i may have neighbours in cell j
+    first: np.ndarray  # first block of each cell
+    parts: np.ndarray  # blocks of each cell
+
+    @property
+    def compared(self) -> int:
+        """Ordered pairs of points that are compared."""
+        return int(self.size @ self.need @ self.size)
+
+    def of(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(cell, distances to all pivots) of each row."""
+        d = matrix(v, self.pivots, self.metric)
+        return d.argmin(1), d
+
+    def block(self, cell: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """A cell larger than a block is dealt over several by id."""
+        mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        return self.first[cell] + (mixed % self.parts[cell].astype(np.uint64)).astype(np.int64)
+
+    def blocks_of(self, cells: np.ndarray) -> np.ndarray:
+        return np.unique(np.concatenate([np.arange(self.first[c], self.first[c] + self.parts[c]) for c in cells] or [np.zeros(0, np.int64)]))
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    return np.stack(column.to_numpy(zero_copy_only=False)).astype(float) if len(column) else np.zeros((0, 1))
+
+
+def _spread_out(x: np.ndarray, n: int, metric: str) -> np.ndarray:
+    """n rows of x, each the farthest from those before it."""
+    chosen, far = [0], matrix(x[:1], x, metric)[0]
+    while len(chosen) < min(n, len(x)) and far.max() > 0:
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, matrix(x[chosen[-1] :][:1], x, metric)[0])
+    return x[chosen]
+
+
+def _packed(size: np.ndarray, pivots: np.ndarray, metric: str, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first block, blocks) of each cell: cells next to each other share blocks of so many rows, larger ones have several of their own."""
+    left, at, order = set(range(len(size))), 0, []
+    d = matrix(pivots, pivots, metric)
+    while left:  # on to the nearest cell that is left
+        left.discard(at)
+        order.append(at)
+        if left:
+            rest = np.fromiter(left, int)
+            at = int(rest[d[at, rest].argmin()])
+    first, parts, block, held = np.zeros(len(size), np.int64), np.ones(len(size), np.int64), 0, 0
+    for c in order:
+        if held and held + size[c] > rows:
+            block, held = block + 1, 0
+        first[c], parts[c] = block, max(1, -(-int(size[c]) // rows))
+        if parts[c] > 1:
+            block, held = block + int(parts[c]), 0
+        else:
+            held += int(size[c])
+    return first, parts
+
+
+def cells(points: DataFrame, metric: str, k: int = 0, radius: float | None = None) -> Cells | None:
+    """The cells of a search for the k nearest others, or for all within a radius; None without points.
+
+    The sample and its pivots, and the sums of each cell, are bounded by PIVOTS and SAMPLE.
+    """
+    n = points.count()
+    if not n:
+        return None
+    most = max(1, min(PIVOTS, int(2 * math.sqrt(n))))
+    sample = points.orderBy(F.xxhash64("id"), "id").limit(SAMPLE * most).select("v").toArrow()
+    pivots = _spread_out(_vectors(sample["v"].combine_chunks()), most, metric)
+    found = Cells(pivots, metric, *(np.zeros(len(pivots), np.int64) for _ in range(4)))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                own, d = found.of(_vectors(batch.column("v")))
+                yield from _cell_sums(own, d, k).to_batches()
+
+    def merge(t: pa.Table) -> pa.Table:
+        near = np.sort(np.concatenate([np.asarray(x.values) for x in t["near"]]))[: k + 1]
+        low, high = (fn(np.stack([np.asarray(x.values) for x in t[c]]), axis=0) for c, fn in (("low", np.min), ("high", np.max)))
+        return pa.table({"cell": t["cell"][:1], "n": pa.array([int(t["n"].to_numpy().sum())]), "near": [near], "low": [low], "high": [high]})
+
+    schema = "cell long, n long, near array<double>, low array<double>, high array<double>"
+    p = len(pivots)
+    low, high, near = np.full((p, p), np.inf), np.full((p, p), -np.inf), [np.zeros(0)] * p
+    for r in points.select("v").mapInArrow(part, schema).groupBy("cell").applyInArrow(merge, schema).collect():  # a row for each cell
+        found.size[r["cell"]], near[r["cell"]] = r["n"], np.array(r["near"])
+        low[r["cell"]], high[r["cell"]] = r["low"], r["high"]
+    used = found.size > 0
+    between = matrix(pivots, pivots, metric)
+    reach = np.full(p, radius if radius is not None else np.inf)
+    if radius is None:
+        for i in np.flatnonzero(used):
+            upto = np.sort(np.concatenate([between[i, j] + near[j] for j in np.flatnonzero(used)]))
+            if len(upto) > k:  # the point itself is one of them
+                reach[i] = high[i, i] + upto[k]
+    slack = 4 * _slack(pivots, metric) + 1e-9
+    found.need = np.zeros((p, p), bool)
+    for i in np.flatnonzero(used):
+        found.need[i] = ((low <= high[i] + reach[i] + slack) & (high >= low[i] - reach[i] - slack)).all(1) & used
+    found.first, found.parts = _packed(found.size, pivots, metric, max(1, min(BLOCK, -(-n // FEWEST))))
+    return found
+
+
+def _cell_sums(own: np.ndarray, d: np.ndarray, k: int) -> pa.Table:
+    """For each cell its points, their k + 1 least distances to its pivot, and least and greatest ones to every pivot."""
+    rows = []
+    for c in np.unique(own):
+        x = d[own == c]
+        rows.append({"cell": int(c), "n": len(x), "near": np.sort(x[:, c])[: k + 1], "low": x.min(0), "high": x.max(0)})
+    kinds = (("cell", pa.int64()), ("n", pa.int64()), *((c, pa.list_(pa.float64())) for c in ("near", "low", "high")))
+    return pa.table({c: pa.array([r[c] for r in rows], t) for c, t in kinds})
+
+
+def _met(points: DataFrame, found: Cells, fn: Callable, schema: str) -> DataFrame:
+    """fn(ids, vectors of some points, ids, vectors of what they are compared with) for all cells of blocks that meet."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        partners = [found.blocks_of(np.flatnonzero(row)) for row in found.need]
+        # a block's points go to all blocks that one of its cells needs
+        of_block: dict[int, np.ndarray] = {}
+        for block in range(int((found.first + found.parts).max())):
+            inside = np.flatnonzero((found.first <= block) & (block < found.first + found.parts))
+            of_block[block] = np.unique(np.concatenate([partners[c] for c in inside] or [np.zeros(0, np.int64)]))
+        wanted = [found.blocks_of(np.flatnonzero(col)) for col in found.need.T]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell, _ = found.of(_vectors(batch.column("v")))
+            block = found.block(cell, np.asarray(batch.column("id")))
+            left = [of_block[b] for b in block]
+            right = [wanted[c] for c in cell]
+            for own, sides in ((True, left), (False, right)):
+                n = np.array([len(x) for x in sides])
+                at = np.repeat(np.arange(len(n)), n)
+                other = np.concatenate(sides)
+                i, j = (block[at], other) if own else (other, block[at])
+                for lo in range(0, len(at), 1 << 14):
+                    some = slice(lo, lo + (1 << 14))
+                    row = pa.array(at[some])
+                    yield pa.record_batch([pa.array(i[some]), pa.array(j[some]), pa.array(np.full(len(at[some]), own)), pa.array(cell[at[some]]), batch.column("id").take(row), batch.column("v").take(row)], names=["i", "j", "left", "cell", "id", "v"])
+
+    def run(t: pa.Table) -> pa.Table:
+        left, cell, ids = t["left"].to_numpy(zero_copy_only=False), t["cell"].to_numpy(), t["id"].to_numpy()
+        v = _vectors(t["v"].combine_chunks())
+        a, b = np.flatnonzero(left), np.flatnonzero(~left)
+        a, b = a[np.argsort(ids[a])], b[np.argsort(ids[b])]
+        out = []
+        for c in np.unique(cell[a]):
+            x, y = a[cell[a] == c], b[found.need[c][cell[b]]]
+            if len(x) and len(y):
+                out.append(fn(ids[x], v[x], ids[y], v[y]))
+        return pa.concat_tables(out) if out else fn(ids[:0], v[:0], ids[:0], v[:0])
 
+    dealt = points.select(F.col("id").cast("long"), "v").mapInArrow(deal, "i long, j long, left boolean, cell long, id long, v array<double>")
+    return dealt.groupBy("i", "j").applyInArrow(run, schema)
 
-def _sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    left = t["left"].to_numpy(zero_copy_only=False)
-    ids = t["id"].to_numpy()
-    v = np.stack(t["v"].to_numpy(zero_copy_only=False)).astype(float)
-    a, b = np.flatnonzero(left), np.flatnonzero(~left)
-    a, b = a[np.argsort(ids[a])], b[np.argsort(ids[b])]
-    return ids[a], v[a], ids[b], v[b]
 
+def _ijd(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> pa.Table:
+    return pa.table({"i": pa.array(i, pa.int64()), "j": pa.array(j, pa.int64()), "d": pa.array(d, pa.float64())})
 
-def _group(df: DataFrame, fn, schema: str) -> DataFrame:
-    def run(t: pa.Table) -> pa.Table:
-        left = t["left"].to_numpy(zero_copy_only=False)
-        if left.all() or not left.any():
-            return fn(*(np.zeros(0, np.int64), np.zeros((0, 1))) * 2)
-        return fn(*_sides(t))
 
-    return df.groupBy("i", "j").applyInArrow(run, schema)
+def top_k(points: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
+    """(i, j, d, rank): the k nearest others of each point, ties to the smaller id; rank from 1."""
+    found = cells(points, metric, k)
+    if found is None:
+        return points.sparkSession.createDataFrame([], "i long, j long, d double, rank int")
+
+    def fn(ia, xa, ib, xb):
+        out: list[tuple] = []
+        for lo in range(0, len(ia), 512):
+            x = xa[lo : lo + 512]
+            d = matrix(x, xb, metric)
+            d[ia[lo : lo + 512, None] == ib[None]] = np.inf
+            most = min(k, len(ib)) - 1
+            upto = np.partition(d, most, 1)[:, most] if len(ib) else np.zeros(len(x))
+            p, q = np.nonzero((d <= upto[:, None] + 2 * _slack(xb, metric)) & np.isfinite(d))
+            far = exact(x[p], xb[q], metric)
+            order = np.lexsort((ib[q], far, p))
+            p, q, far = p[order], q[order], far[order]
+            place = np.arange(len(p)) - np.searchsorted(p, p)
+            keep = place < k
+            out.append((ia[lo + p[keep]], ib[q[keep]], far[keep]))
+        return _ijd(*(np.concatenate([o[c] for o in out]) if out else np.zeros(0) for c in range(3)))
+
+    near = _met(points, found, fn, "i long, j long, d double")
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).filter(F.col("rank") <= k)
 
 
-def pairs(points: DataFrame, metric: str = "euclidean") -> DataFrame:
-    """(i, j, d) for i < j."""
-    df, _ = _blocks(points, True)
+def within(points: DataFrame, radius: float, metric: str = "euclidean") -> DataFrame:
+    """(i, j, d) for i < j with d at most radius."""
+    found = cells(points, metric, radius=radius)
+    if found is None:
+        return points.sparkSession.createDataFrame([], "i long, j long, d double")
 
     def fn(ia, xa, ib, xb):
-        if not len(ia):
-            return pa.table({"i": pa.array([], pa.int64()), "j": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
-        d = matrix(xa, xb, metric)
-        p, q = np.nonzero(ia[:, None] != ib[None])
-        lo, hi, d = np.minimum(ia[p], ib[q]), np.maximum(ia[p], ib[q]), d[p, q]
-        one = np.unique(np.stack([lo, hi], 1), axis=0, return_index=True)[1] if np.intersect1d(ia, ib).size else np.arange(len(lo))
-        return pa.table({"i": lo[one], "j": hi[one], "d": d[one]})
+        out: list[tuple] = []
+        for lo in range(0, len(ia), 512):
+            d = matrix(xa[lo : lo + 512], xb, metric)
+            p, q = np.nonzero((d <= radius + 2 * _slack(xb, metric)) & (ia[lo : lo + 512, None] < ib[None]))
+            far = exact(xa[lo + p], xb[q], metric)
+            keep = far <= radius
+            out.append((ia[lo + p[keep]], ib[q[keep]], far[keep]))
+        return _ijd(*(np.concatenate([o[c] for o in out]) if out else np.zeros(0) for c in range(3)))
+
+    return _met(points, found, fn, "i long, j long, d double")
+
+
+def _block_pairs(points: DataFrame, fn: Callable, schema: str, rows: int) -> DataFrame:
+    """fn(ids, vectors, ids, vectors, same) for all pairs i <= j of blocks of about so many rows."""
+    n = max(1, math.ceil(points.count() / rows))
+    own = points.select(F.col("id").cast("long").alias("id"), "v", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("b"))
+    every = F.sequence(F.lit(0), F.lit(n - 1))
+    left = own.select(F.col("b").alias("i"), F.explode(every).alias("j"), F.lit(True).alias("left"), "id", "v").filter("i <= j")
+    right = own.select(F.explode(every).alias("i"), F.col("b").alias("j"), F.lit(False).alias("left"), "id", "v").filter("i < j")
 
-    return _group(df, fn, "i long, j long, d double")
+    def run(t: pa.Table) -> pa.Table:
+        left, ids, v = t["left"].to_numpy(zero_copy_only=False), t["id"].to_numpy(), _vectors(t["v"].combine_chunks())
+        order = np.argsort(ids, kind="stable")
+        a, b = order[left[order]], order[~left[order]]
+        same = t["i"][0].as_py() == t["j"][0].as_py()
+        return fn(ids[a], v[a], *((ids[a], v[a]) if same else (ids[b], v[b])), same)
 
+    return left.unionByName(right).groupBy("i", "j").applyInArrow(run, schema)
 
-def top_k(points: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
-    """(i, j, d, rank): the k nearest others of each point, ties to the smaller id; rank from 1."""
-    df, _ = _blocks(points, False)
 
-    def fn(ia, xa, ib, xb):
-        out = {"i": [np.zeros(0, np.int64)], "j": [np.zeros(0, np.int64)], "d": [np.zeros(0)]}
-        if len(ia):
-            d = matrix(xa, xb, metric)
-            for r in range(len(ia)):
-                own = np.where(ib == ia[r], np.inf, d[r])
-                best = np.argsort(own, kind="stable")[: k + 1]
-                best = best[np.isfinite(own[best])][:k]
-                for key, v in (("i", np.full(len(best), ia[r])), ("j", ib[best]), ("d", own[best])):
-                    out[key].append(v)
-        return pa.table({key: np.concatenate(v) for key, v in out.items()})
-
-    near = _group(df, fn, "i long, j long, d double")
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).filter(F.col("rank") <= k)
+def _tiles(x: np.ndarray, y: np.ndarray, same: bool, metric: str) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first row, first column, distances) of tiles; of equal sides those from the diagonal on, the diagonal and what is below it not a number."""
+    for i in range(0, len(x), 1024):
+        for j in range(i if same else 0, len(y), 1024):
+            d = matrix(x[i : i + 1024], y[j : j + 1024], metric)
+            if same and i == j:
+                d[np.tril_indices(len(d))] = np.nan
+            yield i, j, d
 
 
-def summary(d: DataFrame) -> DataFrame:
-    """One row: min, q05, median, q95, max of d, quantiles interpolated."""
-    q = lambda p: F.percentile("d", F.lit(p))
-    return d.agg(F.min("d").alias("min"), q(0.05).alias("q05"), q(0.5).alias("median"), q(0.95).alias("q95"), F.max("d").alias("max"))
+def pairs(points: DataFrame, metric: str = "euclidean") -> DataFrame:
+    """(i, j, d) for i < j: all of them."""
+
+    def fn(ia, xa, ib, xb, same):
+        out: list[tuple] = [(np.zeros(0),) * 3]
+        for i, j, d in _tiles(xa, xb, same, metric):
+            p, q = np.nonzero(np.isfinite(d))
+            u, v = ia[i + p], ib[j + q]
+            out.append((np.minimum(u, v), np.maximum(u, v), exact(xa[i + p], xb[j + q], metric)))
+        return _ijd(*(np.concatenate([o[c] for o in out]) for c in range(3)))
+
+    return _block_pairs(points, fn, "i long, j long, d double", min(BLOCK, 1024))
+
+
+def _wide(points: DataFrame) -> int:
+    """Rows of a block whose pairs are only counted: copies of a point stay few, and a task's two blocks small."""
+    return max(BLOCK, min(32 * BLOCK, points.count() // 16))
+
+
+def histogram(points: DataFrame, low: float, high: float, bins: int, metric: str = "euclidean", digits: int = 6) -> DataFrame:
+    """(bin, n): distances of all pairs, rounded, in equal bins from low to high, both ends included; bins without pairs are not there."""
+    width, unit = (high - low) / bins, 10.0**digits
+
+    def place(d: np.ndarray) -> np.ndarray:
+        x = np.floor(d * unit + 0.5) / unit
+        return np.where((x >= low) & (x <= high), np.minimum(np.floor((x - low) / width), bins - 1), bins).astype(int)
+
+    def fn(ia, xa, ib, xb, same):
+        n = np.zeros(bins + 1, np.int64)
+        off = max(_slack(xa, metric), _slack(xb, metric)) + 0.51 / unit
+        for i, j, d in _tiles(xa, xb, same, metric):
+            p, q = np.nonzero(np.isfinite(d))
+            d = d[p, q]
+            at = place(d)
+            edge = np.abs((d - low) / width - np.rint((d - low) / width)) * width <= off
+            at[edge] = place(exact(xa[i + p[edge]], xb[j + q[edge]], metric))
+            n += np.bincount(at, minlength=bins + 1)
+        some = np.flatnonzero(n[:bins])
+        return pa.table({"bin": pa.array(some, pa.int32()), "n": pa.array(n[some])})
+
+    return _block_pairs(points, fn, "bin int, n long", _wide(points)).groupBy("bin").agg(F.sum("n").alias("n"))
+
+
+def order_statistics(points: DataFrame, ranks: list[int], metric: str = "euclidean") -> dict[int, float]:
+    """{rank: the distance of that rank, from 0, among all pairs i < j}.
+
+    Tasks count distances in BINS of each open bracket, Spark sums the counts, and the bins
+    that hold the ranks are the next brackets, until few enough distances lie in them to
+    come back as they are: a pass is over pairs of blocks of points, and nothing but counts
+    of bins is shuffled besides points.
+    """
+    size, bins = _wide(points), BINS
+
+    def counted(brackets: list[tuple[float, float]]) -> list[np.ndarray]:
+        def fn(ia, xa, ib, xb, same):
+            n = [np.zeros(bins + 2, np.int64) for _ in brackets]
+            for _, _, d in _tiles(xa, xb, same, metric):
+                d = d[np.isfinite(d)]
+                for k, (lo, hi) in enumerate(brackets):
+                    n[k] += np.bincount(_bin_of(d, lo, hi, bins), minlength=bins + 2)
+            some = np.flatnonzero(np.concatenate(n))
+            return pa.table({"k": pa.array(some), "n": pa.array(np.concatenate(n)[some])})
+
+        out = np.zeros(len(brackets) * (bins + 2), np.int64)
+        for r in _block_pairs(points, fn, "k long, n long", size).groupBy("k").agg(F.sum("n").alias("n")).collect():  # bins of the brackets
+            out[r["k"]] = r["n"]
+        return np.split(out, len(brackets))
+
+    def gathered(brackets: list[tuple[float, float]]) -> list[np.ndarray]:
+        def fn(ia, xa, ib, xb, same):
+            rows: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0))]
+            for i, j, d in _tiles(xa, xb, same, metric):
+                for k, (lo, hi) in enumerate(brackets):
+                    p, q = np.nonzero(np.isfinite(d) & (d >= lo) & (d <= hi))
+                    rows.append((np.full(len(p), k), d[p, q], exact(xa[i + p], xb[j + q], metric)))
+            return pa.table({c: np.concatenate([r[n] for r in rows]) for n, c in enumerate(("k", "near", "d"))})
+
+        rows = _block_pairs(points, fn, "k long, near double, d double", size).groupBy("k", "near", "d").agg(F.count(F.lit(1)).alias("n")).collect()  # EXACT of them for each rank
+        return [sorted((r["near"], r["d"], r["n"]) for r in rows if r["k"] == k) for k in range(len(brackets))]
+
+    top = 1.0 + 1e-6
+    if metric == "euclidean":
+        far = points.select(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("r")).agg(F.max("r")).first()[0] or 0.0
+        top = 2 * far * (1 + 1e-6) + 1e-300
+    open_ = {r: (0.0, top, 0) for r in ranks}  # bracket, distances below it
+    found: dict[int, float] = {}
+    for _ in range(6):
+        brackets = sorted({(lo, hi) for lo, hi, _ in open_.values()})
+        ready = []
+        for (lo, hi), n in zip(brackets, counted(brackets), strict=True):
+            below = np.concatenate(([0], np.cumsum(n)))
+            for r, (a, b, _) in list(open_.items()):
+                if (a, b) == (lo, hi):
+                    at = int(np.searchsorted(below, r, "right")) - 1
+                    if at > bins:
+                        raise ValueError(f"there is no rank {r}")
+                    open_[r] = (*_edges_of(at, lo, hi, bins), int(below[at]))
+                    if n[at] <= EXACT:
+                        ready.append(r)
+        brackets = sorted({open_[r][:2] for r in ready})
+        for (lo, hi), rows in zip(brackets, gathered(brackets) if brackets else [], strict=True):
+            for r in ready:
+                if r in open_ and open_[r][:2] == (lo, hi):
+                    ends = np.cumsum([n for _, _, n in rows])
+                    found[r] = sorted(d for _, d, n in rows for _ in range(n))[r - open_.pop(r)[2]] if len(ends) else lo
+        if not open_:
+            break
+    # more equal distances than come back: the bracket is as narrow as numbers are
+    return found | {r: lo for r, (lo, _, _) in open_.items()}
+
+
+def _edges_of(bin: int, lo: float, hi: float, bins: int) -> tuple[float, float]:
+    """Least and greatest number of a bin, 0 being all below lo."""
+    step = (hi - lo) / bins
+    first = lo + (bin - 1) * step
+    return first, float(np.nextafter(lo + bin * step, -np.inf)) if bin < bins else hi
+
+
+def _bin_of(d: np.ndarray, lo: float, hi: float, bins: int) -> np.ndarray:
+    """0 below lo, 1 to bins inside, bins + 1 above hi, by the edges that _edges_of gives."""
+    edges = np.concatenate((lo + np.arange(bins) * ((hi - lo) / bins), [np.nextafter(hi, np.inf)]))
+    return np.searchsorted(edges, d, "right")
+
+
+def summary_of_pairs(points: DataFrame, metric: str = "euclidean") -> DataFrame:
+    """One row: min, q05, median, q95, max of the distances of all pairs, quantiles interpolated."""
+    n = points.count()
+    last = n * (n - 1) // 2 - 1
+    names = (("min", 0.0), ("q05", 0.05), ("median", 0.5), ("q95", 0.95), ("max", 1.0))
+    spark = points.sparkSession
+    if last < 0:
+        return spark.createDataFrame([(None,) * 5], ", ".join(f"{c} double" for c, _ in names))
+    at = [q * last for _, q in names]
+    found = order_statistics(points, sorted({f(x) for x in at for f in (math.floor, math.ceil)}), metric)
+    row = [found[math.floor(x)] + (found[math.ceil(x)] - found[math.floor(x)]) * (x - math.floor(x)) for x in at]
+    return spark.createDataFrame([tuple(map(float, row))], ", ".join(f"{c} double" for c, _ in names))
 
 
 def as_distributions(points: DataFrame) -> DataFrame:

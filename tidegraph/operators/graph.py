@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,12 +42,51 @@ def component_numbers(label: DataFrame) -> DataFrame:
     return label.join(number(roots, "comp", "label"), "comp").select("id", "label")
 
 
+def spanning_forest(edges: DataFrame) -> DataFrame:
+    """(u, v, least), u < v, of ``edges(src, dst, least)``, both directions: a forest of least weights; for each k its edges up to k connect what all edges up to k connect.
+
+    Boruvka's rounds: every tree picks its least edge to another one, ties by the ends, so
+    that no circle closes; what is picked is contracted, and between two trees the least
+    edge stays.  Trees at least halve in number each round.
+    """
+    live = settled(edges.filter("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.struct("least", F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).alias("e")))
+    picked: list[DataFrame] = []
+    while True:
+        pick = settled(live.groupBy("a").agg(F.min(F.struct("e", "b")).alias("x")).select(F.col("a").alias("id"), F.col("x.b").alias("up"), F.col("x.e").alias("e")))
+        if pick.isEmpty():
+            break
+        picked.append(pick.select("e.u", "e.v", "e.least"))
+        other = pick.select(F.col("id").alias("up"), F.col("up").alias("back"))
+        # two that picked each other are a root: the smaller one
+        root = settled(pick.join(other, "up").select("id", F.when((F.col("back") == F.col("id")) & (F.col("id") < F.col("up")), F.col("id")).otherwise(F.col("up")).alias("up")))
+        while True:
+            above = root.select(F.col("id").alias("up"), F.col("up").alias("top"))
+            once = root.join(above, "up").select("id", F.col("up").alias("was"), F.col("top").alias("up"))
+            step = settled(once.join(above, "up").select("id", "was", F.col("top").alias("up")))
+            root = step.select("id", "up")
+            if step.filter("was <> up").isEmpty():
+                break
+        left, right = root.select(F.col("id").alias("a"), F.col("up").alias("ra")), root.select(F.col("id").alias("b"), F.col("up").alias("rb"))
+        live = live.join(left, "a").join(right, "b").filter("ra <> rb").groupBy(F.col("ra").alias("a"), F.col("rb").alias("b")).agg(F.min("e").alias("e"))
+        live = settled(live)
+    return settled(reduce(DataFrame.union, picked).distinct()) if picked else edges.limit(0).select(F.col("src").alias("u"), F.col("dst").alias("v"), "least")
+
+
 def components_by_k(vertices: DataFrame, nbrs: DataFrame, ks: list[int]) -> DataFrame:
-    """(run, id, comp) of the graphs of all k in ks at once."""
-    each = F.explode(F.array(*(F.lit(k) for k in ks))).alias("run")
-    edges = nbrs.select(each, "i", "j", "rank").filter("rank <= run")
-    edges = edges.select("run", F.col("i").alias("src"), F.col("j").alias("dst")).union(edges.select("run", "j", "i")).distinct()
-    return components(vertices.select(each, "id"), edges)
+    """(run, id, comp) of the graphs of all k in ks: cuts of one spanning forest, with the least k of an edge as its weight.
+
+    Components change at the weights of the forest only; those of another k are the ones
+    of the last such weight before it.
+    """
+    forest = spanning_forest(least_k(nbrs).filter(F.col("least") <= max(ks)))
+    levels = sorted(r["least"] for r in forest.select("least").distinct().collect())  # at most as many as there are k
+    starts = sorted({0, *levels})
+    each = F.explode(F.array(*(F.lit(k) for k in starts))).alias("run")
+    own = forest.select(each, "u", "v", "least").filter("least <= run")
+    label = components(vertices.select(each, "id"), own.select("run", F.col("u").alias("src"), F.col("v").alias("dst")).union(own.select("run", "v", "u")))
+    of = [(k, max(x for x in starts if x <= k)) for k in ks]
+    table = F.broadcast(vertices.sparkSession.createDataFrame(of, "k int, run int"))  # a row for each k
+    return label.join(table, "run").select(F.col("k").alias("run"), "id", "comp")
 
 
 def least_k(nbrs: DataFrame) -> DataFrame:

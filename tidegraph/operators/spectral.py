@@ -1,16 +1,35 @@
 """Edge weights, Laplacian and spectrum.
 
-Weights and Laplacian entries are relational.  Eigenvectors of a graph of up to a few
-thousand vertices are dense numerics: one task for each graph, graphs in parallel.
+Weights and Laplacian entries are relational, and so are the eigenvectors: Chebyshev-filtered
+subspace iteration.  Vertices are dealt into cells of about CELL; a cell's rows of a block
+of vectors are one row of a table.  To multiply the block by the Laplacian, the entries
+of each cell meet its rows, and sums by vertex go to the cells of those vertices.  A round
+filters the block by such steps, so that what belongs to large eigenvalues shrinks, and
+rotates it to its Ritz vectors: Gram matrices of the block, summed over tasks, are all
+that comes back.  Graphs (values of ``run``) go through the rounds together, each until
+its residuals are small.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import settled
+
+#: Eigenvalues of a normalised Laplacian lie between 0 and this.
+UPPER = 2.0
+#: Vertices of a cell, about, and entries that are multiplied side by side.
+CELL, ENTRIES = 2048, 1 << 15
+#: Growth of the lowest against the unwanted part in a filter of the first block and of a later one, and steps of it at most.
+FIRST_GROWTH, GROWTH, DEGREE = 1e5, 1e9, 24
+
 
 def gaussian_weights(edges: DataFrame, nbrs: DataFrame, k_scale: int = 7, fallback: bool = False) -> DataFrame:
     """(src, dst, w): exp(-d^2 / (s s')) with s the distance to the k_scale-th neighbour.
@@ -38,35 +57,211 @@ def laplacian(weights: DataFrame) -> DataFrame:
     return off.unionByName(deg.select(*keys, "src", F.col("src").alias("dst"), F.lit(1.0).alias("v")))
 
 
-def _dense(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.unique(pdf["src"])
-    m = np.zeros((len(ids), len(ids)))
-    m[np.searchsorted(ids, pdf["src"]), np.searchsorted(ids, pdf["dst"])] = pdf["v"]
-    return ids, m
+#: A cell's rows (own) with two blocks x and y of vectors, or sums x for some of its vertices.
+_MESSAGE = "run long, cell long, own boolean, id array<long>, x array<double>, y array<double>"
+#: A cell's rows of vectors p, and their products c with the Laplacian.
+_STATE = "run long, cell long, id array<long>, c array<double>, p array<double>"
 
 
-def spectra(entries: DataFrame, q: int = 25) -> DataFrame:
-    """(run, idx, lambda, id, x) of ``entries(run, src, dst, v)``: eigenvalues ascending from 0, the first q with vectors, largest entry positive; residual: |Lx - lambda x|."""
+def _flat(column: pa.ChunkedArray, row: int, m: int) -> np.ndarray:
+    return np.asarray(column[row].values).reshape(-1, m)
+
+
+def _table(schema: str, rows: list[tuple]) -> pa.Table:
+    kinds = {"long": pa.int64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
+    fields = [f.split(" ") for f in schema.split(", ")]
+    return pa.table({name: pa.array([r[k] for r in rows], kinds[kind]) for k, (name, kind) in enumerate(fields)})
+
+
+def _assembled(t: pa.Table, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, x, y, sums) of a cell's messages: its own blocks, and what others send, summed by vertex."""
+    own = int(np.flatnonzero(t["own"].to_numpy(zero_copy_only=False))[0])
+    ids = np.asarray(t["id"][own].values)
+    sums = np.zeros((len(ids), m))
+    for r in range(t.num_rows):
+        if r != own:
+            sums[np.searchsorted(ids, np.asarray(t["id"][r].values))] += _flat(t["x"], r, m)
+    return ids, _flat(t["x"], own, m), _flat(t["y"], own, m), sums
+
+
+def _sent(entries: pa.Table, run: int, cell: int, ids: np.ndarray, x: np.ndarray, y: np.ndarray, scale: float, mid: float) -> pa.Table:
+    """A cell's own blocks, and for each cell that its entries lead to the sums of scale (v - mid on the diagonal) x."""
+    rows: list[tuple] = [(run, cell, True, ids, x.reshape(-1), y.reshape(-1))]
+    src, dst, v, to = (entries[c].to_numpy() for c in ("src", "dst", "v", "to"))
+    order = np.lexsort((src, to))
+    src, dst, v, to = src[order], dst[order], v[order], to[order]
+    at = np.searchsorted(ids, dst)
+    v = scale * (v - np.where(src == dst, mid, 0.0))
+    cuts = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])), len(to)) if len(to) else [0]
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        for a in range(lo, hi, ENTRIES):
+            b = min(hi, a + ENTRIES)
+            first = np.flatnonzero(np.append(True, src[a + 1 : b] != src[a : b - 1]))
+            sums = np.add.reduceat(v[a:b, None] * x[at[a:b]], first)
+            rows.append((run, int(to[a]), False, src[a:b][first], sums.reshape(-1), None))
+    return _table(_MESSAGE, rows)
+
+
+def _key(t: pa.Table) -> tuple[int, int]:
+    return t["run"][0].as_py(), t["cell"][0].as_py()
+
+
+def _multiplied(entries: DataFrame, messages: DataFrame, fn) -> DataFrame:
+    """messages of the next step: fn(entries of a cell, its messages) for all cells."""
+    return entries.groupBy("run", "cell").cogroup(messages.groupBy("run", "cell")).applyInArrow(fn, _MESSAGE)
+
+
+def _scattered(x: np.ndarray) -> np.ndarray:
+    """Numbers from -1 to 1 that look random, one for each of x."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x + np.uint64(0x9E3779B97F4A7C15)) ^ (x >> np.uint64(shift))
+        x = x * np.uint64(factor)
+    return (x >> np.uint64(11)).astype(float) / 2.0**52 - 1
+
+
+def _begun(m: int):
+    """Cogroup of entries with random blocks: what the first product needs."""
+
+    def run(entries: pa.Table, ids: pa.Table) -> pa.Table:
+        own = np.asarray(ids["id"][0].values)
+        x = _scattered(own.astype(np.uint64)[:, None] * np.uint64(m) + np.arange(m, dtype=np.uint64))
+        return _sent(entries, *_key(ids), own, x, x, 1.0, 0.0)
+
+    return run
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, m = _dense(pdf)
-        w, v = np.linalg.eigh(m)
-        v = v * np.sign(v[np.abs(v).argmax(0), np.arange(len(w))])
-        n = min(q, len(w))
-        res = np.linalg.norm(m @ v - v * w, axis=0)
-        return pd.DataFrame({"run": pdf["run"].iloc[0], "idx": np.repeat(np.arange(n), len(ids)), "lambda": np.repeat(w[:n], len(ids)), "residual": np.repeat(res[:n], len(ids)), "id": np.tile(ids, n), "x": v[:, :n].T.ravel()})
+def _first_step(m: int, coefficients: dict[int, tuple[float, float]]):
+    """Cogroup of entries with a state: the first Chebyshev step is known from it, what the second needs is sent."""
 
-    return entries.groupBy("run").applyInPandas(run, "run long, idx int, `lambda` double, residual double, id long, x double")
+    def run(entries: pa.Table, state: pa.Table) -> pa.Table:
+        key = _key(state)
+        mid, half = coefficients[key[0]]
+        c, p = _flat(state["c"], 0, m), _flat(state["p"], 0, m)
+        return _sent(entries, *key, np.asarray(state["id"][0].values), (c - mid * p) / half, p, 2 / half, mid)
 
+    return run
 
-def eigenvalues(entries: DataFrame) -> DataFrame:
-    """(run, idx, lambda), all of them."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        w = np.linalg.eigvalsh(_dense(pdf)[1])
-        return pd.DataFrame({"run": pdf["run"].iloc[0], "idx": np.arange(len(w)), "lambda": w})
+def _next_step(m: int, coefficients: dict[int, tuple[float, float]], last: bool):
+    """Cogroup of entries with messages: one Chebyshev step, and what the next needs is sent; after the last one, the plain product."""
+
+    def run(entries: pa.Table, messages: pa.Table) -> pa.Table:
+        key = _key(messages)
+        mid, half = coefficients[key[0]]
+        ids, x, y, sums = _assembled(messages, m)
+        return _sent(entries, *key, ids, sums - y, x, *((1.0, 0.0) if last else (2 / half, mid)))
+
+    return run
+
+
+def _state(messages: DataFrame, m: int) -> DataFrame:
+    def run(t: pa.Table) -> pa.Table:
+        ids, x, _, sums = _assembled(t, m)
+        return _table(_STATE, [(*_key(t), ids, sums.reshape(-1), x.reshape(-1))])
+
+    return messages.groupBy("run", "cell").applyInArrow(run, _STATE)
+
+
+def _each_cell(state: DataFrame, m: int, fn, schema: str) -> DataFrame:
+    """fn(run, cell, ids, c, p), rows of schema, of all cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            for r in range(t.num_rows):
+                yield from _table(schema, fn(t["run"][r].as_py(), t["cell"][r].as_py(), np.asarray(t["id"][r].values), _flat(t["c"], r, m), _flat(t["p"], r, m))).to_batches()
+
+    return state.mapInArrow(run, schema)
+
+
+def _summed(state: DataFrame, m: int, fn, size: int) -> dict[int, np.ndarray]:
+    """{run: sums over its cells of fn(run, c, p)}, size numbers for each run."""
+    rows = _each_cell(state, m, lambda r, cell, ids, c, p: [(r, np.asarray(fn(r, c, p)).reshape(-1))], "run long, x array<double>")
+    out: dict[int, np.ndarray] = {}
+    for r in rows.select("run", F.posexplode("x").alias("k", "x")).groupBy("run", "k").agg(F.sum("x").alias("x")).collect():
+        out.setdefault(r["run"], np.zeros(size))[r["k"]] = r["x"]
+    return out
+
+
+def _ritz(gram: np.ndarray, product: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rotation, values): Ritz values, ascending, of a block with Gram matrix P'P and P'LP; at most rank of them, fewer where the block has less rank, the other columns 0."""
+    m = len(gram)
+    scale = 1 / np.sqrt(np.maximum(np.diag(gram), 1e-300))
+    w, v = np.linalg.eigh(gram * np.outer(scale, scale))
+    keep = np.argsort(-w)[:rank]
+    keep = keep[w[keep] > 1e-13 * w.max()]
+    half = scale[:, None] * v[:, keep] / np.sqrt(w[keep])
+    values, turn = np.linalg.eigh(half.T @ (product + product.T) / 2 @ half)
+    rotation = np.zeros((m, m))
+    rotation[:, : len(values)] = half @ turn
+    return rotation, values
+
+
+def ritz_vectors(entries: DataFrame, q: int, guard: int, tolerance: float = 1e-9, rounds: int = 40) -> tuple[DataFrame, int, dict[int, np.ndarray], dict[int, np.ndarray]]:
+    """(state, columns, values, residuals): the q lowest eigenpairs of each run of ``entries(run, src, dst, v)``, in p of the state.
+
+    Every vertex has an entry on the diagonal.  The block has ``guard`` columns more than
+    asked for; a run with fewer vertices than columns has only as many values.  A run that
+    hasn't come below the tolerance after so many rounds ends with an error.
+    """
+    entries = entries.select(F.col("run").cast("long"), "src", "dst", "v")
+    sizes = {r["run"]: r["n"] for r in entries.filter("src = dst").groupBy("run").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each run
+    m = min(q + guard, max(sizes.values(), default=1))
+    spark = entries.sparkSession
+    cells = F.broadcast(spark.createDataFrame([(int(r), -(-n // CELL)) for r, n in sizes.items()], "run long, cells long"))  # a row for each run
+    cell = lambda c: F.pmod(F.xxhash64(c), F.col("cells"))
+    entries = settled(entries.join(cells, "run").select("run", cell("dst").alias("cell"), cell("src").alias("to"), "src", "dst", "v"))
+    ids = entries.filter("src = dst").groupBy("run", "cell").agg(F.array_sort(F.collect_list("src")).alias("id"))  # a cell each
+    # second side of a cogroup under names of its own
+    apart = lambda df: df.select(*(F.col(c).alias(c) for c in df.columns))
+    state = settled(_state(_multiplied(entries, settled(apart(ids)), _begun(m)), m))
+    done: list[DataFrame] = []
+    values, residuals = {}, {}
+    for round in range(rounds):
+        grams = _summed(state, m, lambda r, c, p: np.stack([p.T @ p, p.T @ c]), 2 * m * m)
+        turns = {r: _ritz(*g.reshape(2, m, m), sizes[r]) for r, g in grams.items()}
+        shared = spark.sparkContext.broadcast({r: turn for r, (turn, _) in turns.items()})  # m x m for each run
+        now = {r: v for r, (_, v) in turns.items()}
+        state = settled(_each_cell(state, m, lambda r, cell, ids, c, p: [(r, cell, ids, (c @ shared.value[r]).reshape(-1), (p @ shared.value[r]).reshape(-1))], _STATE))  # noqa: B023
+        padded = {r: np.append(v, np.zeros(m - len(v))) for r, v in now.items()}
+        far = {r: np.sqrt(x) for r, x in _summed(state, m, lambda r, c, p: ((c - p * padded[r]) ** 2).sum(0), m).items()}  # noqa: B023
+        good = [r for r in now if len(now[r]) == sizes[r] or len(now[r]) >= q and far[r][:q].max() < tolerance]
+        values |= {r: now[r] for r in good}
+        residuals |= {r: far[r] for r in good}
+        left = [int(r) for r in now if r not in good]
+        done.append(state.filter(F.col("run").isin([int(r) for r in good])))
+        if not left:
+            return reduce(DataFrame.unionByName, done), m, values, residuals
+        state, own = state.filter(F.col("run").isin(left)), entries.filter(F.col("run").isin(left))
+        # the cut may be low for a block that isn't settled: the filter still shrinks all above it
+        cuts = {r: min(max(float(now[r][-1]), 0.02), UPPER - 0.1) for r in left}
+        coefficients = {r: ((UPPER + a) / 2, (UPPER - a) / 2) for r, a in cuts.items()}
+        steps = max(math.acosh(1 + 2 * a / (UPPER - a)) for a in cuts.values())
+        degree = max(2, min(DEGREE, int(math.log(2 * (FIRST_GROWTH if round == 0 else GROWTH)) / steps)))
+        messages = _multiplied(own, state, _first_step(m, coefficients))
+        for k in range(2, degree + 1):
+            messages = _multiplied(own, messages, _next_step(m, coefficients, k == degree))
+        state = settled(_state(messages, m))
+    raise ValueError(f"no {q} eigenvalues to {tolerance} after {rounds} rounds")
+
+
+def spectra(entries: DataFrame, q: int = 25) -> DataFrame:
+    """(run, idx, lambda, residual, id, x) of ``entries(run, src, dst, v)``: the first q eigenvalues, ascending from 0, with unit vectors, the entry of largest size positive (the smallest id of equals); residual: |Lx - lambda x|."""
+    block, m, values, residuals = ritz_vectors(entries, q, max(8, q))
+    table = [(int(r), i, float(values[r][i]), float(residuals[r][i])) for r in values for i in range(min(q, len(values[r])))]
+    table = F.broadcast(block.sparkSession.createDataFrame(table, "run long, idx int, `lambda` double, residual double"))  # q rows for each run
+    part = F.transform("id", lambda i, k: F.struct(i.alias("id"), F.slice("p", k * m + 1, F.lit(m)).alias("x")))
+    rows = block.select("run", F.explode(part).alias("of")).select("run", "of.id", F.posexplode("of.x").alias("idx", "x")).join(table, ["run", "idx"])
+    size = F.round(F.abs("x"), 7)  # entries of one size in theory differ in the last digits
+    sign = rows.groupBy("run", "idx").agg(F.signum(F.max_by("x", F.struct(size, -F.col("id")))).alias("sign"))
+    return rows.join(F.broadcast(sign), ["run", "idx"]).select("run", "idx", "lambda", "residual", "id", (F.col("x") * F.col("sign")).alias("x"))
+
 
-    return entries.groupBy("run").applyInPandas(run, "run long, idx int, `lambda` double")
+def lowest_eigenvalues(entries: DataFrame, q: int) -> DataFrame:
+    """(run, idx, lambda, residual): the first q eigenvalues of each run."""
+    block, _, values, residuals = ritz_vectors(entries, q, 6)
+    rows = [(int(r), i, float(values[r][i]), float(residuals[r][i])) for r in values for i in range(min(q, len(values[r])))]
+    return block.sparkSession.createDataFrame(rows, "run long, idx int, `lambda` double, residual double")
 
 
 def most_isolated(values: DataFrame, first: int = 1, last: int = 25) -> DataFrame:

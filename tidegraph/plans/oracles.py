@@ -148,6 +148,7 @@ SELECT p.pixel, z.f, CASE WHEN z.n = (SELECT count(DISTINCT pixel) FROM c) THEN
 SQL["euclidean_pairs"] = f"WITH {_PTS} SELECT a.id AS i, b.id AS j, {_r('list_distance(a.v, b.v)')} AS d FROM pts a, pts b WHERE a.id < b.id"
 SQL["hellinger_pairs"] = f"WITH {_HELL} SELECT i, j, {_r('d')} AS d FROM hd WHERE i < j"
 SQL["js_pairs"] = f"WITH {_SHARES}, {_JS} SELECT i, j, {_r('d')} AS d FROM jd WHERE i < j"
+SQL["pairs_within"] = f"WITH {_HELL} SELECT i, j, {_r('d')} AS d FROM hd WHERE i < j AND d <= 0.3"
 SQL["distance_summary"] = f"WITH {_HELL} SELECT {_r('min(d)')} AS min, {_r('quantile_cont(d, 0.05)')} AS q05, {_r('quantile_cont(d, 0.5)')} AS median, {_r('quantile_cont(d, 0.95)')} AS q95, {_r('max(d)')} AS max FROM hd WHERE i < j"
 _LENGTH = f"{_NEAR}, {_PLACES}, len AS (SELECT e.src, e.dst, {_KM} AS km FROM edge e JOIN places a ON a.id = e.src JOIN places b ON b.id = e.dst WHERE e.src < e.dst)"
 SQL["haversine_edges"] = f"WITH {_LENGTH} SELECT src, dst, {_r('km')} AS km FROM len"

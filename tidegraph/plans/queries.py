@@ -33,7 +33,7 @@ def feature(f: Callable[[DataFrame], DataFrame]) -> Query:
 
 def nbrs(s: SparkSession, d: str, k: int, metric: str = "hellinger") -> DataFrame:
     pts = data.points(s, d) if metric == "euclidean" else data.shares(s, d)
-    return settled(distance.top_k(pts, k, metric))
+    return settled(distance.top_k(settled(pts), k, metric))
 
 
 # seasons and curves
@@ -159,7 +159,12 @@ def js_pairs(s, d):
 
 @query
 def distance_summary(s, d):
-    return rounded(distance.summary(distance.pairs(data.shares(s, d), "hellinger")), "min", "q05", "median", "q95", "max")
+    return rounded(distance.summary_of_pairs(settled(data.shares(s, d)), "hellinger"), "min", "q05", "median", "q95", "max")
+
+
+@query
+def pairs_within(s, d):
+    return rounded(distance.within(settled(data.shares(s, d)), 0.3, "hellinger"), "d")
 
 
 def _places(s, d):
@@ -289,7 +294,7 @@ def fiedler_by_k(s, d):
     """From the first k that connects the graph to 64, or to all other vertices."""
     counts = settled(graph.component_counts(_by_k(s, d)))
     ks = range(graph.first_connected(counts), max(r["k"] for r in counts.select("k").collect()) + 1)  # at most 64 rows
-    return spectral.eigenvalues(_laplacians(s, d, ks)).filter("idx = 1").select(F.col("run").alias("k"), "lambda")
+    return spectral.lowest_eigenvalues(_laplacians(s, d, ks), 2).filter("idx = 1").select(F.col("run").alias("k"), "lambda")
 
 
 @query
@@ -587,7 +592,7 @@ def medoids(s, d):
 
 @query
 def distance_histogram(s, d):
-    return products.histogram(rounded(distance.pairs(data.shares(s, d), "hellinger"), "d"), "d", 0.0, 1.0, 80)
+    return distance.histogram(settled(data.shares(s, d)), 0.0, 1.0, 80, "hellinger", DIGITS)
 
 
 @query
