@@ -235,33 +235,54 @@ def _ijd(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> pa.Table:
     return pa.table({"i": pa.array(i, pa.int64()), "j": pa.array(j, pa.int64()), "d": pa.array(d, pa.float64())})
 
 
+def _nearest(ia: np.ndarray, xa: np.ndarray, ib: np.ndarray, xb: np.ndarray, k: int, metric: str) -> pa.Table:
+    """The k nearest rows of b for each row of a, itself left out."""
+    out: list[tuple] = []
+    for lo in range(0, len(ia), 512):
+        x = xa[lo : lo + 512]
+        d = matrix(x, xb, metric)
+        d[ia[lo : lo + 512, None] == ib[None]] = np.inf
+        most = min(k, len(ib)) - 1
+        upto = np.partition(d, most, 1)[:, most] if len(ib) else np.zeros(len(x))
+        p, q = np.nonzero((d <= upto[:, None] + 2 * _slack(xb, metric)) & np.isfinite(d))
+        far = exact(x[p], xb[q], metric)
+        order = np.lexsort((ib[q], far, p))
+        p, q, far = p[order], q[order], far[order]
+        place = np.arange(len(p)) - np.searchsorted(p, p)
+        keep = place < k
+        out.append((ia[lo + p[keep]], ib[q[keep]], far[keep]))
+    return _ijd(*(np.concatenate([o[c] for o in out]) if out else np.zeros(0) for c in range(3)))
+
+
 def top_k(points: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
     """(i, j, d, rank): the k nearest others of each point, ties to the smaller id; rank from 1."""
     found = cells(points, metric, k)
     if found is None:
         return points.sparkSession.createDataFrame([], "i long, j long, d double, rank int")
 
-    def fn(ia, xa, ib, xb):
-        out: list[tuple] = []
-        for lo in range(0, len(ia), 512):
-            x = xa[lo : lo + 512]
-            d = matrix(x, xb, metric)
-            d[ia[lo : lo + 512, None] == ib[None]] = np.inf
-            most = min(k, len(ib)) - 1
-            upto = np.partition(d, most, 1)[:, most] if len(ib) else np.zeros(len(x))
-            p, q = np.nonzero((d <= upto[:, None] + 2 * _slack(xb, metric)) & np.isfinite(d))
-            far = exact(x[p], xb[q], metric)
-            order = np.lexsort((ib[q], far, p))
-            p, q, far = p[order], q[order], far[order]
-            place = np.arange(len(p)) - np.searchsorted(p, p)
-            keep = place < k
-            out.append((ia[lo + p[keep]], ib[q[keep]], far[keep]))
-        return _ijd(*(np.concatenate([o[c] for o in out]) if out else np.zeros(0) for c in range(3)))
-
-    near = _met(points, found, fn, "i long, j long, d double")
+    near = _met(points, found, lambda *sides: _nearest(*sides, k, metric), "i long, j long, d double")
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).filter(F.col("rank") <= k)
 
 
+def top_k_of_runs(points: DataFrame, k: int) -> DataFrame:
+    """(run, i, j, d, rank): the k nearest others inside each run of ``points(run, id, v, metric)``, all blocks of a run with all."""
+    sizes = F.broadcast(points.groupBy("run").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))  # a row for each run
+    own = points.join(sizes, "run").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    left = own.select("run", F.col("b").alias("bi"), F.explode(every).alias("bj"), F.lit(True).alias("left"), "id", "v", "metric")
+    right = own.select("run", F.explode(every).alias("bi"), F.col("b").alias("bj"), F.lit(False).alias("left"), "id", "v", "metric")
+
+    def run(t: pa.Table) -> pa.Table:
+        left, ids, v = t["left"].to_numpy(zero_copy_only=False), t["id"].to_numpy(), _vectors(t["v"].combine_chunks())
+        order = np.argsort(ids, kind="stable")
+        a, b = order[left[order]], order[~left[order]]
+        near = _nearest(ids[a], v[a], ids[b], v[b], k, t["metric"][0].as_py())
+        return near.append_column("run", pa.array(np.full(near.num_rows, t["run"][0].as_py()), pa.int64()))
+
+    near = left.unionByName(right).groupBy("run", "bi", "bj").applyInArrow(run, "i long, j long, d double, run long")
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("run", "i").orderBy("d", "j"))).filter(F.col("rank") <= k)
+
+
 def within(points: DataFrame, radius: float, metric: str = "euclidean") -> DataFrame:
     """(i, j, d) for i < j with d at most radius."""
     found = cells(points, metric, radius=radius)

@@ -263,12 +263,20 @@ def seasons(curves: DataFrame, threshold: float = 0.5) -> DataFrame:
 STATS = ("onset", "melt", "days", "peak", "episodes", "rise", "fall", "flash")
 
 
-def phenology(curves: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(pixel, f, v): means over years with a season, z-scored over pixels (deviation 0 counts as 1).  If a pixel has no season at all, all v are null."""
+#: Pixels of several runs share a table as run * 2 ** RUN_BITS + pixel.
+RUN_BITS = 40
+
+
+def in_run(run: Column, pixel: Column) -> Column:
+    return F.shiftleft(run.cast("long"), RUN_BITS) + pixel
+
+
+def phenology(curves: DataFrame, threshold: float = 0.5, by_run: bool = False) -> DataFrame:
+    """(pixel, f, v): means over years with a season, z-scored over pixels (deviation 0 counts as 1), run by run if asked for.  If a pixel has no season at all, all v are null."""
     means = seasons(curves, threshold).groupBy("pixel").agg(*(F.avg(c).alias(c) for c in STATS))
-    every = curves.select("pixel").distinct().join(means, "pixel", "left")
-    spread = every.agg(F.count_if(F.col("onset").isNull()).alias("gaps"), *(F.avg(c).alias(f"m_{c}") for c in STATS), *(F.stddev_pop(c).alias(f"s_{c}") for c in STATS))
-    z = every.crossJoin(F.broadcast(spread))  # one row of statistics
+    every = curves.select("pixel").distinct().join(means, "pixel", "left").withColumn("run", F.shiftright("pixel", RUN_BITS) if by_run else F.lit(0).cast("long"))
+    spread = every.groupBy("run").agg(F.count_if(F.col("onset").isNull()).alias("gaps"), *(F.avg(c).alias(f"m_{c}") for c in STATS), *(F.stddev_pop(c).alias(f"s_{c}") for c in STATS))
+    z = every.join(F.broadcast(spread), "run")  # a row of statistics for each run
     cols = [F.when(F.col("gaps") == 0, (F.col(c) - F.col(f"m_{c}")) / F.when(F.col(f"s_{c}") > 0, F.col(f"s_{c}")).otherwise(1.0)) for c in STATS]
     return z.select("pixel", F.posexplode(F.array(*cols)).alias("f", "v"))
 
@@ -287,7 +295,7 @@ METHODS = {
     "multiscale_half_1": (lambda c: multiscale_hog(c, MAIN_LAGS, (0.5, 1, 1, 1, 1)), "hellinger"),
     "haar": (haar_scalogram, "hellinger"),
     "fourier": (fourier, "euclidean"),
-    "phenology": (phenology, "euclidean"),
+    "phenology": (lambda c: phenology(c, by_run=True), "euclidean"),
 }
 
 

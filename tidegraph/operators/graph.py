@@ -13,9 +13,10 @@ from .prepare import number
 
 
 def knn_edges(nbrs: DataFrame, k: int) -> DataFrame:
-    """An edge if either end is among the other's k nearest."""
+    """An edge if either end is among the other's k nearest; for each run if there is a column ``run``."""
+    keys = ["run"] if "run" in nbrs.columns else []
     near = nbrs.filter(F.col("rank") <= k)
-    return near.select(F.col("i").alias("src"), F.col("j").alias("dst")).union(near.select("j", "i")).distinct()
+    return near.select(*keys, F.col("i").alias("src"), F.col("j").alias("dst")).union(near.select(*keys, "j", "i")).distinct()
 
 
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -149,10 +150,11 @@ def mutual_share(nbrs: DataFrame, k: int) -> DataFrame:
 
 
 def overlap(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
-    """Mean share of the k nearest that two neighbour tables have in common."""
-    x, y = (t.filter(F.col("rank") <= k).select("i", "j") for t in (a, b))
+    """Mean share of the k nearest that two neighbour tables have in common; for each run if they have a column ``run``."""
+    keys = ["run"] if "run" in a.columns else []
+    x, y = (t.filter(F.col("rank") <= k).select(*keys, "i", "j") for t in (a, b))
     both = y.withColumn("hit", F.lit(1.0))
-    return x.join(both, ["i", "j"], "left").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("overlap"))
+    return x.join(both, [*keys, "i", "j"], "left").groupBy(*keys).agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("overlap"))
 
 
 def degree_clustering(vertices: DataFrame, edges: DataFrame) -> DataFrame:

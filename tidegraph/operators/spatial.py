@@ -23,16 +23,18 @@ def vertex_edges(pixels: DataFrame, pix2v: DataFrame) -> DataFrame:
 
 
 def labelled(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """edges(i, j) with labels a and b of the ends."""
-    return edges.join(labels.select(F.col("id").alias("i"), F.col("lab").alias("a")), "i").join(labels.select(F.col("id").alias("j"), F.col("lab").alias("b")), "j")
+    """edges(i, j) with labels a and b of the ends; for each run if labels have a column ``run``."""
+    keys = ["run"] if "run" in labels.columns else []
+    return edges.join(labels.select(*keys, F.col("id").alias("i"), F.col("lab").alias("a")), "i").join(labels.select(*keys, F.col("id").alias("j"), F.col("lab").alias("b")), [*keys, "j"])
 
 
 def contiguity(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row: share of neighbours with equal labels, and what shuffled labels give on average: sum n(n - 1) over N(N - 1)."""
-    same = labelled(edges, labels).agg(F.avg((F.col("a") == F.col("b")).cast("double")).alias("contiguity"))
-    n = labels.groupBy("lab").agg(F.count(F.lit(1)).alias("n"))
-    null = n.agg((F.sum(F.col("n") * (F.col("n") - 1)) / (F.sum("n") * (F.sum("n") - 1))).alias("chance"))
-    return same.crossJoin(F.broadcast(null))
+    """One row, or one for each run: share of neighbours with equal labels, and what shuffled labels give on average: sum n(n - 1) over N(N - 1)."""
+    keys = ["run"] if "run" in labels.columns else []
+    same = labelled(edges, labels).groupBy(*keys).agg(F.avg((F.col("a") == F.col("b")).cast("double")).alias("contiguity"))
+    n = labels.groupBy(*keys, "lab").agg(F.count(F.lit(1)).alias("n"))
+    null = n.groupBy(*keys).agg((F.sum(F.col("n") * (F.col("n") - 1)) / (F.sum("n") * (F.sum("n") - 1))).alias("chance"))
+    return same.join(F.broadcast(null), keys) if keys else same.crossJoin(F.broadcast(null))  # a row for each run
 
 
 def shuffled_contiguity(edges: DataFrame, labels: DataFrame, times: int = 200, seed: int = 0) -> DataFrame:
@@ -126,13 +128,17 @@ def border_stats(classes: DataFrame, values: DataFrame, transition: int = 7) ->
 
 
 def eta_squared(labels: DataFrame, values: DataFrame) -> DataFrame:
-    """One row: sum of squares between regions over the total of ``values(id, x)``, missing ones left out."""
+    """One row, or one for each run: sum of squares between regions over the total of ``values(id, x)``, missing ones left out."""
+    keys = ["run"] if "run" in labels.columns else []
     r = labels.join(values, "id").filter("x is not null and not isnan(x)")
-    by = r.groupBy("lab").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"))
-    all_of = r.agg(F.avg("x").alias("mean"), (F.var_pop("x") * F.count(F.lit(1))).alias("total"))
-    return by.crossJoin(F.broadcast(all_of)).agg((F.sum(F.col("n") * F.pow(F.col("m") - F.col("mean"), 2)) / F.first("total")).alias("eta2"))
+    by = r.groupBy(*keys, "lab").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"))
+    all_of = r.groupBy(*keys).agg(F.avg("x").alias("mean"), (F.var_pop("x") * F.count(F.lit(1))).alias("total"))
+    both = by.join(F.broadcast(all_of), keys) if keys else by.crossJoin(F.broadcast(all_of))  # a row for each run
+    return both.groupBy(*keys).agg((F.sum(F.col("n") * F.pow(F.col("m") - F.col("mean"), 2)) / F.first("total")).alias("eta2"))
 
 
 def climate_score(vector: DataFrame, places: DataFrame, low: float, high: float) -> DataFrame:
+    """One row, or one for each run: size of the correlation of ``vector(id, x)`` with longitude in a band of elevation."""
+    keys = ["run"] if "run" in vector.columns else []
     r = vector.join(places, "id").filter(F.col("elev").between(low, high))
-    return r.agg(F.abs(F.corr("x", "lon")).alias("climate"))
+    return r.groupBy(*keys).agg(F.abs(F.corr("x", "lon")).alias("climate"))

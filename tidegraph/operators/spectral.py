@@ -34,18 +34,22 @@ FIRST_GROWTH, GROWTH, DEGREE = 1e5, 1e9, 24
 def gaussian_weights(edges: DataFrame, nbrs: DataFrame, k_scale: int = 7, fallback: bool = False) -> DataFrame:
     """(src, dst, w): exp(-d^2 / (s s')) with s the distance to the k_scale-th neighbour.
 
-    A scale of 0 is an error; with fallback it becomes the smallest positive scale.
+    A scale of 0 is an error; with fallback it becomes the smallest positive scale.  For
+    each run if neighbours and edges have a column ``run``.
     """
-    scale = nbrs.filter(F.col("rank") == k_scale).select("i", F.col("d").alias("s"))
+    keys = ["run"] if "run" in nbrs.columns else []
+    scale = nbrs.filter(F.col("rank") == k_scale).select(*keys, "i", F.col("d").alias("s"))
     if fallback:
-        least = scale.filter("s > 0").agg(F.min("s").alias("m"))
-        scale = scale.crossJoin(F.broadcast(least)).select("i", F.when(F.col("s") > 0, F.col("s")).otherwise(F.col("m")).alias("s"))
+        least = scale.filter("s > 0").groupBy(*keys).agg(F.min("s").alias("m"))
+        scale = scale.join(F.broadcast(least), keys) if keys else scale.crossJoin(F.broadcast(least))  # one row, or one for each run
+        scale = scale.select(*keys, "i", F.when(F.col("s") > 0, F.col("s")).otherwise(F.col("m")).alias("s"))
     else:
         scale = scale.withColumn("s", F.when(F.col("s") > 0, F.col("s")).otherwise(F.raise_error(F.lit("equal points: contract them first")).cast("double")))
-    one = nbrs.select(F.col("i").alias("src"), F.col("j").alias("dst"), "d")
-    d = one.union(one.select("dst", "src", "d")).groupBy("src", "dst").agg(F.min("d").alias("d"))
-    rows = edges.select("src", "dst").join(d, ["src", "dst"]).join(scale.select(F.col("i").alias("src"), F.col("s").alias("s1")), "src").join(scale.select(F.col("i").alias("dst"), F.col("s").alias("s2")), "dst")
-    return rows.select("src", "dst", F.exp(-F.col("d") * F.col("d") / (F.col("s1") * F.col("s2"))).alias("w"))
+    one = nbrs.select(*keys, F.col("i").alias("src"), F.col("j").alias("dst"), "d")
+    d = one.union(one.select(*keys, "dst", "src", "d")).groupBy(*keys, "src", "dst").agg(F.min("d").alias("d"))
+    rows = edges.select(*keys, "src", "dst").join(d, [*keys, "src", "dst"])
+    rows = rows.join(scale.select(*keys, F.col("i").alias("src"), F.col("s").alias("s1")), [*keys, "src"]).join(scale.select(*keys, F.col("i").alias("dst"), F.col("s").alias("s2")), [*keys, "dst"])
+    return rows.select(*keys, "src", "dst", F.exp(-F.col("d") * F.col("d") / (F.col("s1") * F.col("s2"))).alias("w"))
 
 
 def laplacian(weights: DataFrame) -> DataFrame:

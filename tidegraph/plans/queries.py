@@ -484,29 +484,35 @@ def covariate_corr(s, d):
 # years and variants
 
 
-def _main(s, d):
-    """Curves of the nations, their main partition, places and yearly features."""
-    rows = table(s, d, "lineitem").join(F.broadcast(table(s, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")), "l_suppkey")
+def _nations(s, d):
+    """Curves of the nations and their places."""
+    rows = table(s, d, "lineitem").join(table(s, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
     c = settled(seasons.curves(seasons.season_days(rows, "s_nationkey", "l_shipdate", "l_quantity", data.FIRST, data.YEARS), data.YEARS))
     ids = c.select(F.col("pixel").alias("id")).distinct()
-    at = settled(data.places(ids).withColumn("r", F.floor(F.col("id") / 5)).withColumn("c", F.col("id") % 5))
-    pts = settled(features.vectors(features.multiscale_hog(c, features.MAIN_LAGS)))
-    n = pts.count()
-    lab, _, _ = robustness.partition(pts, at, min(8, n - 1), REGIONS, "hellinger")
-    return c, at, lab
+    return c, settled(data.places(ids).withColumn("r", F.floor(F.col("id") / 5)).withColumn("c", F.col("id") % 5))
+
+
+def _years(s, d):
+    c, at = _nations(s, d)
+    main = features.vectors(features.multiscale_hog(c, features.MAIN_LAGS))
+    return robustness.main_and_years(main, features.yearly_multiscale_hog(c), at, 8, REGIONS)
 
 
 @query
 def yearly_partition(s, d):
-    c, at, lab = _main(s, d)
-    return robustness.yearly_partitions(features.yearly_multiscale_hog(c), lab, at, 8, REGIONS, data.YEARS)
+    return _years(s, d)[1]
 
 
 @query
 def kept_core_transition(s, d):
-    c, at, lab = _main(s, d)
-    y = robustness.yearly_partitions(features.yearly_multiscale_hog(c), lab, at, 8, REGIONS, data.YEARS)
-    return robustness.stability(robustness.kept(y, lab), 5, 3)
+    main, years = _years(s, d)
+    return robustness.stability(robustness.kept(years, main), 5, 3)
+
+
+@query
+def eigenvalue_check(s, d):
+    """lambda2 of the years before and after the switch."""
+    return robustness.before_after(_years(s, d)[1].select("year", "lam2").distinct(), ["lam2"], 4)
 
 
 @query
@@ -532,22 +538,19 @@ def sensor_check(s, d):
 @query
 def variant_sweep(s, d):
     """The graph with other cells, and of vertices active on at least so many days a season."""
-    c, at, lab = _main(s, d)
+    c, at = _nations(s, d)
     active = F.size(F.filter("s", lambda x: x > 0.5))
     mean = settled(c.groupBy("pixel").agg(F.avg(active).alias("active_days")))
-    out = None
-    for name, cells, least in (("12 cells", 12, 0), ("48 cells", 48, 0), ("30 days", 24, 30), ("90 days", 24, 90)):
-        own = c.join(mean.filter(F.col("active_days") >= least).select("pixel"), "pixel")
-        one = robustness.variant(own, at, lab, 8, REGIONS, features.MAIN_LAGS, cells).withColumn("variant", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    over = lambda k: mean.filter(F.col("active_days") >= k).select("pixel")
+    kinds = [("main", 24, None), ("12 cells", 12, None), ("48 cells", 48, None), ("30 days", 24, over(30)), ("90 days", 24, over(90))]
+    return robustness.variants(c, at, 8, REGIONS, features.MAIN_LAGS, kinds)
 
 
 @query
 def feature_comparison(s, d):
-    c, at, _ = _main(s, d)
-    sub = prepare.year_subsets(c.select("year").distinct(), data.YEARS, 4).filter("subset in ('all', 'post')")
-    return robustness.compare(c, at, ["raw", "hog_lag_7", "haar", "fourier"], sub, 8, REGIONS)
+    """All methods over all subsets of years, a row for each method."""
+    c, at = _nations(s, d)
+    return robustness.compare(c, at, list(features.METHODS), prepare.year_subsets(c.select("year").distinct(), data.YEARS, 4), 8, REGIONS, (3000, 6000))
 
 
 # maps and products
