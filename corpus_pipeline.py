@@ -20,28 +20,28 @@ from tidegraph.llm.shared import table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep: null and empty texts fail them; repeated rows fare alike, no rows give no rows."""
     model = fit(docs, table(spark, sf_dir, "labels"))
     return judge(docs, model).filter("kept").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: five-word shingles, similarity 0.8 or more."""
+    """One document of each group: five-word shingles, similarity 0.8 or more; texts without words all stay, no rows give no rows."""
     return keep_first(docs, n=5, percent=80)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their secrets."""
+    """Texts without their secrets; a null text stays null, columns of any name stay, no rows give no rows."""
     return redact(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them: a text is taken as a whole, up to twice; texts without words have no size and go; no rows give no rows."""
     return take(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences."""
+    """Pieces of documents in sequences; a null text is empty, repeated rows are packed as often as they come, no rows give no rows."""
     return pack_documents(docs, tokenizer_path())
 
 

@@ -534,7 +534,8 @@ def keep_first(docs: DataFrame, n: int = 4, percent: int = 85, max_rows: int = 1
     Components are of texts, whatever their doc_id: a null one takes part, and different
     texts under one doc_id are each in their own.  Kept is the row of the smallest doc_id,
     nulls last, then of the smallest text hash; of rows that agree in both, the one whose
-    other columns have the smallest hash.
+    other columns have the smallest hash.  Columns of any name stay; whole texts count,
+    however long; no rows give no rows.
     """
     rows, named = _named(docs, n, percent, max_rows)
     rows = rows.filter("node is not null")

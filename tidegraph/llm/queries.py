@@ -30,24 +30,29 @@ def tokenizer_path() -> str:
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings; odd vectors link with nothing, no rows give no rows."""
     return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes, targets and taken words of all documents; a null text has size 0, a null source is a source of its own."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of what stays of all documents; a null text has no words."""
     out = remove_repeats(table(spark, sf_dir, "documents"), window=50, digest=True)
     return out.withColumnRenamed("kept", "kept_sha256")
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of all pages; a null url has empty host and path."""
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of all documents, by a field trained on a bounded sample of the labels; a null text has no words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels"))
     return judge(docs, model).drop("text", "content_share")
@@ -69,10 +74,12 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles and components of all documents; without words a document links with nothing."""
     return ngram_components(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents; labels of held-out rows aren't read, and rows without a doc_id are held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     docs = docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True)))
     model = language_id.fit(docs.filter("not held_out"))
@@ -80,10 +87,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences; a null text is empty and has its end mark only."""
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of the spans in all documents; a null text is empty."""
     return digest_spans(find_secrets(table(spark, sf_dir, "documents")))
 
 
