@@ -260,6 +260,68 @@ def test_map(spark):
     assert km == pytest.approx(111.194927, abs=1e-6)
 
 
+@pytest.mark.parametrize("n", [1, 2, 7, 64, 65, 1000])
+def test_shuffled_places_are_a_permutation(spark, n):
+    df = spark.range(n).select(*(spatial.shuffled_place(F.col("id"), n, F.lit(k).cast("long")).alias(f"k{k}") for k in range(3)))
+    got = df.collect()
+    for k in range(3):
+        assert sorted(r[f"k{k}"] for r in got) == list(range(n))
+    if n == 1000:
+        assert len({tuple(r[f"k{k}"] for r in got) for k in range(3)}) == 3
+        assert abs(np.corrcoef([r["k0"] for r in got], range(n))[0, 1]) < 0.15
+
+
+def test_shuffled_contiguity_is_near_its_mean(spark):
+    cells = spark.createDataFrame([(i, i // 12, i % 12) for i in range(144)], "id long, r long, c long")
+    labels = spark.createDataFrame([(i, i * i % 7 % 3) for i in range(144)], "id long, lab long")
+    e = spatial.grid_edges(cells)
+    share = np.array([r.share for r in spatial.shuffled_contiguity(e, labels, 200).collect()])
+    chance = spatial.contiguity(e, labels).first()["chance"]
+    assert len(share) == 200 and share.std() > 0
+    assert abs(share.mean() - chance) < 3 * share.std() / math.sqrt(200)
+
+
+def test_nearest_cells_everywhere_on_the_globe(spark):
+    rng = np.random.default_rng(5)
+    cells = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.uniform(20, 40, 150), rng.uniform(70, 105, 150), strict=True))] + [(200, 89.9, 10.0), (201, -89.9, 0.0), (202, 5.0, 179.9), (203, 5.0, -179.8), (204, 30.0, 80.0), (205, 30.0, 80.0)]
+    points = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.uniform(-90, 90, 60), rng.uniform(-180, 180, 60), strict=True))] + [(100, 90.0, 0.0), (101, 5.0, -179.95), (102, 5.0, 180.0), (103, 30.0, 80.0), (104, -90.0, 50.0)]
+    got = {r.gid: (r.id, r.km) for r in spatial.nearest(spark.createDataFrame([*points, (999, None, 1.0)], "gid long, lat double, lon double"), spark.createDataFrame(cells, "id long, lat double, lon double")).collect()}
+
+    def km(a, b):
+        u, v = np.radians(a), np.radians(b)
+        return 12742 * math.asin(min(1.0, math.sqrt(math.sin((v[0] - u[0]) / 2) ** 2 + math.cos(u[0]) * math.cos(v[0]) * math.sin((v[1] - u[1]) / 2) ** 2)))
+
+    assert set(got) == {p[0] for p in points}
+    for gid, *at in points:
+        best = min(km(at, c[1:]) for c in cells)
+        assert got[gid][1] == pytest.approx(best, abs=1e-6) and km(at, next(c[1:] for c in cells if c[0] == got[gid][0])) == pytest.approx(best, abs=1e-6)
+    assert got[103][0] == 204
+
+
+def test_runs_side_by_side(spark):
+    """Partitions of two runs in one job find each run's own groups; neighbours are those of the run alone."""
+    from tidegraph.operators import robustness
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for run in (0, 5):
+        centres = rng.random((3, 6)) ** 3
+        for i in range(36):
+            v = np.abs(centres[(i + run) % 3] * (1 + 0.15 * rng.normal(size=6))) + 1e-3
+            rows.append((run, i, (v / v.sum()).tolist(), "hellinger"))
+    rows.append((9, 1, [1.0] * 6, "hellinger"))
+    df = spark.createDataFrame(rows, "run long, id long, v array<double>, metric string")
+    at = spark.createDataFrame([(i, float(i % 3)) for i in range(36)], "id long, lon double")
+    found = robustness.Partition(df, at, 8, 3)
+    lab = {(r.run, r.id): r["lab"] for r in found.labels.collect()}
+    assert {k[0] for k in lab} == {0, 5}
+    assert all(lab[(0, i)] == i % 3 for i in range(36)) and all(lab[(5, i)] == i % 3 for i in range(36))
+    alone = [r[:3] for r in rows if r[0] == 5]
+    near = {(r.i, r.j, r["rank"]) for r in found.nbrs.filter("run = 5").collect()}
+    want = distance.top_k(spark.createDataFrame([(i, v) for _, i, v in alone], "id long, v array<double>"), 8, "hellinger")
+    assert near == {(r.i, r.j, r["rank"]) for r in want.collect()}
+
+
 def test_affinities_and_maps():
     sq = np.random.default_rng(0).random((7, 50)) * np.array([1, 1e-3, 1e3, 1, 1, 5, 9])[:, None]
     sq[3, 8] = np.inf

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import itertools
+import math
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import haversine_km
+from ..sources.tables import settled
+from .prepare import number
 
 
 def grid_edges(cells: DataFrame) -> DataFrame:
@@ -37,22 +43,72 @@ def contiguity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return same.join(F.broadcast(null), keys) if keys else same.crossJoin(F.broadcast(null))  # a row for each run
 
 
+def shuffled_place(place: Column, n: int, key: Column) -> Column:
+    """Where a permutation of 0 to n - 1 that is chosen by key puts place: a bijection without a sort.
+
+    Places are pairs of a number below a and one below b, a b being hardly more than n, and
+    rounds add a hash of one half to the other.  A result beyond n goes through the rounds
+    again until it is below: few do, and none more than the pairs beyond n allow.
+    """
+    a = max(1, math.isqrt(n))
+    b = -(-n // a)
+
+    def rounds(x: Column) -> Column:
+        left, right = (x / b).cast("long"), x % b
+        for r in range(4):
+            left = F.pmod(left + F.pmod(F.xxhash64(key, F.lit(2 * r), right), F.lit(a)), F.lit(a))
+            right = F.pmod(right + F.pmod(F.xxhash64(key, F.lit(2 * r + 1), left), F.lit(b)), F.lit(b))
+        return left * b + right
+
+    def walked(x: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.lit(a * b - n + 1)), x, lambda y, _: F.when(y < n, y).otherwise(rounds(y)))
+
+    first = rounds(place.cast("long"))
+    return F.when(first < n, first).otherwise(walked(first)) if a * b > n else first
+
+
 def shuffled_contiguity(edges: DataFrame, labels: DataFrame, times: int = 200, seed: int = 0) -> DataFrame:
-    """(shuffle, share): the share under seeded permutations of labels."""
+    """(shuffle, share): the share under seeded permutations of labels; places are permuted by arithmetic, so that a shuffle sorts nothing."""
+    numbered = settled(number(labels.select("id", "lab"), "id", "place"))
+    n = numbered.count()
     each = F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("shuffle")
-    order = lambda key: Window.partitionBy("shuffle").orderBy(F.xxhash64(F.lit(seed), "shuffle", F.lit(key), "id"), "id")
-    place = labels.select(each, "id").withColumn("n", F.row_number().over(order("place")))
-    lab = labels.select(each, "id", "lab").withColumn("n", F.row_number().over(order("label"))).drop("id")
-    new = place.join(lab, ["shuffle", "n"]).select("shuffle", "id", "lab")
+    moved = numbered.select(each, "id", "place").withColumn("place", shuffled_place(F.col("place"), n, F.xxhash64(F.lit(seed), F.col("shuffle"))))
+    new = moved.join(numbered.select("place", "lab"), "place").select("shuffle", "id", "lab")
     e = edges.join(new.select("shuffle", F.col("id").alias("i"), F.col("lab").alias("a")), "i").join(new.select("shuffle", F.col("id").alias("j"), F.col("lab").alias("b")), ["shuffle", "j"])
     return e.groupBy("shuffle").agg(F.avg((F.col("a") == F.col("b")).cast("double")).alias("share"))
 
 
+def _cube(lat: Column, lon: Column) -> list[Column]:
+    """Coordinates of a place on the unit sphere."""
+    u, v = F.radians(lat), F.radians(lon)
+    return [F.cos(u) * F.cos(v), F.cos(u) * F.sin(v), F.sin(u)]
+
+
 def nearest(points: DataFrame, cells: DataFrame) -> DataFrame:
-    """(gid, id, km): the nearest of ``cells(id, lat, lon)`` for each of a few ``points(gid, lat, lon)``, ties to the smaller id; points go to the cells, their rows are a short list."""
-    p = F.broadcast(points.select("gid", F.col("lat").alias("plat"), F.col("lon").alias("plon")))
-    d = cells.crossJoin(p).withColumn("km", haversine_km(F.col("plat"), F.col("plon"), F.col("lat"), F.col("lon")))
-    return d.groupBy("gid").agg(F.min_by(F.struct("id", "km"), F.struct("km", "id")).alias("x")).select("gid", "x.id", "x.km")
+    """(gid, id, km): the nearest of ``cells(id, lat, lon)`` for each of ``points(gid, lat, lon)``, ties to the smaller id.
+
+    Places are points of the unit sphere in a grid of cubes, so that poles and date line are
+    places like any other.  A point looks into its cube and those around it; it is done if
+    what it finds is nearer than the edge of a cube, as nothing outside can be.  The others
+    look again with cubes of twice the edge.
+    """
+    cells = settled(cells.select("id", "lat", "lon", F.array(*_cube(F.col("lat"), F.col("lon"))).alias("at")))
+    n = cells.count()
+    open_ = settled(points.filter("lat is not null and lon is not null").select("gid", F.col("lat").alias("plat"), F.col("lon").alias("plon"), F.array(*_cube(F.col("lat"), F.col("lon"))).alias("own")).distinct())
+    edge, found = 2 / max(1.0, math.sqrt(n)), []
+    places = lambda at, far: F.array(*(F.floor(F.get(at, F.lit(k)) / edge) + far[k] for k in range(3)))
+    around = F.explode(F.array(*(F.struct(*(F.lit(v).alias(c) for v, c in zip(s, "xyz", strict=True))) for s in itertools.product((-1, 0, 1), repeat=3))))
+    while n and not open_.isEmpty():
+        grid = cells.select("id", "lat", "lon", "at", places("at", (0, 0, 0)).alias("cube"))
+        look = open_.select("*", around.alias("s")).withColumn("cube", places("own", [F.col(f"s.{c}") for c in "xyz"])).drop("s")
+        chord = F.sqrt(F.aggregate(F.zip_with("at", "own", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x))
+        met = look.join(grid, "cube").select("gid", F.struct(haversine_km(F.col("plat"), F.col("plon"), F.col("lat"), F.col("lon")).alias("km"), "id").alias("x"), chord.alias("chord"))
+        best = met.groupBy("gid").agg(F.min("x").alias("x"), F.min("chord").alias("chord"))
+        done = settled(best.filter(F.col("chord") < edge * (1 - 1e-9)) if edge < 4 else best)
+        found.append(done.select("gid", "x.id", "x.km"))
+        open_, edge = settled(open_.join(done.select("gid"), "gid", "left_anti")), 2 * edge
+    none = points.select("gid", F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("km")).limit(0)
+    return reduce(DataFrame.unionByName, found) if found else none
 
 
 def group_check(points: DataFrame, labels: DataFrame, near: DataFrame) -> DataFrame:
