@@ -262,8 +262,8 @@ def spectra(entries: DataFrame, q: int = 25) -> DataFrame:
 
 
 def lowest_eigenvalues(entries: DataFrame, q: int) -> DataFrame:
-    """(run, idx, lambda, residual): the first q eigenvalues of each run."""
-    block, _, values, residuals = ritz_vectors(entries, q, 6)
+    """(run, idx, lambda, residual): the first q eigenvalues of each run; their errors are of the size of the squared residuals."""
+    block, _, values, residuals = ritz_vectors(entries, q, 14, 1e-6)
     rows = [(int(r), i, float(values[r][i]), float(residuals[r][i])) for r in values for i in range(min(q, len(values[r])))]
     return block.sparkSession.createDataFrame(rows, "run long, idx int, `lambda` double, residual double")
 
