@@ -253,6 +253,63 @@ def test_kmeans_and_communities_find_planted_groups(spark):
     assert len({r.comm for r in got}) == 3 and got[0].modularity > 0.5
 
 
+def sequential_communities(weights):
+    """(ids, community, modularity) by greedy local moves and contraction, vertices one after another, on a dense matrix."""
+    ids = np.unique(weights["src"])
+    n = len(ids)
+    w = np.zeros((n, n))
+    w[np.searchsorted(ids, weights["src"]), np.searchsorted(ids, weights["dst"])] = weights["w"]
+    base, total = w, w.sum()
+    member = np.arange(n)
+    while True:
+        m, deg = len(w), w.sum(1)
+        lab, moved = np.arange(m), False
+        held = deg.copy()
+        while True:
+            changed = False
+            for i in range(m):
+                own = lab[i]
+                held[own] -= deg[i]
+                to = np.bincount(lab, w[i], m)
+                to[own] -= w[i, i]
+                gain = to - deg[i] * held / total
+                best = int(gain.argmax())
+                if gain[best] > gain[own] + 1e-12:
+                    lab[i], changed, moved = best, True, True
+                held[lab[i]] += deg[i]
+            if not changed:
+                break
+        if not moved:
+            break
+        names, lab = np.unique(lab, return_inverse=True)
+        member = lab[member]
+        fold = np.zeros((len(names), m))
+        fold[lab, np.arange(m)] = 1
+        w = fold @ w @ fold.T
+    sizes = np.bincount(member)
+    order = np.argsort(np.argsort(-sizes, kind="stable"), kind="stable")
+    deg = base.sum(1)
+    same = member[:, None] == member[None]
+    return ids, order[member], float((base[same].sum() - (np.outer(deg, deg)[same]).sum() / total) / total)
+
+
+def test_communities_against_moves_one_by_one(spark):
+    """Two graphs at once; the modularity is within a hundredth of the sequential run's and is the one of the communities."""
+    all_ = [(run, a, b, w) for run, n in ((2, 240), (4, 60)) for (a, b), w in random_graph(n, 7 + run).items()]
+    df = spark.createDataFrame(all_, "run long, src long, dst long, w double")
+    got = cluster.louvain(df).toPandas()
+    for run, n in ((2, 240), (4, 60)):
+        own = df.filter(f"run = {run}").toPandas()
+        part = got[got["run"] == run].set_index("id")["comm"]
+        assert sorted(part.index) == list(range(n))
+        total = own["w"].sum()
+        held = own.groupby(own["src"].map(part))["w"].sum()
+        q = own["w"][own["src"].map(part) == own["dst"].map(part)].sum() / total - ((held / total) ** 2).sum()
+        assert got[got["run"] == run]["modularity"].iloc[0] == pytest.approx(q)
+        assert q > sequential_communities(own)[2] * 0.99
+        assert part.value_counts().sort_index().is_monotonic_decreasing
+
+
 def test_map(spark):
     g = spark.createDataFrame([(0, 0, 0), (1, 0, 1), (2, 1, 0), (3, 1, 1)], "id long, r int, c int")
     assert spatial.grid_edges(g).count() == 6
