@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-SOME = ["season_days", "contract_duplicates", "year_subsets", "lag_hog", "occurrence", "fourier_harmonics", "phenology", "hellinger_pairs", "knn_edges", "degree_clustering", "laplacian_entries", "match_labels", "ari", "contiguity", "nearest_group_check", "border_distance", "border_sharpness", "kept_years", "medoids", "components_by_k", "first_connected_k", "small_components", "border_stats", "region_profile", "edge_darkness", "block_norm", "yearly_hog", "multiscale_hog", "yearly_multiscale_hog", "distance_sample", "degree_histogram", "clustering_histogram", "clustering_summary"]
+SOME = ["season_days", "contract_duplicates", "year_subsets", "lag_hog", "occurrence", "fourier_harmonics", "phenology", "hellinger_pairs", "knn_edges", "degree_clustering", "laplacian_entries", "match_labels", "ari", "contiguity", "nearest_group_check", "border_distance", "border_sharpness", "kept_years", "medoids", "medoid_hog", "components_by_k", "first_connected_k", "small_components", "border_stats", "region_profile", "edge_darkness", "block_norm", "yearly_hog", "multiscale_hog", "yearly_multiscale_hog", "distance_sample", "degree_histogram", "clustering_histogram", "clustering_summary"]
 
 
 def cell(v):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import features
+
 
 def paint(values: DataFrame, pix2v: DataFrame, places: DataFrame) -> DataFrame:
     """(r, c, v): each pixel with its vertex's value."""
@@ -15,12 +17,12 @@ def mark_places(points: DataFrame) -> DataFrame:
     return points.groupBy("region").agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat"))
 
 
-def medoids(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(lab, id, d): the vertex of least mean distance inside its region, the smallest id of equals."""
-    both = pairs.select("i", "j", "d").union(pairs.select("j", "i", "d"))
-    a, b = labels.select(F.col("id").alias("i"), "lab"), labels.select(F.col("id").alias("j"), F.col("lab").alias("other"))
-    mean = both.join(a, "i").join(b, "j").filter("lab = other").groupBy("lab", "i").agg(F.avg("d").alias("d"))
-    return mean.groupBy("lab").agg(F.min_by(F.struct(F.col("i").alias("id"), "d"), F.struct("d", "i")).alias("x")).select("lab", "x.id", "x.d")
+def scaled_slopes(means: DataFrame, lags: tuple[int, ...]) -> DataFrame:
+    """(pixel, lag, cell, bin, v): soft histograms of mean curves ``means(pixel, day, v)`` at each lag, over the greatest value of the lag."""
+    curves = means.groupBy("pixel").agg(F.transform(F.array_sort(F.collect_list(F.struct("day", "v"))), lambda x: x["v"]).alias("s"))
+    h = features.soft_histogram(features.lag_rates(curves, lags), ["pixel", "lag"])
+    most = F.max("h").over(Window.partitionBy("pixel", "lag"))
+    return h.select("pixel", "lag", "cell", "bin", (F.col("h") / F.greatest(most, F.lit(1e-9))).alias("v"))
 
 
 def histogram(rows: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:

@@ -212,6 +212,14 @@ _INACTIVE = f"{_CURVES}, ina AS (SELECT year, sum(CASE WHEN z > 300 THEN 0 ELSE
 SQL["inactive_years"] = f"WITH {_INACTIVE} SELECT year, CAST(inactive AS BIGINT) AS inactive FROM ina"
 SQL["sensor_check"] = f"WITH {_INACTIVE} SELECT {_r('avg(inactive) FILTER (year < 3)')} AS inactive_before, {_r('avg(inactive) FILTER (year >= 3)')} AS inactive_after FROM ina"
 SQL["medoids"] = f"WITH {_HELL}, {_PLACES}, m AS (SELECT a.lab, hd.i, avg(d) AS d FROM hd JOIN lab a ON a.id = hd.i JOIN lab b ON b.id = hd.j WHERE a.lab = b.lab GROUP BY 1, 2) SELECT lab, i AS id, {_r('d')} AS d FROM (SELECT *, row_number() OVER (PARTITION BY lab ORDER BY d, i) AS k FROM m) WHERE k = 1"
+_MAIN = (1, 7, 15, 31, 61)
+SQL["medoid_hog"] = f"""WITH {_CURVES}, {_rates('r', (7,))}, {_hist('r')}, {_blocks()}, {_MEAN},
+pd AS (SELECT a.pixel AS i, b.pixel AS j, sqrt(greatest(sum(power(sqrt(a.v) - sqrt(b.v), 2)), 0)) / sqrt(2) AS d FROM one a JOIN one b ON a.f = b.f AND a.pixel % 3 = b.pixel % 3 AND a.pixel <> b.pixel GROUP BY 1, 2),
+away AS (SELECT i, avg(d) AS d FROM pd GROUP BY 1),
+md AS (SELECT i FROM (SELECT *, row_number() OVER (PARTITION BY i % 3 ORDER BY d, i) AS k FROM away) WHERE k = 1),
+cm AS (SELECT pixel, 0 AS year, list(v ORDER BY day) AS s FROM (SELECT pixel, day, avg(v) AS v FROM long WHERE pixel IN (SELECT i FROM md) GROUP BY 1, 2) GROUP BY 1),
+slopes AS (SELECT * FROM (WITH {_rates('q', _MAIN).replace('FROM c,', 'FROM cm,')}, {_hist('q')} SELECT pixel, lag, cell, bin, h FROM hist))
+SELECT pixel, lag, cell, bin, {_r('h / greatest(max(h) OVER (PARTITION BY pixel, lag), 1e-9)')} AS v FROM slopes"""
 SQL["distance_histogram"] = f"WITH {_HELL}, x AS (SELECT {_r('d')} AS d FROM hd WHERE i < j) SELECT CAST(least(floor(d / (1.0 / 80)), 79) AS INT) AS bin, count(*) AS n FROM x WHERE d BETWEEN 0 AND 1 GROUP BY 1"
 SQL["distance_sample"] = f"WITH {_HELL}, x AS (SELECT i, j, {_r('d')} AS d, row_number() OVER (ORDER BY i, j) - 1 AS place FROM hd WHERE i < j) SELECT * FROM x WHERE place % 50 = 0"
 SQL["degree_histogram"] = f"WITH {_DEGREES} SELECT degree - (degree - (SELECT min(degree) FROM deg)) % 2 AS low, count(*) AS n FROM deg GROUP BY 1"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..operators import cluster, distance, embed, features, graph, prepare, products, robustness, spatial, spectral
+from ..operators import cluster, distance, embed, features, graph, layout, medoid, prepare, products, robustness, spatial, spectral
 from ..sources import seasons
 from ..sources.tables import settled, table
 from . import data
@@ -556,21 +556,37 @@ def feature_comparison(s, d):
 # maps and products
 
 
-def _all_pairs(s, d):
-    p = distance.pairs(data.shares(s, d), "hellinger")
-    return p.union(p.select("j", "i", "d"))
+RUNS = [("pca_30", 30.0, "pca"), ("pca_5", 5.0, "pca"), ("pca_100", 100.0, "pca"), ("random_30", 30.0, "random")]
+
+
+def _maps(s, d):
+    return settled(layout.maps(data.shares(s, d), s.createDataFrame(RUNS, "run string, perplexity double, start string")))
 
 
 @query
 def tsne_affinities(s, d):
-    a = embed.affinities(_all_pairs(s, d), 30.0)
-    return a.groupBy("i").agg(F.sum("p").alias("total"), (F.abs(F.first("entropy") - F.log(F.lit(30.0))) < 1e-4).alias("holds"))
+    """The share of each neighbour of each point at perplexity 30."""
+    return layout.affinities(nbrs(s, d, 90), {"pca_30": 30.0}).select("i", "j", "p")
 
 
 @query
 def tsne_map(s, d):
-    runs = [("pca_30", 30.0, "pca"), ("pca_5", 5.0, "pca"), ("pca_100", 100.0, "pca"), ("random_30", 30.0, "random")]
-    return embed.maps(data.shares(s, d), s.createDataFrame(runs, "run string, perplexity double, start string"))
+    """Four maps with what their panels are painted by: region and place."""
+    at = _places(s, d).select("id", "lon", "elev").join(data.labels(s, d).withColumnRenamed("lab", "region"), "id", "left")
+    return _maps(s, d).join(at, "id")
+
+
+@query
+def tsne_scores(s, d):
+    """For each map, for the first two principal components and for the second and third eigenvector: neighbours kept, neighbours of one region, agreement of clusters with regions, and neighbours shared with the map from a random start."""
+    roots = settled(data.shares(s, d).select("id", F.transform("v", F.sqrt).alias("v")))
+    v = _spectrum(s, d)
+    eigen = v.filter("idx = 1").select("id", F.col("x").alias("x")).join(v.filter("idx = 2").select("id", F.col("x").alias("y")), "id")
+    maps = _maps(s, d)
+    kl = maps.groupBy("run").agg(F.first("kl").alias("kl"))
+    both = maps.select("run", "id", "x", "y").unionByName(embed.pca_scores(roots).select(F.lit("components").alias("run"), "id", "x", "y"))
+    both = settled(both.unionByName(eigen.select(F.lit("eigenvectors").alias("run"), "id", "x", "y")))
+    return embed.scores(both, nbrs(s, d, K), data.labels(s, d), K, REGIONS, "random_30").join(kl, "run", "left")
 
 
 @query
@@ -590,7 +606,16 @@ def map_scores(s, d):
 
 @query
 def medoids(s, d):
-    return rounded(products.medoids(distance.pairs(data.shares(s, d), "hellinger"), data.labels(s, d)), "d")
+    return rounded(medoid.medoids(data.shares(s, d), data.labels(s, d)), "d")
+
+
+@query
+def medoid_hog(s, d):
+    """Slopes of the mean season of each region's medoid, lag by lag."""
+    c = settled(data.curves(s, d))
+    regions = c.select(F.col("pixel").alias("id"), (F.col("pixel") % REGIONS).alias("lab")).distinct()
+    chosen = medoid.medoids(features.vectors(features.lag_hog(c, 7)), regions)
+    return rounded(products.scaled_slopes(prepare.climatology(c.join(F.broadcast(chosen.select(F.col("id").alias("pixel"))), "pixel")), features.MAIN_LAGS), "v")  # a row for each region
 
 
 @query
