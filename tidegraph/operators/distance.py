@@ -20,13 +20,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import as_distribution
 
-#: Points of a block, and blocks that a small table is dealt into.
-BLOCK, FEWEST = 2048, 8
+#: Points of a block of a small table, and blocks that a table is dealt into: blocks grow with
+#: the table, so that copies of a point stay few, up to LARGEST points.
+BLOCK, FEWEST, LARGEST = 2048, 8, 1 << 16
+#: Rows and columns of a tile of products, and pairs whose exact distances are taken at once.
+TILE, EACH = (512, 4096), 1 << 15
 #: Pivots at most, and rows of the sample for each of them.
 PIVOTS, SAMPLE = 256, 4
 #: Bins of a histogram of distances, and distances that come back at most when the last bin is looked into.
@@ -58,6 +62,20 @@ def _slack(x: np.ndarray, metric: str) -> float:
     return 0.0 if metric == "js" else 1e-7 * (1.0 if metric == "hellinger" else max(1e-300, float(np.sqrt((x * x).sum(1).max(initial=0)))))
 
 
+def _exact_of(xa: np.ndarray, p: np.ndarray, xb: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of rows p of xa to rows q of xb, EACH at a time, so that memory is bounded."""
+    out = np.zeros(len(p))
+    if metric == "js":
+        ea, eb = _entropy(xa), _entropy(xb)
+    for lo in range(0, len(p), EACH):
+        i, j = p[lo : lo + EACH], q[lo : lo + EACH]
+        if metric == "js":
+            out[lo : lo + EACH] = np.sqrt(np.maximum(_entropy((xa[i] + xb[j]) / 2) - (ea[i] + eb[j]) / 2, 0.0))
+        else:
+            out[lo : lo + EACH] = exact(xa[i], xb[j], metric)
+    return out
+
+
 def _entropy(p: np.ndarray) -> np.ndarray:
     return -(p * np.log2(np.where(p > 0, p, 1.0))).sum(-1)
 
@@ -97,7 +115,12 @@ class Cells:
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
-    return np.stack(column.to_numpy(zero_copy_only=False)).astype(float) if len(column) else np.zeros((0, 1))
+    if not len(column):
+        return np.zeros((0, 1))
+    n = pc.list_value_length(column)
+    if pc.min_max(n) == pc.min_max(pa.array([n[0].as_py()], n.type)) and not column.null_count:  # equal lengths: one run of numbers
+        return column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(column), -1)
+    return np.stack(column.to_numpy(zero_copy_only=False)).astype(float)
 
 
 def _spread_out(x: np.ndarray, n: int, metric: str) -> np.ndarray:
@@ -173,7 +196,7 @@ def cells(points: DataFrame, metric: str, k: int = 0, radius: float | None = Non
     found.need = np.zeros((p, p), bool)
     for i in np.flatnonzero(used):
         found.need[i] = ((low <= high[i] + reach[i] + slack) & (high >= low[i] - reach[i] - slack)).all(1) & used
-    found.first, found.parts = _packed(found.size, pivots, metric, max(1, min(BLOCK, -(-n // FEWEST))))
+    found.first, found.parts = _packed(found.size, pivots, metric, max(1, min(LARGEST, -(-n // FEWEST))))
     return found
 
 
@@ -235,23 +258,79 @@ def _ijd(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> pa.Table:
     return pa.table({"i": pa.array(i, pa.int64()), "j": pa.array(j, pa.int64()), "d": pa.array(d, pa.float64())})
 
 
+class _Products:
+    """Single-precision products that order the rows of b by their distance to a row of a, and how far they may be off.
+
+    Of row i of a and row j of b the product is (d^2 - |a_i|^2) / 2, d being the Euclidean
+    distance, or the Hellinger distance times sqrt(2).  Rows are shifted to the mean of b
+    and divided by the largest size, which changes no order.
+    """
+
+    def __init__(self, xa: np.ndarray, xb: np.ndarray, metric: str):
+        a, b = (xa, xb) if metric == "euclidean" else (np.sqrt(xa), np.sqrt(xb))
+        mid = b.mean(0)
+        a, b = a - mid, b - mid
+        self.scale = max(float(np.sqrt((x * x).sum(1).max())) for x in (a, b)) or 1.0
+        a, b = a / self.scale, b / self.scale
+        self.square = (a * a).sum(1)
+        self.a = np.hstack((-a, np.ones((len(a), 1)))).astype(np.float32)
+        self.b = np.hstack((b, (b * b).sum(1)[:, None] / 2)).astype(np.float32).T
+        self.off = 2.0**-22 * (a.shape[1] + 8)  # sizes are 1 at most
+        self.unit = 1.0 if metric == "euclidean" else math.sqrt(2)
+
+    def tile(self, i: slice, j: slice) -> np.ndarray:
+        return self.a[i] @ self.b[:, j]
+
+    def upto(self, i: slice, d: np.ndarray) -> np.ndarray:
+        """The largest product that a distance d can have; a Jensen-Shannon distance is no less than the Hellinger distance."""
+        far = d * self.unit / self.scale * (1 + 1e-9)
+        return ((far * far - self.square[i]) / 2 + self.off).astype(np.float32)[:, None]
+
+
 def _nearest(ia: np.ndarray, xa: np.ndarray, ib: np.ndarray, xb: np.ndarray, k: int, metric: str) -> pa.Table:
-    """The k nearest rows of b for each row of a, itself left out."""
+    """The k nearest rows of b for each row of a, itself left out: products find those that may be, exact distances decide."""
+    left, right = (np.isfinite(x).all(1) for x in (xa, xb))
+    ia, xa, ib, xb = ia[left], xa[left], ib[right], xb[right]
+    if not len(ia) or not len(ib) or k < 1:
+        return _ijd(*(np.zeros(0),) * 3)
+    products = _Products(xa, xb, metric)
     out: list[tuple] = []
-    for lo in range(0, len(ia), 512):
-        x = xa[lo : lo + 512]
-        d = matrix(x, xb, metric)
-        d[ia[lo : lo + 512, None] == ib[None]] = np.inf
-        most = min(k, len(ib)) - 1
-        upto = np.partition(d, most, 1)[:, most] if len(ib) else np.zeros(len(x))
-        p, q = np.nonzero((d <= upto[:, None] + 2 * _slack(xb, metric)) & np.isfinite(d))
-        far = exact(x[p], xb[q], metric)
-        order = np.lexsort((ib[q], far, p))
-        p, q, far = p[order], q[order], far[order]
-        place = np.arange(len(p)) - np.searchsorted(p, p)
-        keep = place < k
-        out.append((ia[lo + p[keep]], ib[q[keep]], far[keep]))
-    return _ijd(*(np.concatenate([o[c] for o in out]) if out else np.zeros(0) for c in range(3)))
+    for lo in range(0, len(ia), TILE[0]):
+        rows = slice(lo, lo + TILE[0])
+        x, ids = xa[rows], ia[rows]
+        best = [np.zeros(0, int), np.zeros(0, int), np.zeros(0)]
+
+        def taken(p: np.ndarray, q: np.ndarray, best: list, x=x, ids=ids) -> tuple[list, np.ndarray]:
+            """The k best of each row, (row, column, distance), and up to where others may still be among them."""
+            for at in range(0, len(p), 8 * EACH):
+                i, j = p[at : at + 8 * EACH], q[at : at + 8 * EACH]
+                other = ids[i] != ib[j]
+                i, j = i[other], j[other]
+                p_, q_, d = (np.concatenate(c) for c in zip(best, (i, j, _exact_of(x, i, xb, j, metric)), strict=True))
+                order = np.lexsort((ib[q_], d, p_))
+                p_, q_, d = p_[order], q_[order], d[order]
+                keep = np.arange(len(p_)) - np.searchsorted(p_, p_) < k
+                best = [p_[keep], q_[keep], d[keep]]
+            far = np.full(len(x), np.inf)
+            full = np.flatnonzero(np.bincount(best[0], minlength=len(x)) == k)
+            far[full] = best[2][np.searchsorted(best[0], full, "right") - 1]
+            return best, far
+
+        tile = products.tile(rows, slice(0, TILE[1]))
+        most = min(k + 1, tile.shape[1])  # the row itself may be one of them
+        first = np.argpartition(tile, most - 1, 1)[:, :most] if most < tile.shape[1] else np.tile(np.arange(most), (len(x), 1))
+        _, far = taken(np.repeat(np.arange(len(x)), most), first.reshape(-1), best)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for at in range(0, len(ib), TILE[1]):
+            if at:
+                tile = products.tile(rows, slice(at, at + TILE[1]))
+            p, q = np.nonzero(tile <= products.upto(rows, far))
+            held.append((p, q + at))
+            if sum(len(h[0]) for h in held) > 2 * k * len(x) or at + TILE[1] >= len(ib):
+                best, far = taken(*(np.concatenate(c) for c in zip(*held, strict=True)), best)
+                held = []
+        out.append((ids[best[0]], ib[best[1]], best[2]))
+    return _ijd(*(np.concatenate([o[c] for o in out]) for c in range(3)))
 
 
 def top_k(points: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
@@ -260,8 +339,18 @@ def top_k(points: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
     if found is None:
         return points.sparkSession.createDataFrame([], "i long, j long, d double, rank int")
 
-    near = _met(points, found, lambda *sides: _nearest(*sides, k, metric), "i long, j long, d double")
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).filter(F.col("rank") <= k)
+    def fn(*sides) -> pa.Table:
+        near = _nearest(*sides, k, metric)
+        i, at = near["i"].to_numpy(), np.zeros(1, np.int64)
+        if len(i):
+            at = np.append(np.flatnonzero(np.append(True, i[1:] != i[:-1])), len(i))
+        lists = {c: pa.ListArray.from_arrays(pa.array(at, pa.int32()), near[c].combine_chunks()) for c in ("j", "d")}
+        return pa.table({"i": pa.array(i[at[:-1]], pa.int64()), **lists})
+
+    # a row for each point and block that it is compared with
+    near = _met(points, found, fn, "i long, j array<long>, d array<double>").groupBy("i").agg(F.collect_list(F.struct("d", "j")).alias("of"))
+    near = near.select("i", F.slice(F.sort_array(F.flatten(F.transform("of", lambda x: F.arrays_zip(x["d"].alias("d"), x["j"].alias("j"))))), 1, k).alias("of"))
+    return near.select("i", F.posexplode("of").alias("rank", "x")).select("i", "x.j", "x.d", (F.col("rank") + 1).alias("rank"))
 
 
 def top_k_of_runs(points: DataFrame, k: int) -> DataFrame:
