@@ -71,6 +71,6 @@ def as_distribution(v: Column) -> Column:
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    p = math.pi / 180
-    a = F.pow(F.sin((lat2 - lat1) * p / 2), 2) + F.cos(lat1 * p) * F.cos(lat2 * p) * F.pow(F.sin((lon2 - lon1) * p / 2), 2)
+    r = lambda x: x.cast("double") * math.pi / 180
+    a = F.pow(F.sin(r(lat2 - lat1) / 2), 2) + F.cos(r(lat1)) * F.cos(r(lat2)) * F.pow(F.sin(r(lon2 - lon1) / 2), 2)
     return F.lit(12742.0) * F.asin(F.sqrt(a))
