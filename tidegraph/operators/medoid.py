@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import settled
-from .distance import _vectors, exact
+from .distance import FEWEST, LARGEST, TILE, _slack, _vectors, exact, matrix
 
 #: Candidates of each region in the first round, and of all regions together in a later one at most.
 FIRST, MOST = 16, 1024
+#: Candidates that bounds may leave after two rounds before all their sums are taken at once.
+FEW = 4096
 
 
 def _least(rows: DataFrame, m: int) -> DataFrame:
@@ -38,14 +40,40 @@ def _least(rows: DataFrame, m: int) -> DataFrame:
     return rows.select("lab", "id", "low").mapInArrow(part, schema).groupBy("lab").applyInArrow(pick, schema).select("lab", "id")
 
 
+def _all_sums(left: DataFrame, rows: DataFrame, size: dict[int, int], metric: str) -> DataFrame:
+    """left(id, lab, v, low) with low raised to what its distances to its region's rows(id, lab, v) sum up to at least: blocks of both meet in tasks, FEWEST of a region or more."""
+    spark = left.sparkSession
+    table = [(int(lab), max(FEWEST, -(-n // LARGEST))) for lab, n in size.items()]
+    blocks = F.broadcast(spark.createDataFrame(table, "lab long, blocks int"))  # a row for each region
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    one = left.join(blocks, "lab").select("lab", block.alias("i"), every.alias("j"), F.lit(True).alias("own"), "id", "v")
+    two = rows.join(blocks, "lab").select("lab", every.alias("i"), block.alias("j"), F.lit(False).alias("own"), "id", "v")
+
+    def run(t: pa.Table) -> pa.Table:
+        own, v = t["own"].to_numpy(zero_copy_only=False), _vectors(t["v"].combine_chunks())
+        a, b = v[own], v[~own]
+        s = np.zeros(len(a))
+        off = _slack(v, metric) * len(b)
+        for i in range(0, len(a), TILE[0]):
+            for j in range(0, len(b), TILE[1]):
+                s[i : i + TILE[0]] += matrix(a[i : i + TILE[0]], b[j : j + TILE[1]], metric).sum(1)
+        ids = t["id"].to_numpy()[own]
+        return pa.table({"lab": pa.array(np.full(len(ids), t["lab"][0].as_py()), pa.int64()), "id": pa.array(ids), "s": pa.array(s * (1 - 1e-12) - off)})
+
+    s = one.unionByName(two).groupBy("lab", "i", "j").applyInArrow(run, "lab long, id long, s double").groupBy("lab", "id").agg(F.sum("s").alias("s"))
+    return left.join(s, ["lab", "id"]).select("id", "lab", "v", F.greatest("low", "s").alias("low"))
+
+
 def search(points: DataFrame, labels: DataFrame, metric: str = "hellinger") -> tuple[DataFrame, int]:
     """((lab, id, d), compared): in each region of ``labels(id, lab)`` the point of ``points(id, v)`` with the least mean distance to the others, the smallest id of equals, and how many distances it took.
 
     The distances of a round's candidates to their whole region give their sums S exactly,
     and from |S(p) - n d(i, p)| <= S(i) a bound for every other point i; points whose bound
     exceeds the region's best sum are done with.  The next candidates are those with the
-    least bounds, twice as many.  Where the bounds exclude nothing it takes all pairs, in
-    passes over the rows of at most MOST candidates.  Regions are few: some hundreds.  A
+    least bounds, twice as many.  Where the bounds leave more than FEW after two rounds, the
+    sums of all that are left are taken at once, block by block, in products; what these may
+    be off is in the bounds, and the rounds go on with the few that may still win.  Regions are few: some hundreds.  A
     region of one point has no mean and no row; points without a region, null vectors and
     null labels are left out.
     """
@@ -55,6 +83,7 @@ def search(points: DataFrame, labels: DataFrame, metric: str = "hellinger") -> t
     size = {r["lab"]: r["n"] for r in rows.groupBy("lab").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").collect()}  # a row for each region
     best: dict[int, tuple[float, int]] = {}
     left, m, compared = rows.filter(F.col("lab").isin(list(size))).withColumn("low", F.lit(0.0)), FIRST, 0
+    rounds = 0
     while size:
         names = settled(_least(left, m))
         chosen: dict[int, list] = {}
@@ -106,7 +135,12 @@ def search(points: DataFrame, labels: DataFrame, metric: str = "hellinger") -> t
                 yield pa.record_batch([batch.column("id"), batch.column("lab"), batch.column("v"), pa.array(low)], names=["id", "lab", "v", "low"]).filter(pa.array(keep))
 
         left = settled(left.mapInArrow(bounded, "id long, lab long, v array<double>, low double"))
-        m = max(1, min(2 * m, MOST // len(size)))
+        m, rounds = max(1, min(2 * m, MOST // len(size))), rounds + 1
+        if rounds == 2:
+            many = {r["lab"]: r["n"] for r in left.groupBy("lab").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each region
+            if sum(many.values()) > FEW:
+                compared += sum(n * size[lab] for lab, n in many.items())
+                left, m = settled(_all_sums(left, rows, size, metric)), max(1, min(FIRST, MOST // len(size)))
     return spark.createDataFrame([(lab, i, s / (size[lab] - 1)) for lab, (s, i) in sorted(best.items())], "lab long, id long, d double"), compared
 
 
