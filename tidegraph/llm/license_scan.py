@@ -121,9 +121,11 @@ def _scores(units: DataFrame, keys: list[str], templates: tuple[tuple[str, str],
     terms = units.select(*keys, F.explode(F.regexp_extract_all(F.lower("words"), F.lit(TERM), F.lit(0))).alias("term"))
     bag = terms.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n")).join(rare, "term", "left")
     bag = bag.withColumn("w", (1 + F.log("n") if damp else F.col("n")) * F.coalesce("idf", F.lit(other)))
-    length = bag.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("n").alias("words"))
-    dot = bag.filter("idf is not null").join(side, "term").groupBy(*keys, "licence", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    near = dot.join(length, keys).withColumn("score", F.col("dot") / F.col("norm")).filter(F.col("score") >= threshold - 1e-12)
+    # the terms are taken and counted once: norms and template terms, of which there are few, leave in one row
+    unit = bag.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("n").alias("words"), F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("term", "w"))).alias("of"))
+    held = unit.select(*keys, "norm", "words", F.explode("of").alias("t")).select(*keys, "norm", "words", "t.term", "t.w").join(side, "term")
+    dot = held.groupBy(*keys, "licence", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"), F.first("norm").alias("norm"), F.first("words").alias("words"))
+    near = dot.withColumn("score", F.col("dot") / F.col("norm")).filter(F.col("score") >= threshold - 1e-12)
     return near.groupBy(*keys).agg(F.max(F.struct("score", "licence", "words")).alias("b")).select(*keys, "b.score", "b.licence", "b.words")
 
 
