@@ -27,6 +27,10 @@ from ..sources.tables import Settled, settled
 UPPER = 2.0
 #: Vertices of a cell, about, of a small graph; of a larger one an eighth of it up to LARGEST: a vertex has a sum from each cell at most.
 CELL, LARGEST = 2048, 1 << 15
+#: Vertices up to which graphs are taken whole: their blocks have a column for each.
+SMALL = 64
+#: Room above the wanted values, as a share of what is left to UPPER, that every other cut leaves.
+ROOM = 0.005
 #: Entries that are multiplied side by side, and steps whose messages are on disk at once.
 ENTRIES, STEPS = 1 << 15, 6
 #: Growth of the lowest against the unwanted part in a filter of the first block and of a later one, and steps of it at most.
@@ -37,12 +41,16 @@ def gaussian_weights(edges: DataFrame, nbrs: DataFrame, k_scale: int = 7, fallba
     """(src, dst, w): exp(-d^2 / (s s')) with s the distance to the k_scale-th neighbour.
 
     A scale of 0 is an error; with fallback it becomes the smallest positive scale.  For
-    each run if neighbours and edges have a column ``run``.
+    each run if neighbours and edges have a column ``run``; there, without a positive scale,
+    it becomes the smallest positive distance, or 1 where all points are equal.
     """
     keys = ["run"] if "run" in nbrs.columns else []
     scale = nbrs.filter(F.col("rank") == k_scale).select(*keys, "i", F.col("d").alias("s"))
     if fallback:
         least = scale.filter("s > 0").groupBy(*keys).agg(F.min("s").alias("m"))
+        if keys:  # a run all of whose scales are 0 keeps its edges
+            d = F.when(F.col("d") > 0, F.col("d"))
+            least = nbrs.groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("rank") == k_scale, d)), F.min(d), F.lit(1.0)).alias("m"))
         scale = scale.join(F.broadcast(least), keys) if keys else scale.crossJoin(F.broadcast(least))  # one row, or one for each run
         scale = scale.select(*keys, "i", F.when(F.col("s") > 0, F.col("s")).otherwise(F.col("m")).alias("s"))
     else:
@@ -125,12 +133,12 @@ def _scattered(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(11)).astype(float) / 2.0**52 - 1
 
 
-def _begun(m: int):
-    """Cogroup of entries with random blocks: what the first product needs."""
+def _begun(m: int, whole: set[int]):
+    """Cogroup of entries with random blocks: what the first product needs.  Runs in ``whole``, of one cell and m vertices at most, begin with unit vectors, so that their first Ritz vectors are eigenvectors."""
 
     def run(entries: pa.Table, ids: pa.Table) -> pa.Table:
         own = np.asarray(ids["id"][0].values)
-        x = _scattered(own.astype(np.uint64)[:, None] * np.uint64(m) + np.arange(m, dtype=np.uint64))
+        x = np.eye(len(own), m) if _key(ids)[0] in whole else _scattered(own.astype(np.uint64)[:, None] * np.uint64(m) + np.arange(m, dtype=np.uint64))
         return _sent(entries, *_key(ids), own, x, x, 1.0, 0.0)
 
     return run
@@ -216,7 +224,8 @@ def ritz_vectors(entries: DataFrame, q: int, guard: int, tolerance: float = 1e-9
     """
     entries = entries.select(F.col("run").cast("long"), "src", "dst", "v")
     sizes = {r["run"]: r["n"] for r in entries.filter("src = dst").groupBy("run").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each run
-    m = min(q + guard, max(sizes.values(), default=1))
+    most = max(sizes.values(), default=1)
+    m = most if most <= SMALL else min(q + guard, most)
     spark = entries.sparkSession
     cells = F.broadcast(spark.createDataFrame([(int(r), cell_count(n)) for r, n in sizes.items()], "run long, cells long"))  # a row for each run
     cell = lambda c: F.pmod(F.xxhash64(c), F.col("cells"))
@@ -224,7 +233,7 @@ def ritz_vectors(entries: DataFrame, q: int, guard: int, tolerance: float = 1e-9
     ids = entries.filter("src = dst").groupBy("run", "cell").agg(F.array_sort(F.collect_list("src")).alias("id"))  # a cell each
     # second side of a cogroup under names of its own
     apart = lambda df: df.select(*(F.col(c).alias(c) for c in df.columns))
-    state = last = settled(_state(_multiplied(entries, settled(apart(ids)), _begun(m)), m))
+    state = last = settled(_state(_multiplied(entries, settled(apart(ids)), _begun(m, {r for r, n in sizes.items() if n <= m and cell_count(n) == 1})), m))
     done: list[DataFrame] = []
     values, residuals = {}, {}
     large = sum(sizes.values()) > LARGEST  # what is no longer read goes at once
@@ -248,7 +257,9 @@ def ritz_vectors(entries: DataFrame, q: int, guard: int, tolerance: float = 1e-9
             return reduce(DataFrame.unionByName, done), m, values, residuals
         state, own = state.filter(F.col("run").isin(left)), entries.filter(F.col("run").isin(left))
         # the cut may be low for a block that isn't settled: the filter still shrinks all above it
-        cuts = {r: min(max(float(now[r][-1]), 0.02), UPPER - 0.1) for r in left}
+        # one value may fill the block and more: a cut just above it would stop the block short of it
+        room = {r: ROOM * (UPPER - now[r][: q][-1]) if round % 2 else 0.0 for r in left}
+        cuts = {r: min(max(float(now[r][-1]), float(now[r][: q][-1]) + room[r], 0.02), UPPER - 0.1) for r in left}
         coefficients = {r: ((UPPER + a) / 2, (UPPER - a) / 2) for r, a in cuts.items()}
         steps = max(math.acosh(1 + 2 * a / (UPPER - a)) for a in cuts.values())
         degree = max(2, min(DEGREE, int(math.log(2 * (FIRST_GROWTH if round == 0 else GROWTH)) / steps)))
