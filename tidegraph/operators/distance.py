@@ -32,6 +32,8 @@ from ..sources.tables import settled
 BLOCK, FEWEST, LARGEST = 2048, 8, 1 << 16
 #: Rows and columns of a tile of products, and pairs whose exact distances are taken at once.
 TILE, EACH = (512, 4096), 1 << 15
+#: Angle for a unit of the logarithm by which roots of shares turn, and what part of them does.
+TURN, TURNED = 0.6, 2 / 7
 #: Pivots at most, and rows of the sample for each of them.
 PIVOTS, SAMPLE = 256, 4
 #: Bins of a histogram of distances, and distances that come back at most when the last bin is looked into.
@@ -258,16 +260,35 @@ def _ijd(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> pa.Table:
     return pa.table({"i": pa.array(i, pa.int64()), "j": pa.array(j, pa.int64()), "d": pa.array(d, pa.float64())})
 
 
+def _embedded(x: np.ndarray, metric: str) -> np.ndarray:
+    """Rows whose Euclidean distance is that of x, or sqrt(2) times the Hellinger distance, or up to sqrt(2) times the Jensen-Shannon distance and at least 0.98 of that.
+
+    The square of the latter is a sum over the mean m of both shares of 1 - h(t), h being the
+    entropy of shares 1 : e^l with l the difference of their logarithms.  Roots turned by an
+    angle of w times the logarithm give 1 - sech(l / 2) cos(w l) instead; so mixed, it is
+    nowhere above, and less than 2.5 % below, 1 - h(t).
+    """
+    if metric == "euclidean":
+        return x
+    root = np.sqrt(x)
+    if metric == "hellinger":
+        return root
+    turn = TURN * np.log(np.where(x > 0, x, 1.0))
+    own = math.sqrt(1 - TURNED) * root
+    root *= math.sqrt(TURNED)
+    return np.concatenate([own, root * np.cos(turn), root * np.sin(turn)], 1)
+
+
 class _Products:
     """Single-precision products that order the rows of b by their distance to a row of a, and how far they may be off.
 
     Of row i of a and row j of b the product is (d^2 - |a_i|^2) / 2, d being the Euclidean
-    distance, or the Hellinger distance times sqrt(2).  Rows are shifted to the mean of b
+    distance of the rows that _embedded gives.  Rows are shifted to the mean of b
     and divided by the largest size, which changes no order.
     """
 
     def __init__(self, xa: np.ndarray, xb: np.ndarray, metric: str):
-        a, b = (xa, xb) if metric == "euclidean" else (np.sqrt(xa), np.sqrt(xb))
+        a, b = _embedded(xa, metric), _embedded(xb, metric)
         mid = b.mean(0)
         a, b = a - mid, b - mid
         self.scale = max(float(np.sqrt((x * x).sum(1).max())) for x in (a, b)) or 1.0
@@ -282,7 +303,7 @@ class _Products:
         return self.a[i] @ self.b[:, j]
 
     def upto(self, i: slice, d: np.ndarray) -> np.ndarray:
-        """The largest product that a distance d can have; a Jensen-Shannon distance is no less than the Hellinger distance."""
+        """The largest product that a distance d can have."""
         far = d * self.unit / self.scale * (1 + 1e-9)
         return ((far * far - self.square[i]) / 2 + self.off).astype(np.float32)[:, None]
 
