@@ -127,13 +127,17 @@ def first_connected(counts: DataFrame, strict: bool = False) -> int:
 
 def small_components(by_k: DataFrame, places: DataFrame, east: float = 90.0) -> DataFrame:
     """For each k with several components what lies outside the largest: counts, sizes, longitudes and medians of ``places(id, lon, elev, active_days)``."""
-    sizes = by_k.groupBy("run", "comp").agg(F.count(F.lit(1)).alias("n"))
-    giant = sizes.groupBy("run").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("giant"), F.array_sort(F.collect_list("n")).alias("sizes"), F.max("n").alias("most"))
-    rows = by_k.join(giant, "run").filter("comp <> giant").join(places, "id")
-    return rows.groupBy(F.col("run").alias("k")).agg(
-        F.countDistinct("comp").alias("n_comp"), F.count(F.lit(1)).alias("n_vertices"), F.first(F.filter("sizes", lambda x: x < F.col("most"))).alias("sizes"),
-        F.min("lon").alias("lon_min"), F.max("lon").alias("lon_max"), F.avg((F.col("lon") > east).cast("double")).alias("share_east"), F.percentile("elev", F.lit(0.5)).alias("elev_median"), F.percentile("active_days", F.lit(0.5)).alias("active_median"),
+    by_k = settled(by_k)
+    sizes = settled(by_k.groupBy("run", "comp").agg(F.count(F.lit(1)).alias("n")))
+    giant = sizes.groupBy("run").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("giant"), F.max("n").alias("most"))
+    # a row for each k; its list of sizes stays off the rows of vertices
+    few = sizes.join(F.broadcast(giant), "run").groupBy("run").agg(F.array_sort(F.collect_list(F.when(F.col("n") < F.col("most"), F.col("n")))).alias("sizes"), (F.count(F.lit(1)) - 1).alias("n_comp"))
+    rows = by_k.join(F.broadcast(giant.select("run", "giant")), "run").filter("comp <> giant").join(places, "id")
+    out = rows.groupBy("run").agg(
+        F.count(F.lit(1)).alias("n_vertices"), F.min("lon").alias("lon_min"), F.max("lon").alias("lon_max"), F.avg((F.col("lon") > east).cast("double")).alias("share_east"),
+        F.percentile("elev", F.lit(0.5)).alias("elev_median"), F.percentile("active_days", F.lit(0.5)).alias("active_median"),
     )
+    return out.join(few, "run").select(F.col("run").alias("k"), "n_comp", "n_vertices", "sizes", "lon_min", "lon_max", "share_east", "elev_median", "active_median")
 
 
 def edge_lengths(edges: DataFrame, places: DataFrame) -> DataFrame:
