@@ -82,3 +82,18 @@ def test_graphs_of_all_k(spark, sf):
 def test_partitions_of_other_k(spark, sf):
     got = {r["k"]: r["ari"] for r in entry.queries()["k_robustness"](spark, sf).collect()}
     assert sorted(got) == [8, 16, 32, 64] and all(-1 <= x <= 1 for x in got.values())
+
+
+def test_queries_take_the_eigenvectors_that_they_read(spark, sf, monkeypatch):
+    from tidegraph.operators import spectral
+
+    asked, spectra = [], spectral.spectra
+
+    def few(entries, q=25):
+        asked.append(q)
+        return spectra(entries, q)
+
+    monkeypatch.setattr(spectral, "spectra", few)
+    for name in ("nodal_domains", "spectral_correlations", "spectral_clusters"):
+        assert entry.queries()[name](spark, sf).count() > 0
+    assert asked == [2, 2, 3]
